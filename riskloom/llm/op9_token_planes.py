@@ -139,7 +139,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
             for doc, text in zip(b["doc_id"], b["text"]):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     writer = PlaneWriter(out, block, bits)
                 writer.add(None if pd.isna(doc) else int(doc), enc.ids(text) + end)
         if writer:

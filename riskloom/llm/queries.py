@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op7_exact_dedup, op9_token_planes
+from . import op1_packing, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,56 @@ def op9_token_planes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_planes.token_planes(_t(spark, sf_dir, "documents"))
 
 
+def op3_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_licenses.scan_licenses(_t(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontaminate.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op5_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents."""
+    return op5_importance.resample(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")).where("kept")
+
+
+def op6_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents found toxic, with their probabilities; every document is scored."""
+    docs = _t(spark, sf_dir, "documents")
+    return op6_toxicity.score(docs, op6_toxicity.train(docs, _t(spark, sf_dir, "labels"))).where("is_toxic")
+
+
+def op8_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_warc.warc_round_trip(_t(spark, sf_dir, "pages"))
+
+
+def op10_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_repeats.repeated_spans(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing_query,
+    "op3_licenses": op3_licenses_query,
+    "op4_decontaminate": op4_decontaminate_query,
+    "op5_importance": op5_importance_query,
+    "op6_toxicity": op6_toxicity_query,
     "op7_exact_dedup": op7_exact_dedup_query,
+    "op8_warc": op8_warc_query,
     "op9_token_planes": op9_token_planes_query,
+    "op10_repeats": op10_repeats_query,
 }
 
 ORACLE_SQL = {
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+        h AS (SELECT *, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS winner FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST('0x' || substr(hex, (i // 4) * 5 + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> winner THEN winner END AS refers_to
+        FROM h""",
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
