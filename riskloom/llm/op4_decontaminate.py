@@ -216,3 +216,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
         found = plain.mapInArrow(run, SCHEMA)
         out = found if out is None else out.union(found)
     return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
+    """The rows of docs that contain no item, with all their columns; no row moves."""
+    spark, place = docs.sparkSession, docs.columns.index("text")
+    for shard in shards_of(items):
+        sent = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in shard.collect()]))  # within SHARD_ITEMS and SHARD_WORDS
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(0, b.num_rows, 200):
+                    part = b.slice(k, 200)
+                    leaks = {r[0] for r in sent.value.search(part.column(place).to_pylist(), threshold, overlap)}
+                    yield part.filter(pa.array([i not in leaks for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, mix
 
@@ -44,12 +46,12 @@ _memo = _Hash()
 
 
 def ngram_buckets(text: str | None) -> np.ndarray:
-    """Buckets of all words and word pairs of a text."""
+    """Buckets of all words and word pairs of a text; a word after itself is one pair, whatever the word."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass")) if text else []
     if len(_memo) > 1_000_000:
         _memo.clear()
     h = np.array([_memo[w] for w in words], np.uint64)
-    pairs = mix(h[:-1] * np.uint64(3) + h[1:])
+    pairs = np.where(h[:-1] == h[1:], np.uint64(1), mix(h[:-1] * np.uint64(3) + h[1:]))
     return (np.concatenate([h, pairs]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
@@ -126,22 +128,56 @@ def code_of(key):
     return (F.rint(F.greatest(F.least(key, F.lit(2.0**40)), F.lit(-(2.0**40))) * F.lit(2.0**20)).cast("long")) + F.lit(1 << 61)
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 17) -> DataFrame:
-    """Every document with its weight and decision: doc_id, log_ratio, n_grams, key, kept."""
+@dataclass
+class Resampler:
+    """What the passes over the corpus have settled: the log ratio of the models,
+    the least code drawn, and every document's weight."""
+
+    ratio: np.ndarray
+    least: int
+    weights: DataFrame
+    seed: int
+
+
+def gumbel_key(seed: int):
+    """The weight plus Gumbel noise, which a hash of doc_id gives: repeated runs draw alike."""
+    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.col("log_ratio") - F.log(-F.log(uniform))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 17) -> Resampler:
     picked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"))
     picked = picked.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     picked = materialise(picked.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0), "quality-sample")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     target = plain.join(F.broadcast(picked.where("good and not held").select("doc_id")), "doc_id", "left_semi")  # at most `sample` ids
-    raw_model, target_counts = log_model(bucket_counts(plain)), bucket_counts(target)
-    target_model = log_model(target_counts)
-    ratio = target_model - raw_model if target_counts.head(1) else np.zeros(BUCKETS)
-    scored = weigh(plain, ratio)
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = materialise(scored.withColumn("key", F.col("log_ratio") - F.log(-F.log(uniform))), "weights")
-    held = scored.join(F.broadcast(picked.where("held")), "doc_id").select("good", "log_ratio").collect()  # at most `sample` rows
+    target_counts = materialise(bucket_counts(target), "quality-target")
+    ratio = np.zeros(BUCKETS) if target_counts.isEmpty() else log_model(target_counts) - log_model(bucket_counts(plain))
+    weights = materialise(weigh(plain, ratio).withColumn("key", gumbel_key(seed)).withColumn("code", code_of(F.col("key"))), "quality-weights")
+    held = weights.join(F.broadcast(picked.where("held")), "doc_id").select("good", "log_ratio").collect()  # at most `sample` rows
     cut = best_cut(*(np.array([r["log_ratio"] for r in held if r["good"] == side]) for side in (True, False)))
-    k = scored.where(F.col("log_ratio") >= F.lit(cut)).count()
-    coded = scored.withColumn("code", code_of(F.col("key")))
-    least = kth_largest(coded, k) if k else 1 << 62
-    return coded.withColumn("kept", F.col("code") >= F.lit(least)).drop("code")
+    k = weights.where(F.col("log_ratio") >= F.lit(cut)).count()
+    return Resampler(ratio, kth_largest(weights, k) if k else 1 << 62, weights, seed)
+
+
+def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """Every document with its weight and decision: doc_id, log_ratio, n_grams, key, kept."""
+    fitted = fit(docs, labels, **how)
+    return fitted.weights.withColumn("kept", F.col("code") >= F.lit(fitted.least)).drop("code")
+
+
+def drawn(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns: each task weighs its rows again, none moves."""
+    fitted = fit(docs, labels, **how)
+    ratio, schema = fitted.ratio, T.StructType([*docs.schema.fields, T.StructField("log_ratio__", T.DoubleType())])
+    place = docs.columns.index("text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                w = pa.array([float(ratio[ngram_buckets(t)].sum()) for t in part.column(place).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, w], [*part.schema.names, "log_ratio__"])
+
+    scored = docs.mapInArrow(score, schema).withColumn("log_ratio", F.col("log_ratio__"))
+    return scored.where(code_of(gumbel_key(fitted.seed)) >= F.lit(fitted.least)).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats
+from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op9_token_planes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_planes.token_planes(_t(spark, sf_dir, "documents"))
 
 
+def op2_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_minhash.near_dedup(_t(spark, sf_dir, "documents"))
+
+
 def op3_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_licenses.scan_licenses(_t(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op6_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_warc.warc_round_trip(_t(spark, sf_dir, "pages"))
+    return op8_warc.warc_round_trip(_t(spark, sf_dir, "pages")).drop("url_key", "stamp")
 
 
 def op10_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +56,7 @@ def op10_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing_query,
+    "op2_minhash": op2_minhash_query,
     "op3_licenses": op3_licenses_query,
     "op4_decontaminate": op4_decontaminate_query,
     "op5_importance": op5_importance_query,
