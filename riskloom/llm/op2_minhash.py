@@ -13,10 +13,12 @@ stretch of a large region. Candidate pairs whose signatures agree too little are
 put aside (again with `miss`), the others are verified on full sets. Verified
 links give components.
 Round B: every region that still holds two components gives all pairs across
-them that can still be links: by signature, by size, and by the exact bound that a
-shingle found in one set only cannot be shared. They are verified too. So no
-link is lost to the choice of candidates in round A, and copies are never
-expanded into all pairs. Large regions are dealt in blocks.
+them that can still be links, each in the first region that both share. In large
+regions an exact bound keeps their number down: of a set's shingles, those that few
+sets of large regions have (`RARE` at most) are listed; a pair can share no more
+than the lesser number of other shingles plus the listed ones that both have. Pairs
+are verified too. So no link is lost to the choice of candidates in round A, and
+copies are never expanded into all pairs. Large regions are dealt in blocks.
 
 Words stand between white space, A-Z lower-cased; a text of fewer words than a
 shingle has its whole sequence as one.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, connected_components, materialise, shingle_hashes, space_words
 
 DEPTH, MISS = 4, 1e-6
-STRETCH, BLOCK, PER_SALT = 64, 1024, 128
+STRETCH, BLOCK, PER_SALT, LARGE, RARE = 64, 1024, 128, 64, 32
 _hash = WordHash()
 
 
@@ -150,27 +152,49 @@ def centre_edges(rows: DataFrame, least: int, share: int) -> DataFrame:
 
 def cross_pairs(rows: DataFrame, least: int, share: int) -> DataFrame:
     """Round B: pairs (hub, rep) across the components of a region that can be links;
-    rows(tree, key, path, rep, n, shared, component, m) with m the region's size."""
+    rows(tree, key, sig, marks, rep, n, common, rare, component, m): marks holds four bytes
+    of the key in each order, common the number of shingles not in rare, m the region's size."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
 
-    def pairs(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-        path, rep, n, shared, component, block, x, y = group
+    def pairs(name: tuple, group: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(group)
+        tree, _, x, y = name
+        n, common, component, block, rep = (table.column(c).to_numpy() for c in ("n", "common", "component", "block", "rep"))
         order = np.argsort(n, kind="stable")
-        path, rep, n, shared, component, block = path[order], rep[order], n[order], shared[order], component[order], block[order]
-        # n_j at most what keeps the shared shingles of i above t/(1+t) of both sizes, and at most n_i/t
-        most = np.minimum(shared * (100 + share) // share - n, n * 100 // share)
-        ends, out = np.searchsorted(n, most, side="right"), []
-        for i in np.flatnonzero(ends > np.arange(len(n)) + 1):
+        n, common, component, block, rep = n[order], common[order], component[order], block[order], rep[order]
+        m, need = len(n), lambda i, j: share * (n[i] + n[j])
+        # partners by common shingles alone: n_j is at most what keeps those of i above t/(1+t) of both sizes, and at most n_i/t
+        ends, codes = np.searchsorted(n, np.minimum(common * (100 + share) // share - n, n * 100 // share), side="right"), []
+        for i in np.flatnonzero(ends > np.arange(m) + 1):
             j = np.arange(i + 1, ends[i])
-            j = j[(component[j] != component[i]) & (shared[j] * (100 + share) >= share * (n[j] + n[i]))]
-            if x != y:
-                j = j[block[j] != block[i]]
-            j = j[(path[j] == path[i]).sum(axis=1) >= least]
-            out.append((np.full(len(j), rep[i]), rep[j]))
-        return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else None
+            j = j[(component[j] != component[i]) & (common[j] * (100 + share) >= need(i, j))]
+            codes.append(i * m + j)
+        # and those that get there by rare shingles that both have
+        lists = table.column("rare").to_pylist()
+        token = np.array([t for k in order for t in lists[k] or ()], np.int64)
+        if len(token):
+            of = np.repeat(np.arange(m), [len(lists[k] or ()) for k in order])
+            by = np.lexsort((of, token))
+            token, of = token[by], of[by]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            met = [a[:, None] * m + a[None, :] for a in np.split(of, first[1:]) if len(a) > 1]
+            code, both = np.unique(np.concatenate([c[np.triu_indices(len(c), 1)] for c in met]), return_counts=True) if met else (np.empty(0, np.int64),) * 2
+            i, j = code // m, code % m
+            ok = (component[i] != component[j]) & (n[i] * 100 >= share * n[j]) & ((np.minimum(common[i], common[j]) + both) * (100 + share) >= need(i, j))
+            codes.append(code[ok])
+        code = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+        i, j = code // m, code % m
+        sig, marks = _bytes(table.column("sig"))[order], np.frombuffer(b"".join(table.column("marks").to_pylist()), "<u4").reshape(m, -1)[order]
+        if x != y:
+            i, j = i[block[i] != block[j]], j[block[i] != block[j]]
+        out = [np.empty(0, np.int64)] * 2 if not len(i) else None
+        if out is None:
+            ok = np.concatenate([((sig[i[k : k + 65536]] == sig[j[k : k + 65536]]).sum(axis=1) >= least) & ~(marks[i[k : k + 65536], :tree] == marks[j[k : k + 65536], :tree]).any(axis=1) for k in range(0, len(i), 65536)])
+            out = [rep[i[ok]], rep[j[ok]]]
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["hub", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of (tree, key, x, y) may go on in the next batch; one holds two blocks at most."""
@@ -178,22 +202,20 @@ def cross_pairs(rows: DataFrame, least: int, share: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in (0, 1, 2, 3)]
+            table, cols = pa.Table.from_batches([b]), [b.column(c).to_numpy() for c in range(4)]
             first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
-            path, rest = _bytes(b.column(4)), [b.column(c).to_numpy() for c in (5, 6, 7, 8, 9)]
             for lo, hi in zip(first, np.r_[first[1:], b.num_rows]):
                 now = tuple(int(c[lo]) for c in cols)
                 if now != name and held:
-                    if got := pairs([*(np.concatenate(c) for c in zip(*held)), name[2], name[3]]):
-                        yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["hub", "rep"])
+                    yield pairs(name, held)
                     held = []
                 name = now
-                held.append((path[lo:hi], *(c[lo:hi] for c in rest)))
-        if held and (got := pairs([*(np.concatenate(c) for c in zip(*held)), name[2], name[3]])):
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["hub", "rep"])
+                held.append(table.slice(lo, hi - lo))
+        if held:
+            yield pairs(name, held)
 
     group = ["tree", "key", "x", "y"]
-    placed = dealt.select(*group, "path", "rep", "n", "shared", "component", "block").repartition(*group).sortWithinPartitions(*group)
+    placed = dealt.select(*group, "sig", "marks", "rep", "n", "common", "rare", "component", "block").repartition(*group).sortWithinPartitions(*group)
     return placed.mapInArrow(run, "hub long, rep long").distinct()
 
 
@@ -225,8 +247,8 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFra
     return materialise(placed.mapInArrow(run, "a long, b long"), "minhash-links")
 
 
-def shared_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """(rep, alone): how many of a set's shingles occur in no other set of texts."""
+def rare_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, n_rare, rare): a set's shingles that RARE sets of texts have at most: how many, and those that more than one has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,8 +257,9 @@ def shared_shingles(texts: DataFrame, size: int) -> DataFrame:
                 sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
 
-    once = texts.select("rep", "text").mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
-    return once.groupBy("rep").agg(F.count("*").alias("alone"))
+    tokens = materialise(texts.select("rep", "text").mapInArrow(run, "rep long, shingle long"), "minhash-tokens")
+    few = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    return tokens.join(few, "shingle").groupBy("rep").agg(F.count("*").alias("n_rare"), F.collect_list(F.when(F.col("df") > 1, F.col("shingle"))).alias("rare"))
 
 
 def near_dedup(docs: DataFrame, size: int = 3, share: int = 85, depth: int = DEPTH) -> DataFrame:
@@ -264,11 +287,14 @@ def near_dedup(docs: DataFrame, size: int = 3, share: int = 85, depth: int = DEP
     placed = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("tree", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tree", "key")
     left = materialise(placed.join(open_, ["tree", "key"], "left_semi"), "minhash-open")
-    alone = shared_shingles(texts.join(left.select("rep").distinct(), "rep", "left_semi"), size)
-    facts = reps.select("rep", "n", "sig").join(alone, "rep", "left").select("rep", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    # a set that cannot be a link to any set, however it is chosen, takes no part
-    facts = facts.where(F.col("shared") * 100 >= F.col("n") * share)
-    rest = left.join(facts, "rep").withColumn("path", path()).drop("sig")
+    large = left.groupBy("rep").agg(F.max("m").alias("m")).where(F.col("m") > LARGE).select("rep")
+    rare = rare_shingles(texts.join(large, "rep", "left_semi"), size)
+    marks = F.expr("unhex(array_join(transform(keys, k -> lpad(hex(k & 4294967295L), 8, '0')), ''))")
+    facts = reps.select("rep", "n", "sig", marks.alias("marks")).join(rare, "rep", "left").withColumn("common", F.col("n") - F.coalesce("n_rare", F.lit(0))).drop("n_rare")
+    rest = left.join(facts, "rep")
+    # in a small region not all members need be among those whose shingles were counted
+    counted = F.col("m") > LARGE
+    rest = rest.withColumn("common", F.when(counted, F.col("common")).otherwise(F.col("n"))).withColumn("rare", F.when(counted, F.col("rare")))
     more = verify(cross_pairs(rest, least, share), texts, size, share)
     if not more.isEmpty():
         component = materialise(connected_components(links.union(more), "minhash-b"), "minhash-components").select(F.col("node").alias("rep"), "component")
@@ -295,4 +321,4 @@ def _texts(texts: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
     """The rows of docs that stay, one document of each component, with all their columns."""
     stay = near_dedup(docs, size, share).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"]), "left_semi")
