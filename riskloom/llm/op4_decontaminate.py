@@ -108,7 +108,7 @@ class Index:
             return window, window
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         bound = np.add.reduceat(self.block_max[term], first, axis=0) + (self.slack if self.skips_common(threshold) else 0)
-        w, b = np.nonzero(bound >= threshold - 1e-4)
+        w, b = np.nonzero(bound >= threshold - 1e-5)
         return window[first][w], b
 
     def wand(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
@@ -124,7 +124,7 @@ class Index:
             bound, pivot = 0.0, None
             for k, c in enumerate(cursors):
                 bound += c[5]
-                if bound >= threshold - 1e-4:
+                if bound >= threshold - 1e-5:
                     pivot = k
                     break
             if pivot is None:
@@ -132,7 +132,7 @@ class Index:
             item = cursors[pivot][0]
             if cursors[0][0] == item:
                 total = sum(float(c[4][c[1]]) for c in cursors if c[0] == item)
-                if total >= threshold - 1e-4:
+                if total >= threshold - 1e-5:
                     found.append((item, total))
                 target = item + 1
             else:

@@ -139,10 +139,10 @@ class Resampler:
     seed: int
 
 
-def gumbel_key(seed: int):
+def gumbel_key(seed: int, weight: str = "log_ratio"):
     """The weight plus Gumbel noise, which a hash of doc_id gives: repeated runs draw alike."""
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.col("log_ratio") - F.log(-F.log(uniform))
+    return F.col(weight) - F.log(-F.log(uniform))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 17) -> Resampler:
@@ -168,8 +168,10 @@ def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def drawn(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are drawn, with all their columns: each task weighs its rows again, none moves."""
-    fitted = fit(docs, labels, **how)
-    ratio, schema = fitted.ratio, T.StructType([*docs.schema.fields, T.StructField("log_ratio__", T.DoubleType())])
+    fitted, name = fit(docs, labels, **how), "log_ratio"
+    while name in docs.columns:
+        name += "_"
+    ratio, schema = fitted.ratio, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     place = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,6 @@ def drawn(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 w = pa.array([float(ratio[ngram_buckets(t)].sum()) for t in part.column(place).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, w], [*part.schema.names, "log_ratio__"])
+                yield pa.RecordBatch.from_arrays([*part.columns, w], [*part.schema.names, name])
 
-    scored = docs.mapInArrow(score, schema).withColumn("log_ratio", F.col("log_ratio__"))
-    return scored.where(code_of(gumbel_key(fitted.seed)) >= F.lit(fitted.least)).select(*docs.columns)
+    return docs.mapInArrow(score, schema).where(code_of(gumbel_key(fitted.seed, name)) >= F.lit(fitted.least)).drop(name)

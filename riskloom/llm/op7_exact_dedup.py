@@ -183,6 +183,6 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def distinct_documents(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows of one doc_id and text one stays."""
     stay = exact_dedup(docs, history).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    out = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"]), "left_semi")
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
