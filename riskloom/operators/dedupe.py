@@ -197,11 +197,12 @@ def similar_pairs(rows: DataFrame, block: list[str], row_id: str, words: str, sh
     """(a, b, score): rows of a block whose word sets have at least this Jaccard share.
     Pairs meet over the rarest words only: with n words, two sets at the share must
     have one of their n - ceil(share * n) + 1 rarest words in common."""
-    each = rows.select(*block, row_id, words, F.size(words).alias("n"), F.explode(words).alias("w"))
-    often = each.groupBy(*block, "w").agg(F.count("*").alias("df"))
-    ranked = each.join(often, [*block, "w"]).withColumn("rn", F.row_number().over(W.partitionBy(*block, row_id).orderBy("df", "w")))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1).select(*block, "w", F.col(row_id).alias("id"), F.col("n"))
-    a, b = prefix.withColumnsRenamed({"id": "a", "n": "na"}), prefix.withColumnsRenamed({"id": "b", "n": "nb"})
-    pairs = a.join(b, [*block, "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(share) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    left, right = rows.select(F.col(row_id).alias("a"), F.col(words).alias("wa")), rows.select(F.col(row_id).alias("b"), F.col(words).alias("wb"))
+    named = rows.select(*block, F.col(row_id).alias("id__"), F.col(words).alias("words__"))
+    each = named.select(*block, "id__", F.size("words__").alias("n__"), F.explode("words__").alias("w__"))
+    often = each.groupBy(*block, "w__").agg(F.count("*").alias("df__"))
+    ranked = each.join(often, [*block, "w__"]).withColumn("rn__", F.row_number().over(W.partitionBy(*block, "id__").orderBy("df__", "w__")))
+    prefix = ranked.where(F.col("rn__") <= F.col("n__") - F.ceil(F.lit(share) * F.col("n__")) + 1).select(*block, "w__", "id__", "n__")
+    a, b = prefix.withColumnsRenamed({"id__": "a", "n__": "na__"}), prefix.withColumnsRenamed({"id__": "b", "n__": "nb__"})
+    pairs = a.join(b, [*block, "w__"]).where((F.col("a") < F.col("b")) & (F.least("na__", "nb__") >= F.lit(share) * F.greatest("na__", "nb__"))).select("a", "b").distinct()
+    left, right = named.select(F.col("id__").alias("a"), F.col("words__").alias("wa")), named.select(F.col("id__").alias("b"), F.col("words__").alias("wb"))
     return pairs.join(left, "a").join(right, "b").withColumn("score", t.jaccard(F.col("wa"), F.col("wb"))).where(F.col("score") >= share).select("a", "b", "score")

@@ -121,7 +121,7 @@ def dump(raw: DataFrame, column: str = "value") -> dict[str, DataFrame]:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(name, {k: v for k, v in row.items() if v is not None}) for text in b["sql"] for name, row in dump_rows(text or "")]
-            yield pd.DataFrame({"row_set": [r[0] for r in rows], "row": [list(r[1].items()) for r in rows]})
+            yield pd.DataFrame({"row_set": [r[0] for r in rows], "row": [r[1] for r in rows]})
 
     parsed = raw.select(F.col(column).alias("sql")).mapInPandas(parse, "row_set string, row map<string,string>")
     return {snake(name): parsed.where(F.col("row_set") == snake(name)).select(*[F.try_element_at("row", F.lit(c)).alias(c) for c in columns.split(", ")]) for name, columns in ROW_SETS.items()}
