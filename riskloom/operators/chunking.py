@@ -136,3 +136,62 @@ def entry_points(files: DataFrame, path: str = "path", content: str = "content")
     verb = F.upper(F.regexp_extract("line", r"\b(?:router|app)\.(get|post|put|patch|delete|options|head)\s*\(", 1))
     hits = lines.select("path", (F.col("k") + 1).alias("line"), F.when((method != "") & F.col("route").isNotNull(), F.concat_ws(" ", method, "route")).when(routed != "", F.concat_ws(" ", verb, routed)).alias("label"))
     return hits.where("label IS NOT NULL")
+
+
+def hint_ranges(hints: DataFrame, path: str = "path", start: str = "start_line", end: str = "end_line", around: int = 24) -> DataFrame:
+    """Hints of tools, widened and merged into islands: (path, start_line, end_line)."""
+    from riskloom.operators.intervals import merge_intervals
+
+    wide = hints.select(F.col(path).alias("path"), F.greatest(F.lit(1), F.col(start) - around).alias("start_line"), (F.col(end) + around).alias("end_line"))
+    return merge_intervals(wide, ["path"], "start_line", "end_line").drop("n_ranges")
+
+
+def uncovered(ranges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Ranges of a path that touch none of its anchors(path, start_line, end_line): an equality with a residual, then an anti join."""
+    a = anchors.select("path", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    hit = ranges.join(a, "path").where("s <= end_line AND start_line <= e").select(ranges["path"], ranges["start_line"], ranges["end_line"]).distinct()
+    return ranges.join(hit, ["path", "start_line", "end_line"], "left_anti")
+
+
+def public_env_anchors(files: DataFrame, path: str = "path", content: str = "content", around: int = 10) -> DataFrame:
+    """Islands around lines that put a secret's name into a public variable."""
+    from riskloom.functions.detectors import PUBLIC_ENV_SECRET
+
+    lines = files.select(F.col(path).alias("path"), F.posexplode(lines_of(F.col(content))).alias("k", "line")).where(F.col("line").rlike(PUBLIC_ENV_SECRET))
+    return hint_ranges(lines.select("path", (F.col("k") + 1).alias("start_line"), (F.col("k") + 1).alias("end_line")), around=around)
+
+
+#: What a range is chosen for; base ranges are always taken, the others by this order up to a ceiling.
+PRIORITY = {"sink": 3, "entry": 2, "hint": 1}
+
+
+def choose_ranges(ranges: DataFrame, most: int = 6) -> DataFrame:
+    """All base ranges of an anchor, then others by priority and start until it has `most`: ranges(path, anchor, start_line, end_line, reason)."""
+    from pyspark.sql import Window as W
+
+    weight = F.lit(0)
+    for name, n in PRIORITY.items():
+        weight = F.when(F.col("reason") == name, n).otherwise(weight)
+    base = F.col("reason") == "base"
+    rank = F.row_number().over(W.partitionBy("path", "anchor").orderBy(base.desc(), weight.desc(), "start_line"))
+    return ranges.withColumn("rn__", rank).where(base | (F.col("rn__") <= most)).drop("rn__")
+
+
+def anchor_chunks(files: DataFrame, anchors: DataFrame, size: int = 160, overlap: int = 40, least: int = 50) -> DataFrame:
+    """Chunks of files(path, content) within anchors(path, anchor, start_line, end_line):
+    header lines, a blank line and the code. An anchor's chunks share an overlap group;
+    chunks are numbered in the file's order, and the id covers the header too."""
+    from pyspark.sql import Window as W
+
+    held = files.select("path", lines_of(F.col("content")).alias("lines__")).join(anchors.select("path", "anchor", F.col("start_line").alias("a__"), F.col("end_line").alias("z__")), "path")
+    held = held.withColumn("z__", F.least("z__", F.size("lines__"))).withColumn("n__", F.col("z__") - F.col("a__") + 1).where("n__ > 0")
+    cut = chunk_ranges(held, "n__", size, overlap).withColumns({"start_line": F.col("start_line") + F.col("a__") - 1, "end_line": F.col("end_line") + F.col("a__") - 1})
+    code = F.array_join(F.expr("slice(lines__, start_line, end_line - start_line + 1)"), "\n")
+    rows = header_columns(cut.withColumn("content", code), "path", "content").where(F.length(F.regexp_replace("content", r"\s", "")) >= least)
+    rows = rows.withColumn("inputs", F.array_join("input_sources", ", ")).withColumn("holds", F.array_join("data_sensitivity", ", "))
+    header = render_header(["entry_type", "execution_role", "authenticated", "authorized", "inputs", "holds"])
+    whole = rows.withColumn("chunk", F.concat(header, F.lit("\n\n"), "content")).withColumn("overlap_group_id", F.sha2(F.concat_ws(":", "path", "a__", "z__"), 256))
+    digest = F.sha2("chunk", 256)
+    out = whole.withColumn("chunk_uid", F.sha2(F.concat_ws(":", "path", "start_line", "end_line", digest), 256)).withColumn("content_hash", digest)
+    number = F.row_number().over(W.partitionBy("path").orderBy("start_line", "end_line", "anchor")) - 1
+    return out.dropDuplicates(["chunk_uid"]).withColumn("chunk_index", number).select("path", "anchor", "chunk_index", "start_line", "end_line", "chunk", "content_hash", "chunk_uid", "overlap_group_id", "primary_symbol", "entry_type")
