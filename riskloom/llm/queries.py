@@ -67,7 +67,30 @@ QUERIES = {
     "op10_repeats": op10_repeats_query,
 }
 
+#: Words between ASCII white space, A-Z lower-cased.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
 ORACLE_SQL = {
+    "op2_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))
+                                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+        c AS (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op10_repeats": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        k AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50),
+        g AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS g FROM k),
+        h AS (SELECT g, min(doc_id) AS lo FROM g GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+        i AS (SELECT doc_id, k, lo, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM g JOIN h USING (g))
+        SELECT doc_id, min(k) - 1 AS start_word, max(k) + 49 AS end_word, max(k) - min(k) + 50 AS n_words, min(lo) AS first_doc_id
+        FROM i GROUP BY doc_id, island""",
     "op8_warc": r"""
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
         h AS (SELECT *, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS winner FROM p)
