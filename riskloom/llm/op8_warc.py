@@ -133,6 +133,12 @@ def assign(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("winner"), F.col("winner")).alias("refers_to"))
 
 
+def table_of(captures: list[tuple]) -> pd.DataFrame:
+    """Captures as columns; ids stay whole numbers beside nulls."""
+    key, stamp, page, file, offset, length = zip(*captures)
+    return pd.DataFrame({"url_key": key, "stamp": stamp, "page_id": pd.array(page, dtype="Int64"), "file": file, "offset": offset, "length": length})
+
+
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Writes the archives; the result holds the captures in sorted runs:
     (run, nth, url_key, stamp, page_id, file, offset, length), in written form."""
@@ -143,8 +149,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
         def runs() -> pd.DataFrame:
             held.sort(key=lambda r: (r[0], r[1], r[3], r[4]))
-            pdf = pd.DataFrame(held, columns=["url_key", "stamp", "page_id", "file", "offset", "length"])
-            pdf["page_id"] = pdf["page_id"].astype("Int64")
+            pdf = table_of(held)
             pdf.insert(0, "nth", range(len(pdf)))
             pdf.insert(0, "run", f"{name}/{run}")
             return pdf
@@ -168,7 +173,8 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if held:
             yield runs()
 
-    return materialise(records.mapInPandas(write, "run string, nth long, url_key string, stamp string, page_id long, file string, offset long, length long"), "cdx-runs")
+    exact = records.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
+    return materialise(exact.mapInPandas(write, "run string, nth long, url_key string, stamp string, page_id long, file string, offset long, length long"), "cdx-runs")
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
@@ -179,21 +185,21 @@ def merge_index(runs: DataFrame) -> DataFrame:
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slices: dict[str, list[tuple]] = {}
         for b in batches:
-            b["page_id"] = b["page_id"].astype("Int64")
-            for run, *row in b[["run", *names]].itertuples(index=False, name=None):
-                slices.setdefault(run, []).append(tuple(row))
+            for run, key, stamp, page, *row in b[["run", *names]].itertuples(index=False, name=None):
+                slices.setdefault(run, []).append((key, stamp, None if pd.isna(page) else int(page), *row))
         merged = LoserTree(list(slices.values()), key=lambda r: (r[0], r[1], r[3], r[4]))
         rows: list[tuple] = []
         for row in merged:
             rows.append(row)
             if len(rows) >= 10_000:
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                yield table_of(rows)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+            yield table_of(rows)
 
     ranged = runs.repartitionByRange("url_key", "stamp", "page_id", "file", "offset").sortWithinPartitions("run", "nth")
-    return ranged.mapInPandas(merge, "url_key string, stamp string, page_id long, file string, offset long, length long")
+    exact = ranged.select("run", "nth", "url_key", "stamp", F.col("page_id").cast("string").alias("page_id"), "file", "offset", "length")
+    return exact.mapInPandas(merge, "url_key string, stamp string, page_id long, file string, offset long, length long")
 
 
 def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -210,9 +216,9 @@ def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
                         for i, offset, length in part.sort_values("offset")[["offset", "length"]].itertuples(name=None):
                             src.seek(offset)
                             rows[i] = parse(src.read(length))
-                out = pd.DataFrame([rows[i] for i in b.index])
-                out["url_key"], out["stamp"] = b["url_key"].to_numpy(), b["stamp"].to_numpy()
-                yield out[columns].astype({"page_id": "Int64", "refers_to": "Int64"})
+                whole_ids = {c: pd.array([rows[i].pop(c) for i in b.index], dtype="Int64") for c in ("page_id", "refers_to")}
+                out = pd.DataFrame([rows[i] for i in b.index]).assign(url_key=b["url_key"].to_numpy(), stamp=b["stamp"].to_numpy(), **whole_ids)
+                yield out[columns]
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, stamp string" + ", payload binary" * with_payload
     return index.mapInPandas(read, schema)

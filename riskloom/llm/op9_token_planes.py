@@ -147,8 +147,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
             out.close()
             yield pd.DataFrame({"part": [part], "name": [name], "n_docs": [len(writer.docs)], "n_tokens": [total]})
 
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    rows = ranged.mapInPandas(write, "part int, name string, n_docs long, n_tokens long").collect()  # one row a file
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    exact = ranged.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would turn ids beside a null into floats
+    rows = exact.mapInPandas(write, "part int, name string, n_docs long, n_tokens long").collect()  # one row a file
     files, start = [], 0
     for r in sorted(rows, key=lambda r: r["part"]):
         files.append({"path": f"{folder}/{r['name']}", "start": start, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
@@ -178,8 +179,8 @@ def read_files(spark: SparkSession, files: list[dict], with_ids: bool = False) -
                     yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=columns)
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        out = pd.DataFrame([r[1:] for r in rows], columns=columns[1:])
+        out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
         return out
 
     columns = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids

@@ -278,7 +278,7 @@ def test_exact_dedup_against_history(spark):
 def test_warc(spark, tmp_path):
     rng = random.Random(7)
     bodies = [None, "", "<p>x</p>", "é" * 50] + [words(rng, 30) for _ in range(20)]
-    rows = [(k, f"https://h{k % 5}.org/{rng.randrange(9)}", bodies[k % len(bodies)]) for k in range(70)] + [(None, None, "z"), (80, None, "z"), (3, "http://a/", "q")]
+    rows = [(k, f"https://h{k % 5}.org/{rng.randrange(9)}", bodies[k % len(bodies)]) for k in range(70)] + [(None, None, "z"), (80, None, "z"), (3, "http://a/", "q"), (2**60 + 1, "http://b/", "big"), (2**60 + 3, "http://c/", "big")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, winner string").repartition(3)
     got = op8_warc.warc_round_trip(pages, str(tmp_path), with_payload=True).collect()
     top = defaultdict(int)
@@ -311,6 +311,8 @@ def test_token_planes(docs, texts, empty, tmp_path, bits):
         assert r.start == at and bytes(r.ids) in own[r.doc_id] and r.ids_crc32 == zlib.crc32(r.ids) and r.n_tokens * 4 == len(r.ids)
         at += r.n_tokens
     assert op9_token_planes.token_planes(empty).count() == 0
+    odd = docs.sparkSession.createDataFrame([(None, "x"), (2**60 + 1, "y"), (2**60 + 2, "z")], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in op9_token_planes.token_planes(odd).orderBy("start").collect()] == [None, 2**60 + 1, 2**60 + 2]
 
 
 def spans_of(texts, n):
