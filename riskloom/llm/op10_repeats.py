@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialise, mix, space_words
+from .common import WordHash, forget, materialise, mix, space_words
 
 MIN_WORDS, DEPTH = 50, 20
 _BASE = 0x9E3779B97F4A7C15
@@ -102,11 +102,17 @@ def agreeing(suffix: DataFrame) -> DataFrame:
             sure, keep = np.repeat(sure, size), np.repeat(sure | open_, size)
             yield pa.RecordBatch.from_arrays([*(b.column(c).filter(pa.array(keep)) for c in range(3)), pa.array(sure[keep])], ["key", "doc_id", "pos", "sure"])
 
+    suffix = materialise(suffix, "suffixes")  # range partitions are drawn from a first pass over them
     ordered = suffix.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
     found = materialise(ordered.mapInArrow(neighbours, "key long, doc_id long, pos int, sure boolean"), "suffix-order")
+    forget(suffix)
     rest = found.where("not sure")
-    across = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    return found.where("sure").select("doc_id", "pos").union(rest.join(across, "key", "left_semi").select("doc_id", "pos"))
+    across = rest.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    settled = found.where("sure").join(across.select("key"), "key", "left_semi").select("key").distinct()
+    across = across.where("lo <> hi").select("key").union(settled).distinct()
+    places = materialise(found.where("sure").select("doc_id", "pos").union(rest.join(across, "key", "left_semi").select("doc_id", "pos")), "suffix-places")
+    forget(found)
+    return places
 
 
 def windows_around(docs: DataFrame, places: DataFrame, min_words: int, depth: int) -> DataFrame:
@@ -138,7 +144,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEP
     """Maximal runs of words of which every min_words-word window also stands in
     another document: doc_id, start_word, end_word (past the last), n_words, and
     first_doc_id, the smallest doc_id that has one of its windows."""
-    places = materialise(agreeing(suffixes(docs, min_words, depth)), "suffix-places")
+    places = agreeing(suffixes(docs, min_words, depth))
     around = materialise(windows_around(docs, places, min_words, depth), "suffix-windows")
     shared = around.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("hash", "lo")
     hits = around.join(shared, "hash").select("doc_id", "at", "lo")

@@ -14,7 +14,18 @@ import numpy as np
 
 END_ID = 2
 _MEMO_WORDS = 900_000
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+#: letters whose lower case and composed form are plain, then marks
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual letters for bytes in byte-level vocabularies: visible ones stand for themselves, the others follow from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 def default_path() -> str:
@@ -42,13 +53,13 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.by_word = by_word
         self.memo: dict[str, bytes] = {}
-        #: plain ASCII words can go straight to the model when the file lower-cases and splits letters from marks
-        self.plain = by_word and [e.ids for e in self.tok.encode_batch(["Abc,.;:!?", "abc"], add_special_tokens=False)] == [
-            [*self._model("abc"), *self._encode([",.;:!?"])[0]], self._model("abc")
-        ]
+        #: plain words can go straight to the model when the file lower-cases, works on bytes and splits letters from marks
+        tried = ["Abc,.;:!?", "abc", "ÀÉîöÿßÑàí", "THEre"]
+        self.plain = by_word and self._encode(tried) == [[*self._model("abc"), *self._encode([",.;:!?"])[0]], *map(self._model, ("abc", "àéîöÿßñàí", "there"))]
 
     def _model(self, word: str) -> list[int]:
-        return [t.id for t in self.tok.model.tokenize(word)]
+        spelled = word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()])
+        return [t.id for t in self.tok.model.tokenize(spelled)]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
