@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import severity
 from riskloom.functions import text as t
-from riskloom.shared import connected_components
+from riskloom.shared import connected_components, materialise
 
 #: Columns that the merge decision reads; all texts, empty where unknown.
 FACTS = ["stored_key", "identity_v1", "merge_rule", "candidate", "entry_point", "symbol", "anchor_id", "overlap_id", "repo_name", "identity_type", "dedupe_category", "canonical_path", "kind"]
@@ -206,3 +206,17 @@ def similar_pairs(rows: DataFrame, block: list[str], row_id: str, words: str, sh
     pairs = a.join(b, [*block, "w__"]).where((F.col("a") < F.col("b")) & (F.least("na__", "nb__") >= F.lit(share) * F.greatest("na__", "nb__"))).select("a", "b").distinct()
     left, right = named.select(F.col("id__").alias("a"), F.col("words__").alias("wa")), named.select(F.col("id__").alias("b"), F.col("words__").alias("wb"))
     return pairs.join(left, "a").join(right, "b").withColumn("score", t.jaccard(F.col("wa"), F.col("wb"))).where(F.col("score") >= share).select("a", "b", "score")
+
+
+def similar_classes(rows: DataFrame, block: list[str], row_id: str, words: str, share: float = SIMILAR) -> DataFrame:
+    """(kind, a, b, score): rows of a block with equal word sets form a class, named by its
+    first id, so n copies give n rows instead of n * (n - 1) / 2. `same` gives each other
+    member b of class a; `near` the pairs of classes that similar_pairs finds. Rows without words are left out."""
+    named = rows.where(F.size(words) > 0).select(*block, F.col(row_id).alias("id__"), F.sha2(F.array_join(F.array_sort(words), "\x00"), 256).alias("set__"), F.col(words).alias("words__"))
+    named = materialise(named, "word-sets")  # words are taken from the texts once
+    plain = named.select(*block, "set__", "id__")
+    first = plain.groupBy(*block, "set__").agg(F.min("id__").alias("first__"))
+    same = plain.join(first, [*block, "set__"]).where("id__ <> first__").select(F.lit("same").alias("kind"), F.col("first__").alias("a"), F.col("id__").alias("b"), F.lit(1.0).alias("score"))
+    heads = first.select(F.col("first__").alias("id__"))
+    near = similar_pairs(materialise(named.join(heads, "id__", "left_semi").select(*block, "id__", "words__"), "word-classes"), block, "id__", "words__", share)
+    return same.unionByName(near.select(F.lit("near").alias("kind"), "a", "b", "score"))

@@ -387,6 +387,13 @@ def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.similar_pairs(d, ["source"], "doc_id", "words").withColumn("score", F.round("score", 6))
 
 
+@query()
+def near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by the words of the whole text: classes of equal word sets and pairs of classes."""
+    d = _docs(spark, sf_dir).select("doc_id", "source", t.summary_tokens(F.col("text")).alias("words"))
+    return dedupe.similar_classes(d, ["source"], "doc_id", "words").withColumn("score", F.round("score", 6))
+
+
 @query("""WITH e AS (SELECT event_id AS ord, user_id || ':' || event_type AS fp, CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS level, event_id % 5 AS r FROM events)
           SELECT fp, arg_min(ord, struct_pack(a := r, b := ord)) AS ord, arg_min(level, struct_pack(a := r, b := ord)) AS level, count(*) AS n_merged FROM e GROUP BY fp""")
 def reduce_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

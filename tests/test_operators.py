@@ -2,13 +2,16 @@
 
 import json
 import random
+import re
 from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import identity
+from riskloom.functions import text as t
 from riskloom.operators import catalog, chunking, dedupe, enrich, evals, graph, intervals, packing, report, rules, sampling, store
+from riskloom.plans import queries as plans
 from riskloom.sources import database, files, reports
 
 
@@ -175,6 +178,31 @@ def test_similar_pairs_equal_all_pairs(spark):
         assert got == {(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= share * len(sets[a][1] | sets[b][1]) - 1e-12}
 
 
+def _whole_word_sets(rows):
+    sets = {}
+    for k, source, text in rows:
+        w = {x for x in re.split("[^a-z0-9]+", (text or "").lower()) if x} - set(t.STOP_WORDS)
+        if w:
+            sets.setdefault((source, frozenset(w)), []).append(k)
+    same = {("same", min(ids), k) for ids in sets.values() for k in ids if k != min(ids)}
+    reps = sorted((source, min(ids), w) for (source, w), ids in sets.items())
+    near = {("near", *sorted((a, b))) for k, (s, a, x) in enumerate(reps) for s2, b, y in reps[k + 1 :] if s == s2 and len(x & y) >= 0.88 * len(x | y) - 1e-12}
+    return same | near
+
+
+def test_near_texts_read_whole_texts(spark, tmp_path):
+    head = " ".join(f"head{k}" for k in range(30))
+    body = [" ".join(f"w{g}x{k}" for k in range(60)) for g in range(4)]
+    rows = [(1, "s", f"{head} {body[0]}"), (2, "s", f"{head} {body[1]}"), (3, "s", f"other opening {body[2]}"), (4, "s", f"changed start {body[2]}"), (5, "t", body[3]), (6, "s", None), (7, "s", "the a")]
+    rows += [(k, "t", body[3]) for k in range(100, 150)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.near_texts(spark, str(tmp_path)).collect()
+    assert {(r.kind, r.a, r.b) for r in got} == _whole_word_sets(rows) == {("near", 3, 4)} | {("same", 5, k) for k in range(100, 150)} and len(got) == 51
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()]
+    assert {(r.kind, r.a, r.b) for r in plans.near_texts(spark, sf).collect()} == _whole_word_sets(docs)
+
+
 def test_reduce_passes_odd_rows_through(spark):
     rows = [("k", 1, "low", ["a"], "r1"), ("k", 2, "high", ["b"], "r1"), ("k", 3, "high", ["c"], "r2"), ("", 4, "low", ["d"], "r1"), (None, 5, "low", [], None)]
     got = dedupe.reduce_by_fingerprint(spark.createDataFrame(rows, "fp string, ord long, level string, evidence array<string>, rule string"), "fp", "ord", "level", "evidence", ["rule"]).collect()
