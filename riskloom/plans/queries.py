@@ -238,6 +238,18 @@ def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.longest_prefix(p, known, "path", "prefix", ["page_id"]).where("prefix IS NOT NULL").select("page_id", "prefix")
 
 
+@query("""WITH u AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages),
+          c AS (SELECT page_id, array_to_string(p[1:n], '/') AS prefix FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS n FROM u)),
+          f AS (SELECT DISTINCT array_to_string(p[1:2], '/') AS prefix FROM u),
+          b AS (SELECT page_id, arg_max(prefix, length(prefix)) AS prefix FROM c JOIN f USING (prefix) GROUP BY page_id)
+          SELECT u.page_id, b.prefix FROM u LEFT JOIN b USING (page_id)""")
+def longest_prefix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes known from all pages, and every page in the result."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    known = p.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("prefix"))
+    return intervals.longest_prefix(p, known, "path", "prefix", ["page_id"]).select("page_id", "prefix")
+
+
 # sampling and packing -----------------------------------------------------------------------------------------
 
 
@@ -295,6 +307,8 @@ def _rule_values() -> str:
 
 SIGNALS_OF_EVENTS = ["public_entrypoint", "api_handler", "raw_sql_sink", "untrusted_input_present", "secrets_access", "webhook_handler", "authn_present", "frontend_dom_write", "exec_sink", "orm_query_sink"]
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
 
 def _signal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of a user: one for each of ten kinds of events, by value."""
@@ -313,9 +327,28 @@ def rule_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.match_rules(_signal_chunks(spark, sf_dir), rules.catalogue(spark)).drop("prompt_tokens")
 
 
+def _event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of a user over all events: each kind of event gives one signal, and another from a value of 150 on, so the sets differ between users."""
+    kind = F.greatest(F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.coalesce("event_type", F.lit(""))), F.lit(1))
+    named = F.element_at(F.array(*map(F.lit, SIGNALS_OF_EVENTS)), (2 * kind - F.when(F.col("value") >= 150, 0).otherwise(1)).cast("int"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("chunk_uid")).agg(F.collect_set(named).alias("signals"))
+    return e.withColumn("exposure", F.when(F.col("chunk_uid") % 2 == 0, "public").otherwise("internal")).withColumn("role", F.when(F.col("chunk_uid") % 3 == 0, "api_handler").otherwise("job_worker"))
+
+
+@query(f"""WITH n AS (SELECT user_id, [{', '.join(f"'{s}'" for s in SIGNALS_OF_EVENTS)}][2 * greatest(coalesce(list_position([{', '.join(f"'{s}'" for s in EVENT_TYPES)}], event_type), 0), 1) - CASE WHEN value >= 150 THEN 0 ELSE 1 END] AS signal FROM events),
+          c AS (SELECT user_id AS chunk_uid, list_distinct(list(signal)) AS signals FROM n GROUP BY user_id),
+          r(rule_id, category, needs_all, needs_any, optional) AS (VALUES {_rule_values()}),
+          m AS (SELECT chunk_uid, rule_id, category, round(3 * len(list_intersect(needs_all, signals)) + CASE WHEN len(list_intersect(needs_any, signals)) > 0 THEN 2 ELSE 0 END + len(list_intersect(optional, signals))
+                  + CASE WHEN chunk_uid % 2 = 0 THEN 0.25 ELSE 0 END + CASE WHEN chunk_uid % 3 = 0 THEN 0.15 ELSE 0.1 END, 2) AS score
+                FROM c, r WHERE list_has_all(signals, needs_all) AND (len(needs_any) = 0 OR list_has_any(needs_any, signals)))
+          SELECT chunk_uid, rule_id, category, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY chunk_uid ORDER BY score DESC, rule_id) AS INTEGER) AS rank FROM m""")
+def rule_eligibility_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.match_rules(_event_chunks(spark, sf_dir), rules.catalogue(spark)).drop("prompt_tokens")
+
+
 @query()
 def rule_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.select_rules(_signal_chunks(spark, sf_dir), rules.catalogue(spark))
+    return rules.select_rules(_event_chunks(spark, sf_dir), rules.catalogue(spark))
 
 
 # identity, dedupe, merge --------------------------------------------------------------------------------------

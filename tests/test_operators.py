@@ -5,6 +5,7 @@ import random
 import re
 from collections import namedtuple
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,32 @@ def test_rule_routes(spark):
     assert {r.chunk_uid: bool(r.h) for r in risky} == {"a": True, "b": False, "c": False, "d": True}
 
 
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def _sql_rows(sql, tables):
+    con = duckdb.connect()
+    for name, folder in tables.items():
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet{'' if folder.startswith('/root') else '/*.parquet'}'")
+    return sorted(con.sql(sql).fetchall())
+
+
+def test_rules_see_all_events_and_prefixes_all_pages(spark, tmp_path):
+    # no event_id is a multiple of 7, no page_id one of 3
+    spark.createDataFrame([(1, 5, "error", 1.0), (2, 5, "error", 200.0), (3, 6, "click", 1.0), (4, 6, "click", None), (5, 8, "odd", 1.0)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "http://a.org/x/1"), (2, "http://b.org/y/2")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    names = plans.SIGNALS_OF_EVENTS
+    assert {r.chunk_uid: sorted(r.signals) for r in plans._event_chunks(spark, str(tmp_path)).collect()} == {5: sorted(names[2:4]), 6: [names[0]], 8: [names[0]]}
+    assert {r.chunk_uid for r in plans.rule_selection(spark, str(tmp_path)).select("chunk_uid").collect()} == {5, 6, 8}
+    assert _rows(plans.longest_prefix_all(spark, str(tmp_path))) == [(1, "a.org/x"), (2, "b.org/y")]
+    for folder in (str(tmp_path), "/root/testdata/sf0.01"):
+        for name in ("rule_eligibility_all", "longest_prefix_all"):
+            got = _rows(plans.QUERIES[name](spark, folder))
+            assert got == _sql_rows(plans.ORACLE[name], {"events": folder, "pages": folder}), name
+    assert len({tuple(sorted(r.signals)) for r in plans._event_chunks(spark, "/root/testdata/sf0.01").collect()}) > 10
+
+
 def test_open_scan_reasons(spark):
     r = spark.createDataFrame([(["exec_sink"], 1, "signals_primary", 0), ([], 9, "role_fallback", 0), (["api_handler"], 9, "signals_primary", 0)], "s array<string>, n int, t string, f int")
     got = [x.r for x in r.select(rules.open_scan_reasons(F.col("s"), F.col("n"), F.col("t"), F.col("f")).alias("r")).collect()]
