@@ -15,8 +15,10 @@ ASCII. The answer is the text after the last line break or, without one, the las
 sentence; an item of one sentence is split in half.
 
 The index is sent to the tasks in shards of at most SHARD_ITEMS items and
-SHARD_WORDS words, each with a scan of the documents of its own; longer items are
-indexed by consecutive parts.
+SHARD_WORDS words, each with a scan of the documents of its own. Items of over
+PART_WORDS words are indexed by equal consecutive parts, which only retrieve: a
+part's hit has the whole item scored and verified on as many words around it as
+the item may take.
 
 Cases: null or empty texts and items have no words and match nothing; equal items
 are each reported; repeated documents each get their rows; an empty table gives no
@@ -59,30 +61,43 @@ def question_answer(text: str) -> tuple[set[bytes], set[bytes]]:
     return set(w[: (len(w) + 1) // 2]), set(w[len(w) // 2 :])
 
 
+def parts_of(words: list[bytes]) -> list[list[bytes]]:
+    """The words in the least number of parts of PART_WORDS at most, as equal as can be."""
+    n = -(-len(words) // PART_WORDS)
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
+
+
 class Index:
     """Postings with normalised impacts over (item_id, text) rows."""
 
     def __init__(self, items: list[tuple[int, str]], n_blocks: int = 64):
-        self.ids, self.texts, bags = [], [], []
+        #: of each part: its item, the item's first part, where the part begins
+        self.ids, self.first, self.begins, texts, bags = [], [], [], {}, []
         for item, text in sorted(items, key=lambda r: (len(words_of(r[1])), r[0] is None, r[0] or 0)):
-            words = words_of(text)
-            pieces = [text] if len(words) <= PART_WORDS else [" ".join(w.decode("utf-8", "replace") for w in words[k : k + PART_WORDS]) for k in range(0, len(words), PART_WORDS)]
-            for piece in pieces if words else []:
+            head, begin = len(bags), 0
+            for part in parts_of(words_of(text)):
+                texts[head] = text
                 self.ids.append(item)
-                self.texts.append(piece)
-                bags.append(Counter(words_of(piece)))
+                self.first.append(head)
+                self.begins.append(begin)
+                bags.append(Counter(part))
+                begin += len(part)
         n = len(bags)
         self.longest = max([1, *(sum(b.values()) for b in bags)])
         mean = sum(sum(b.values()) for b in bags) / max(1, n)
         df = Counter(w for b in bags for w in b)
         self.term = {w: k for k, w in enumerate(sorted(df))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for i, bag in enumerate(bags):
+
+        def impacts(bag: Counter) -> dict[bytes, float]:
             size = sum(bag.values())
             impact = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)) for w, tf in bag.items()}
             whole = sum(impact.values())
-            for w, x in impact.items():
-                postings[self.term[w]].append((i, x / whole))
+            return {w: x / whole for w, x in impact.items()}
+
+        for i, bag in enumerate(bags):
+            for w, x in impacts(bag).items():
+                postings[self.term[w]].append((i, x))
         self.items = [np.array([p[0] for p in row], np.int32) for row in postings]
         self.impacts = [np.array([p[1] for p in row], np.float32) for row in postings]
         self.block = max(8, -(-n // n_blocks))
@@ -96,7 +111,10 @@ class Index:
         for t in np.flatnonzero(self.common):
             slack[self.items[t]] += self.impacts[t]
         self.slack = np.array([slack[k * self.block : (k + 1) * self.block].max() for k in range(self.n_blocks)], np.float32)
-        self.checks = [(grams_of(words_of(t)), *question_answer(t), min(GRAM, len(words_of(t)))) for t in self.texts]
+        self.checks = {i: (grams_of(words_of(t)), *question_answer(t), min(GRAM, len(words_of(t)))) for i, t in texts.items()}
+        self.size = {i: len(words_of(t)) for i, t in texts.items()}
+        #: impacts of the items that have several parts
+        self.long = {i: impacts(Counter(words_of(texts[i]))) for i in texts if self.size[i] > PART_WORDS}
 
     def skips_common(self, threshold: float) -> bool:
         """Whether a passage without rarer words stays below the threshold."""
@@ -145,8 +163,8 @@ class Index:
         return found
 
     def search(self, texts: list[str | None], threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, float, int]]:
-        """(text number, item, score, gram, question, answer share, passage start) of
-        verified matches, the best passage for each text and item."""
+        """(text number, item's first part, score, gram, question, answer share, passage
+        start) of verified matches, the best passage for each text and item."""
         if not self.n_blocks:
             return []
         stride = max(64, self.longest * 5 // 4)
@@ -173,12 +191,19 @@ class Index:
             if not words:  # the stride between two texts; the next text's first words have a window of their own
                 continue
             terms = np.unique([t for w in words if (t := get(w, -1)) >= 0]).astype(int)
-            for item, score in self.wand(terms, int(block), threshold):
+            for part, score in self.wand(terms, int(block), threshold):
+                item, lo, passage = self.first[part], start, words
+                if item in self.long:
+                    size = self.size[item]
+                    lo = max(0, start - self.begins[part] - size // 4)
+                    passage = docs[d][lo : start + 2 * stride + size - self.begins[part] + size // 4]
                 grams, question, answer, n = self.checks[item]
-                there, bag = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}, set(words)
+                there, bag = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}, set(passage)
+                if item in self.long:
+                    score = sum(x for w, x in self.long[item].items() if w in bag)
                 shares = len(grams & there) / max(1, len(grams)), len(question & bag) / max(1, len(question)), len(answer & bag) / max(1, len(answer))
-                if min(shares) >= overlap:
-                    row = (score, *shares, start)
+                if score >= threshold - 1e-5 and min(shares) >= overlap:
+                    row = (score, *shares, lo)
                     if (d, item) not in best or row[:4] > best[d, item][:4]:
                         best[d, item] = row
         return [(d, i, *row) for (d, i), row in sorted(best.items())]

@@ -146,6 +146,22 @@ def test_search_with_common_words_only():
     assert len(index.search(["x the same words for all items y"], 0.6, 0.8)) == 30
 
 
+@pytest.mark.parametrize("n", [400, 401, 801, 1300, 2000])
+def test_long_items_are_verified_whole(n):
+    rng = random.Random(n)
+    word = lambda: f"v{rng.randrange(4000)}"
+    item = [word() for _ in range(n)]
+    index = op4_decontaminate.Index([(7, " ".join(item)), *((k, " ".join(word() for _ in range(30))) for k in range(20, 40))])
+    assert max(sum(1 for w in p) for p in op4_decontaminate.parts_of(item)) - min(len(p) for p in op4_decontaminate.parts_of(item)) <= 1
+    noise = lambda m: [word() for _ in range(m)]
+    texts = [
+        " ".join([*noise(300), *item, *noise(700)]), " ".join([*item[:-1], *noise(30), item[-1]]), " ".join(item),
+        " ".join([*noise(100), item[-1], *noise(100)]), " ".join([*noise(20), *item[: n // 2], *noise(20)]), " ".join([*noise(20), *item[n // 2 :]]),
+    ]
+    got = [(d, index.ids[i]) for d, i, *_ in index.search(texts, 0.6, 0.8) if index.ids[i] == 7]
+    assert got == [(0, 7), (1, 7), (2, 7)]
+
+
 def test_best_cut_lies_in_the_gap():
     good, bad = np.array([1.0, 2, 3, -1]), np.array([-10.0, -20, -1.5])
     assert -1.5 < op5_importance.best_cut(good, bad) < -1
