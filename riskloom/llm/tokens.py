@@ -14,6 +14,9 @@ import numpy as np
 
 END_ID = 2
 _MEMO_WORDS = 900_000
+#: what str.split() cuts at, without U+001C to U+001F, which the tokenizer encodes
+_WORDS = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: letters whose lower case and composed form are plain, then marks
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -88,7 +91,7 @@ class Encoder:
             return b""
         if not self.by_word:
             return np.array(self._encode([text])[0], "<u4").tobytes()
-        words, memo = text.split(), self.memo
+        words, memo = _WORDS.findall(text) if any(c in text for c in _ODD) else text.split(), self.memo
         if len(memo) > _MEMO_WORDS:
             memo.clear()
         if new := [w for w in set(words) if w not in memo]:

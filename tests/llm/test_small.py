@@ -25,6 +25,14 @@ def test_encoder_equals_whole_texts():
     assert enc.ids(None) == b""
 
 
+def test_encoder_keeps_the_separators_that_are_no_white_space():
+    enc = Encoder.of(default_path())
+    odd = [chr(c) for c in (*range(33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    for text in [x for c in odd for x in (c, f"!{c}!", f"a{c}b", f"x {c} y", f"it{c}'s {c}{c}")] + ["a".join(odd)]:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(enc.ids("!\x1c!"), "<u4").tolist() == [0, 216, 256] and np.frombuffer(enc.ids("\x1f"), "<u4").tolist() == [475]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(bits, n):
