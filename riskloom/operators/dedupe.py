@@ -147,11 +147,11 @@ def specificity(flat_summary: Column, details: str = "details") -> Column:
 
 def merged_findings(flat: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row for each cluster: worst severity, most telling summary, all evidence, tools and rules in order."""
-    rows = flat.join(clusters, "ord")
+    rows = flat.join(clusters, "ord").withColumn("told", F.struct(specificity(F.col("summary")).alias("s"), (-F.col("ord")).alias("o"), "summary"))
+    # one row for each cluster, tool and rule first: what is collected does not grow with the findings
+    rows = rows.groupBy("cluster", "tool", "merge_rule").agg(F.count("*").alias("n"), F.max(severity.rank(F.col("severity"))).alias("rank"), F.max("told").alias("told"), F.min(F.struct("ord", "canonical_path")).alias("at"), F.min("ord").alias("ord"), F.min("start_line").alias("start_line"))
     seq = lambda c: F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("v")))), lambda x: x["v"]), lambda v: v != ""))
-    worst = F.max(severity.rank(F.col("severity")))
-    told = F.max_by("summary", F.struct(specificity(F.col("summary")).alias("s"), (-F.col("ord")).alias("o")))
-    return rows.groupBy("cluster").agg(F.count("*").alias("n_findings"), severity.by_rank(worst).alias("severity"), told.alias("summary"), seq("tool").alias("detected_by"), seq("merge_rule").alias("rules"), F.min_by("canonical_path", "ord").alias("canonical_path"), F.min("start_line").alias("start_line"))
+    return rows.groupBy("cluster").agg(F.sum("n").alias("n_findings"), severity.by_rank(F.max("rank")).alias("severity"), F.max("told")["summary"].alias("summary"), seq("tool").alias("detected_by"), seq("merge_rule").alias("rules"), F.min("at")["canonical_path"].alias("canonical_path"), F.min("start_line").alias("start_line"))
 
 
 def reduce_by_fingerprint(rows: DataFrame, fingerprint: str, order: str, level: str, evidence: str, guards: list[str]) -> DataFrame:
@@ -164,9 +164,12 @@ def reduce_by_fingerprint(rows: DataFrame, fingerprint: str, order: str, level:
     for g in guards:
         agree = agree & ((F.coalesce(g, F.lit("")) == "") | (F.coalesce(F.col(f"first_{g}"), F.lit("")) == "") | (F.col(g) == F.col(f"first_{g}")))
     marked = keyed.join(first, fingerprint).withColumn("merges__", agree).drop(*[f"first_{g}" for g in guards])
-    best = F.max_by(F.struct(*[c for c in rows.columns if c not in (fingerprint, evidence)]), F.struct(severity.rank(F.col(level)).alias("r"), (-F.col(order)).alias("o")))
+    worth = F.struct(severity.rank(F.col(level)).alias("r"), (-F.col(order)).alias("o"))
+    best = F.max_by(F.struct(*[c for c in rows.columns if c not in (fingerprint, evidence)]), worth)
+    # one row for each fingerprint and evidence first: what is collected does not grow with the rows
+    each = marked.where("merges__").groupBy(fingerprint, evidence).agg(best.alias("b"), F.max(worth).alias("w"), F.count("*").alias("n_merged"))
     union = F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence))))
-    one = marked.where("merges__").groupBy(fingerprint).agg(best.alias("b"), union.alias(evidence), F.count("*").alias("n_merged")).select(fingerprint, "b.*", evidence, "n_merged")
+    one = each.groupBy(fingerprint).agg(F.max_by("b", "w").alias("b"), union.alias(evidence), F.sum("n_merged").alias("n_merged")).select(fingerprint, "b.*", evidence, "n_merged")
     alone = marked.where("NOT merges__").drop("merges__").unionByName(rows.where(F.coalesce(fingerprint, F.lit("")) == "")).withColumn("n_merged", F.lit(1).cast("long"))
     return one.unionByName(alone.select(one.columns))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as t
+from riskloom.shared import materialise
 
 #: Other names of rules in expectations.
 RULE_ALIASES = {
@@ -35,23 +36,36 @@ def stable_ids(expected: DataFrame) -> DataFrame:
     return expected.withColumn("id", F.coalesce(t.present(F.col("id")), made))
 
 
+def _on_path(e: DataFrame, a: DataFrame, keys: list[str]) -> DataFrame:
+    """e and a of the same keys whose pattern matches the path: a plain pattern is a join key itself, one with a '*' is compared."""
+    starred = F.contains("pattern", F.lit("*"))
+    plain = e.where(~starred).join(a.withColumn("pattern", F.col("path")), [*keys, "pattern"])
+    return plain.unionByName(e.where(starred).join(a, keys).where(path_matches(F.col("pattern"), F.col("path"))).select(plain.columns))
+
+
 def candidate_pairs(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(group_id, e_ord, a_id, a_key): pairs that may match, best order first: the V2 key where the
     expectation has one, else the path pattern and an advisory of the same package or the
-    same rule. Every branch joins by equality on the group and a key or rule."""
+    same rule. Every branch joins by equality on the group, a key or rule, and the path where it is no pattern."""
     e = expected.select("group_id", F.col("ord").alias("e_ord"), F.col("filepath").alias("pattern"), F.coalesce("identity_key", F.lit("")).alias("key"), rule_alias(F.col("rule_id")).alias("rule"), t.alias_tokens(F.concat_ws(" ", "expectation", "rule_id")).alias("aliases"), F.lower(t.package_spec(F.col("expectation"))).alias("spec"))
     a = actual.select("group_id", F.col("id").alias("a_id"), F.col("filepath").alias("path"), F.coalesce("identity_key", F.lit("")).alias("key"), F.explode_outer("rules").alias("r"), F.lower(F.concat_ws("@", "package_name", "package_version")).alias("spec")).withColumn("rule", rule_alias(F.col("r")))
-    by_key = e.where("key <> ''").join(a.drop("rule", "spec"), ["group_id", "key"]).where(path_matches(F.col("pattern"), F.col("path"))).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
+    by_key = _on_path(e.where("key <> ''").drop("rule", "aliases", "spec"), a.drop("rule", "spec"), ["group_id", "key"]).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
     loose = e.where("key = ''").drop("key")
-    by_rule = loose.drop("spec").join(a.where("rule <> ''").drop("spec"), ["group_id", "rule"]).where(path_matches(F.col("pattern"), F.col("path"))).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
-    by_spec = loose.drop("rule").join(a.where("spec <> ''").drop("rule"), ["group_id", "spec"]).where(path_matches(F.col("pattern"), F.col("path")) & F.arrays_overlap("aliases", t.alias_tokens(F.col("r")))).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
+    by_rule = _on_path(loose.drop("spec"), a.where("rule <> ''").drop("spec"), ["group_id", "rule"]).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
+    by_spec = _on_path(loose.drop("rule"), a.where("spec <> ''").drop("rule"), ["group_id", "spec"]).where(F.arrays_overlap("aliases", t.alias_tokens(F.col("r")))).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
     return by_key.union(by_rule).union(by_spec).distinct()
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """(group_id, e_ord, a_id): expectations in order each take their first free partner
-    (by key, then id). What is free depends on those before, so each group is walked;
-    rows stream sorted and the ids taken are held."""
+    (by key, then id). A pair whose ends have no other partner stands by itself. For the
+    others what is free depends on those before, so a group's are walked; rows stream
+    sorted and the ids taken are held."""
+    pairs = materialise(pairs, "pairs")
+    ones = pairs.groupBy("group_id", "e_ord").agg(F.count("*").alias("n"), F.min("a_id").alias("a_id")).where("n = 1").drop("n")
+    other = pairs.groupBy("group_id", "a_id").agg(F.count("*").alias("n"), F.min("e_ord").alias("e_ord")).where("n = 1").drop("n")
+    alone = ones.join(other, ["group_id", "e_ord", "a_id"]).select("group_id", "e_ord", "a_id")
+    rest = pairs.join(alone, ["group_id", "e_ord", "a_id"], "left_anti")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, taken, last = None, set(), None
@@ -66,8 +80,8 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
                     out.append((g, e, a))
             yield pd.DataFrame(out, columns=["group_id", "e_ord", "a_id"])
 
-    placed = pairs.repartition("group_id").sortWithinPartitions("group_id", "e_ord", "a_key", "a_id")
-    return placed.mapInPandas(walk, "group_id string, e_ord long, a_id string")
+    placed = rest.repartition("group_id").sortWithinPartitions("group_id", "e_ord", "a_key", "a_id")
+    return alone.union(placed.mapInPandas(walk, "group_id string, e_ord long, a_id string"))
 
 
 def evaluate(expected: DataFrame, actual: DataFrame, groups: DataFrame) -> DataFrame:

@@ -517,6 +517,12 @@ def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.snapshot_text(_docs(spark, sf_dir).select("source", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("digest")), ["source"], "path", "digest")
 
 
+@query()
+def snapshot_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot of a source by hashed folders: no row or task holds all its lines."""
+    return store.snapshot(_docs(spark, sf_dir).select("source", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("digest")), ["source"], "path", "digest")
+
+
 @query("""WITH l AS (SELECT event_id AS line_no, CASE event_id % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'rule' ELSE 'other' END AS kind, CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS payload FROM events WHERE event_id % 11 <> 0)
           SELECT kind, key, arg_max(payload, line_no) AS payload FROM l WHERE kind <> 'other' GROUP BY kind, key""")
 def resume_log(spark: SparkSession, sf_dir: str) -> DataFrame:

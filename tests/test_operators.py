@@ -1,5 +1,6 @@
 """Operators against plain Python, and the shapes that SQL checks do not reach."""
 
+import hashlib
 import json
 import random
 import re
@@ -363,6 +364,45 @@ def test_evaluation(spark):
     assert "| h | pass |" in evals.markdown(evals.spec_status(evals.evaluate(e, a, groups), "group_id"), "group_id")
 
 
+def test_matches_meet_by_path_and_equal_a_walk(spark):
+    rng = random.Random(11)
+    e = [(f"g{k % 2}", k, rng.choice([f"src/{rng.randrange(30)}.ts", "src/*.ts", f"src/{rng.randrange(3)}*.ts"]), rng.choice(["idor", "timeout"])) for k in range(60)]
+    a = [(f"g{k % 2}", str(k), f"src/{rng.randrange(30)}.ts", [rng.choice(["idor", "missing_timeout"])]) for k in range(80)]
+    expected = spark.createDataFrame([(g, k, "", p, "", "", r) for g, k, p, r in e], "group_id string, ord long, id string, filepath string, expectation string, identity_key string, rule_id string")
+    actual = spark.createDataFrame([(g, k, p, "", r, None, None) for g, k, p, r in a], "group_id string, id string, filepath string, identity_key string, rules array<string>, package_name string, package_version string")
+    pairs = evals.candidate_pairs(expected, actual)
+    wild = lambda p, path: re.fullmatch("[^/]*".join(map(re.escape, p.split("*"))), path)
+    alike = lambda r, x: r == x[0].removeprefix("missing_")
+    want = {(g, k, j) for g, k, p, r in e for h, j, path, x in a if g == h and alike(r, x) and wild(p, path)}
+    assert {(r.group_id, r.e_ord, r.a_id) for r in pairs.collect()} == want
+    taken, matched = set(), set()
+    for g, k, _, _ in e:
+        free = sorted(j for h, n, j in want if (h, n) == (g, k) and (g, j) not in taken)
+        if free:
+            taken.add((g, free[0]))
+            matched.add((g, k, free[0]))
+    assert {tuple(r) for r in evals.greedy_match(pairs).collect()} == matched
+    assert re.search(r"Join \[group_id#\d+, rule#\d+, pattern#\d+\]", pairs._jdf.queryExecution().executedPlan().toString())
+
+
+def test_snapshot_folders_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "doc_id", "text").collect()
+    lines, sha = {}, lambda s: hashlib.sha256(s.encode()).hexdigest()
+    d = spark.createDataFrame([(f"{r.doc_id}:{sha(r.text)}", r.source) for r in docs], "line string, source string")
+    for r in d.select("source", "line", F.pmod(F.xxhash64("line"), F.lit(4096)).alias("part")).collect():
+        lines.setdefault(r.source, {}).setdefault(r.part, []).append(r.line)
+    want = sorted((s, sha("\n".join(sha("\n".join(sorted(v))) for _, v in sorted(parts.items()))), sum(map(len, parts.values()))) for s, parts in lines.items())
+    assert _rows(plans.snapshot_folders(spark, "/root/testdata/sf0.001")) == want
+
+
+def test_aggregates_collect_distinct_rows_only(spark):
+    same = spark.createDataFrame([("k", n, "low" if n else "high", ["a", "b"], "r") for n in range(500)] + [("k", 500, "low", ["c"], "r")], "fp string, ord long, level string, evidence array<string>, rule string")
+    df = dedupe.reduce_by_fingerprint(same, "fp", "ord", "level", "evidence", ["rule"])
+    assert [(r.ord, r.level, r.n_merged, r.evidence) for r in df.collect()] == [(0, "high", 501, ["a", "b", "c"])]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[fp#\d+, evidence#\d+\]", plan)
+
+
 def test_tool_reports(spark, tmp_path):
     raw = lambda v: spark.createDataFrame([(json.dumps(v),)], "value string")
     lint = reports.lint(raw([{"filePath": "a.ts", "messages": [{"ruleId": "no-eval", "line": 3, "severity": 2, "message": "m"}, {"ruleId": None, "line": 1, "severity": 1, "message": "x"}]}]))
