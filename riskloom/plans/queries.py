@@ -472,6 +472,16 @@ def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachability(graph.valid_edges(_edges(spark, sf_dir), nodes), starts, max_depth=5).select("node", "min_depth")
 
 
+@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
+             UNION SELECT v.dst, b.depth + 1 FROM b JOIN v ON b.node = v.src WHERE b.depth < 8)
+          SELECT node, CAST(min(depth) AS INTEGER) AS min_depth FROM b GROUP BY node""")
+def bfs_reach_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within the default depth of all urgent orders of status F, entries that grow with the table."""
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    starts = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_orderkey").alias("node"), F.lit("urgent").alias("label"), F.col("o_orderkey").alias("ord"))
+    return graph.reachability(graph.valid_edges(_edges(spark, sf_dir), nodes), starts).select("node", "min_depth")
+
+
 @query(f"""WITH {EDGES_SQL}, b AS (SELECT src, dst FROM v UNION SELECT dst, src FROM v), g AS (SELECT src, dst FROM b WHERE src % 10 = dst % 10),
           d AS (SELECT src AS node, dst AS other, 1 AS depth FROM g UNION ALL SELECT x.src, y.dst, 2 FROM g x JOIN g y ON x.dst = y.src),
           m AS (SELECT node, other, min(depth) AS depth FROM d WHERE node <> other GROUP BY node, other),

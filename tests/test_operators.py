@@ -265,6 +265,21 @@ EXPECTED = {
 }
 
 
+def test_entries_reach_eight_calls(spark, tmp_path):
+    # with n rows, order k calls k + 1 (7 k + customer) and 3 k + 12: a customer of -6 k makes a line of the first
+    n = 1000
+    rows = [(k, -6 * k, "F" if k == 1 else "O", "1-URGENT") for k in range(1, n + 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    reached, now = {1: 0}, {1}
+    for depth in range(1, 9):
+        now = {x for k in now for x in (k % n + 1, (3 * k + 11) % n + 1)} - set(reached)
+        reached |= dict.fromkeys(now, depth)
+    got = dict(_rows(plans.bfs_reach_entries(spark, str(tmp_path))))
+    assert got == reached and max(got.values()) == 8
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        assert _rows(plans.bfs_reach_entries(spark, folder)) == _sql_rows(plans.ORACLE["bfs_reach_entries"], {"orders": folder})
+
+
 def test_catalog_rules_on_a_snapshot(spark):
     sets = database.snapshot(spark.createDataFrame([(json.dumps(SNAPSHOT),)], "value string"))
     assert {(r.rule_id, r.object, r.severity) for r in catalog.catalog_findings(sets).collect()} == EXPECTED
