@@ -44,6 +44,14 @@ def discover_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(files.eligible(F.col("path"), F.col("n_chars"), F.col("text"), ["en", "de"], 20_480)).select("doc_id", "lang")
 
 
+@query("""SELECT doc_id, lang FROM documents
+          WHERE lang IN ('en', 'de') AND n_chars <= 204800 AND position(chr(0) IN substr(text, 1, 4000)) = 0""")
+def discover_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter with the default size limit."""
+    d = _docs(spark, sf_dir).withColumn("path", F.concat_ws(".", "doc_id", "lang"))
+    return d.where(files.eligible(F.col("path"), F.col("n_chars"), F.col("text"), ["en", "de"])).select("doc_id", "lang")
+
+
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '^\.?/*', ''), '/+', '/', 'g'), '/+$', '') AS path FROM pages)
           SELECT page_id, path, lower(regexp_extract(path, '(\.[^.]*)$', 1)) AS extension,
                  CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) <= 1 THEN '<root>'

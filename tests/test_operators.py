@@ -441,6 +441,12 @@ def test_file_tree(spark, tmp_path):
     assert sorted(r.path for r in got) == [".env.ts", "__tests__/t.ts", "a.ts", "d/deep/e.py"]
 
 
+def test_size_limit_is_the_default(spark, tmp_path):
+    sizes = [20_480, 20_481, files.MAX_BYTES, files.MAX_BYTES + 1]
+    spark.createDataFrame([(n, "a" * n, "en", n) for n in sizes], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert _rows(plans.discover_eligible(spark, str(tmp_path))) == [(n, "en") for n in sizes[:3]] == _sql_rows(plans.ORACLE["discover_eligible"], {"documents": str(tmp_path)})
+
+
 def test_prefixes(spark):
     p = spark.createDataFrame([("web/src/a.ts",), ("web/src/b.ts",), ("web/package.json",), ("docs/x.md",)], "path string")
     stats = files.prefix_statistics(p, F.col("path"), F.split("path", "/")[0])
