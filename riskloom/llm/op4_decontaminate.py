@@ -7,8 +7,10 @@ passage, divided by the score it would have if all its words were there; all ite
 at or above `threshold` are retrieved. Items lie in blocks with a largest impact
 for each word and block; a block whose sum of these stays below the threshold is
 skipped, and WAND pivots find the items of the others. Retrieved items are then
-verified: `overlap` of the item's word 5-grams, and of the words of its question
-and of its answer, must occur in the passage.
+verified: `overlap` of the words of its question and of its answer must occur in
+the passage, and either that share of the item's word 5-grams or, for items with
+altered words, the same share of question and answer in order within a span a
+quarter longer than the item.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond
 ASCII. The answer is the text after the last line break or, without one, the last
@@ -51,14 +53,43 @@ def grams_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 
 def question_answer(text: str) -> tuple[set[bytes], set[bytes]]:
+    question, answer = question_answer_words(text)
+    return set(question), set(answer)
+
+
+def question_answer_words(text: str) -> tuple[list[bytes], list[bytes]]:
     head, cut, tail = text.strip().rpartition("\n")
     if not (cut and words_of(head) and words_of(tail)):
         parts = re.split(r"(?<=[.?!])\s+", text.strip())
         head, tail = " ".join(parts[:-1]), parts[-1]
     if words_of(head) and words_of(tail):
-        return set(words_of(head)), set(words_of(tail))
+        return words_of(head), words_of(tail)
     w = words_of(text)
-    return set(w[: (len(w) + 1) // 2]), set(w[len(w) // 2 :])
+    return w[: (len(w) + 1) // 2], w[len(w) // 2 :]
+
+
+def common_in_order(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence, by bits of one number."""
+    at: dict[bytes, int] = {}
+    for k, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    v = full
+    for w in b:
+        if u := v & at.get(w, 0):
+            v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def stands_in_order(question: list[bytes], answer: list[bytes], passage: list[bytes], size: int, overlap: float) -> bool:
+    """Whether one span of the passage, a quarter longer than the item, holds the share `overlap` of question and answer in order."""
+    step = max(1, size // 8)
+    span = size + size // 4 + step
+    for k in range(0, max(1, len(passage) - size + step), step):
+        part = passage[k : k + span]
+        if common_in_order(answer, part) >= overlap * len(answer) and common_in_order(question, part) >= overlap * len(question):
+            return True
+    return False
 
 
 def parts_of(words: list[bytes]) -> list[list[bytes]]:
@@ -112,6 +143,7 @@ class Index:
             slack[self.items[t]] += self.impacts[t]
         self.slack = np.array([slack[k * self.block : (k + 1) * self.block].max() for k in range(self.n_blocks)], np.float32)
         self.checks = {i: (grams_of(words_of(t)), *question_answer(t), min(GRAM, len(words_of(t)))) for i, t in texts.items()}
+        self.ordered = {i: question_answer_words(t) for i, t in texts.items()}
         self.size = {i: len(words_of(t)) for i, t in texts.items()}
         #: impacts of the items that have several parts
         self.long = {i: impacts(Counter(words_of(texts[i]))) for i in texts if self.size[i] > PART_WORDS}
@@ -202,7 +234,7 @@ class Index:
                 if item in self.long:
                     score = sum(x for w, x in self.long[item].items() if w in bag)
                 shares = len(grams & there) / max(1, len(grams)), len(question & bag) / max(1, len(question)), len(answer & bag) / max(1, len(answer))
-                if score >= threshold - 1e-5 and min(shares) >= overlap:
+                if score >= threshold - 1e-5 and min(shares[1:]) >= overlap and (shares[0] >= overlap or stands_in_order(*self.ordered[item], passage, self.size[item], overlap)):
                     row = (score, *shares, lo)
                     if (d, item) not in best or row[:4] > best[d, item][:4]:
                         best[d, item] = row

@@ -170,6 +170,32 @@ def test_long_items_are_verified_whole(n):
     assert got == [(0, 7), (1, 7), (2, 7)]
 
 
+def test_items_with_altered_words_are_found():
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(3000)}"
+    items = [[word() for _ in range(38)] for _ in range(30)]
+    index = op4_decontaminate.Index([(k, " ".join(w[:28]) + ".\n" + " ".join(w[28:])) for k, w in enumerate(items)])
+    texts = []
+    for w in items:
+        w = list(w)
+        for k in (6, 13, 20, 33):
+            w[k] = f"altered{k}"
+        texts.append(" ".join([word() for _ in range(60)] + w + [word() for _ in range(200)]))
+    texts += [" ".join(rng.sample(w, len(w))) for w in items]  # the same words in another order are no copy
+    assert {(d, index.ids[i]) for d, i, *_ in index.search(texts, 0.6, 0.8)} == {(k, k) for k in range(30)}
+
+
+def test_common_in_order():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice([b"x", b"y", b"z", b"w"]) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert op4_decontaminate.common_in_order(a, b) == best[-1][-1]
+
+
 def test_best_cut_lies_in_the_gap():
     good, bad = np.array([1.0, 2, 3, -1]), np.array([-10.0, -20, -1.5])
     assert -1.5 < op5_importance.best_cut(good, bad) < -1
