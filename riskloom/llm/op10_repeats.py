@@ -3,22 +3,37 @@
 Suffixes are retained at the positions that are minimisers of some window: of the
 `depth`-word grams in every `min_words`-word window, the one with the smallest hash.
 Equal windows pick equal positions, so two documents that share a passage of
-min_words words share a retained suffix in it. Suffixes are sorted by their first
-`depth` words (as a 64-bit hash) over range partitions, and neighbours in the order
-are compared; runs at the edge of a batch are settled by their keys. Suffixes that
-agree with one of another document are then extended left and right: all windows
-of min_words words around them are compared with those of other documents by hash
-counts, which no large run can overload, and overlapping hits grow into spans.
+min_words words share a retained suffix in it, and every window belongs to one.
+
+1. Retained suffixes whose first `depth` words start no suffix of another document
+   are put aside by a hash of these words; that only spares them the sort.
+2. The others are sorted in suffix order, by the bytes of their words, over range
+   partitions. A run is what shares the first `depth` words. In a run neighbours are
+   compared: the longest common prefix to the right, and, in the order of the words
+   before the suffix read backwards, the longest common extension to the left. A
+   window that starts o words before the suffix is shared by those that agree in o
+   words to the left and min_words - o to the right; the two arrays of neighbours
+   tell these groups. Suffixes with equal surroundings are one member of the run.
+3. A partition's first and last run may go on in the next one. Their windows are
+   named by 128-bit digests and settled in the same way: sorted over range
+   partitions, where a run at a partition's edge is settled by its least and
+   greatest doc_id, at most two runs a partition. So a passage that a third of all
+   documents share is spread over as many tasks as its rows need.
+4. What is shared around neighbouring suffixes grows together into spans.
 
 Words stand between white space, A-Z lower-cased. Repeats within one document only
 are not reported.
 
-Cases: null, empty and short texts (under min_words words) have no spans; rows with
-a null doc_id cannot be named and take no part; repeated rows of one doc_id count
-as one document; an empty table gives no rows; further columns are ignored."""
+Cases: null, empty and short texts (under min_words words) have no spans; very long
+texts are read whole, with memory in proportion to one text; rows with a null
+doc_id cannot be named and take no part; repeated rows of one doc_id count as one
+document, so a passage in two texts of the same doc_id only is no repeat; among
+documents that tie the smallest doc_id is first_doc_id; an empty table gives no
+rows; further columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +47,7 @@ from .common import WordHash, forget, materialise, mix, space_words
 MIN_WORDS, DEPTH = 50, 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SETTLE = 4096
 _hash = WordHash()
 
 
@@ -63,7 +79,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """(key, doc_id, pos) of the retained suffixes."""
+    """(k1, k2, doc_id, at) of the retained suffixes; k1 is a hash of their first words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,75 +96,227 @@ def suffixes(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
                     ids.append(np.full(len(at), doc, np.int64))
                     places.append(at.astype(np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, places)], ["key", "doc_id", "pos"])
+                    key, doc, at = (np.concatenate(c) for c in (keys, ids, places))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(doc), pa.array(at)], ["k1", "k2", "doc_id", "at"])
+
+    return _plain(docs).mapInArrow(run, "k1 long, k2 long, doc_id long, at int")
+
+
+def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, at, lo) of the rows(k1, k2, doc_id, at) whose key another document has as
+    well; lo is the smallest doc_id with the key. Rows are sorted over range partitions;
+    runs at the edges of a partition, two at most, are settled by a broadcast of theirs."""
 
-    return _plain(docs).mapInArrow(run, "key long, doc_id long, pos int")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, run = True, [], None
 
+        def out(k1, k2, doc, at, lo, sure):
+            cols = [pa.array(c) for c in (k1, k2, doc, at, lo, np.full(len(doc), sure))]
+            return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "doc_id", "at", "lo", "sure"])
 
-def agreeing(suffix: DataFrame) -> DataFrame:
-    """(doc_id, pos) of suffixes whose first words also start a suffix of another document."""
+        def close(edge: bool):
+            k1, k2, doc, at = (np.concatenate(c) for c in zip(*held))
+            if edge:
+                yield out(k1, k2, doc, at, np.zeros(len(doc), np.int64), False)
+            elif doc[0] != doc[-1]:  # sorted by document within the run
+                yield out(k1 * 0, k2 * 0, doc, at, np.full(len(doc), doc[0]), True)
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(key):
+            if not b.num_rows:
                 continue
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            last = np.r_[first[1:], len(key)] - 1
-            sure = doc[first] != doc[last]
-            open_ = ~sure
-            open_[1:-1] = False  # only the runs at the edges may go on elsewhere
-            size = last - first + 1
-            sure, keep = np.repeat(sure, size), np.repeat(sure | open_, size)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(pa.array(keep)) for c in range(3)), pa.array(sure[keep])], ["key", "doc_id", "pos", "sure"])
-
-    suffix = materialise(suffix, "suffixes")  # range partitions are drawn from a first pass over them
-    ordered = suffix.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
-    found = materialise(ordered.mapInArrow(neighbours, "key long, doc_id long, pos int, sure boolean"), "suffix-order")
-    forget(suffix)
-    rest = found.where("not sure")
-    across = rest.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    settled = found.where("sure").join(across.select("key"), "key", "left_semi").select("key").distinct()
-    across = across.where("lo <> hi").select("key").union(settled).distinct()
-    places = materialise(found.where("sure").select("doc_id", "pos").union(rest.join(across, "key", "left_semi").select("doc_id", "pos")), "suffix-places")
-    forget(found)
-    return places
-
-
-def windows_around(docs: DataFrame, places: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """(hash, doc_id, at) of the windows whose minimiser is one of places(doc_id, pos)."""
+            k1, k2, doc, at = (b.column(c).to_numpy() for c in range(4))
+            cut = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
+            goes_on = run == (k1[0], k2[0])
+            if held and not goes_on:
+                yield from close(first)
+                first, held = False, []
+            if not len(cut):
+                held.append((k1, k2, doc, at))
+                run = (k1[0], k2[0])
+                continue
+            held.append(tuple(c[: cut[0]] for c in (k1, k2, doc, at)))
+            yield from close(first)
+            first = False
+            lo, hi = cut[:-1], cut[1:] - 1
+            shared = doc[lo] != doc[hi]
+            keep, least = np.repeat(shared, hi - lo + 1), np.repeat(doc[lo], hi - lo + 1)
+            inner = slice(cut[0], cut[-1])
+            yield out(np.zeros(keep.sum(), np.int64), np.zeros(keep.sum(), np.int64), doc[inner][keep], at[inner][keep], least[keep], True)
+            held, run = [tuple(c[cut[-1] :] for c in (k1, k2, doc, at))], (k1[-1], k2[-1])
+        if held:
+            yield from close(True)
+
+    order = ["k1", "k2", "doc_id", "at"]
+    ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialise(ordered.mapInArrow(settle, "k1 long, k2 long, doc_id long, at int, lo long, sure boolean"), name)
+    edge = found.where("not sure").drop("lo")
+    across = edge.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("hi")
+    return found.where("sure").select("doc_id", "at", "lo").union(edge.join(F.broadcast(across), ["k1", "k2"]).select("doc_id", "at", "lo"))  # two keys a partition at most
+
+
+def surroundings(docs: DataFrame, places: DataFrame, min_words: int, depth: int) -> DataFrame:
+    """(to_right, to_left, doc_id, at): for each suffix of places(doc_id, at) the words of its
+    windows from the suffix on, and those before it read backwards; each word ends in a blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for doc, text, pos in zip(*(c.to_pylist() for c in part.columns)):
-                    words = space_words(text)
+            for k in range(0, b.num_rows, 100):
+                part = b.slice(k, 100)
+                out: list[list] = [[], [], [], []]
+                for doc, text, kept in zip(*(c.to_pylist() for c in part.columns)):
+                    words, kept = space_words(text), set(kept)
                     if len(words) < min_words:
                         continue
-                    h = _hash.of(words)
-                    own = minimisers(rolling(h, depth), min_words - depth + 1)
-                    at = np.flatnonzero(np.isin(own, pos))
-                    out[0].append(rolling(h, min_words)[at].view(np.int64))
-                    out[1].append(np.full(len(at), doc, np.int64))
-                    out[2].append(at.astype(np.int32))
+                    owner = minimisers(rolling(_hash.of(words), depth), min_words - depth + 1)
+                    own, first = np.unique(owner, return_index=True)  # owners ascend with their windows
+                    end = np.r_[first[1:], len(owner)]
+                    ended = [w + b" " for w in words]
+                    for p, s, z in zip(own.tolist(), first.tolist(), end.tolist()):
+                        if p in kept:
+                            out[0].append(b"".join(ended[p : z - 1 + min_words]))
+                            out[1].append(b"".join(ended[s:p][::-1]))
+                            out[2].append(doc)
+                            out[3].append(p)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["hash", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["to_right", "to_left", "doc_id", "at"])
+
+    listed = places.groupBy("doc_id").agg(F.collect_set("at").alias("kept"))  # as many as a document has
+    return _plain(docs).join(listed, "doc_id").select("doc_id", "text", "kept").mapInArrow(run, "to_right binary, to_left binary, doc_id long, at int")
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """The number of leading words, each ended by a blank, that a and b share."""
+    if a == b:
+        return a.count(b" ")
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # the longest common prefix of bytes
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return a.count(b" ", 0, lo)
+
+
+def neighbours(texts: list[bytes]) -> np.ndarray:
+    """For each of the sorted texts, the words it shares with the one before (0 for the first)."""
+    return np.array([0, *(common_words(a, b) for a, b in zip(texts, texts[1:]))], np.int64)
+
+
+def shared_windows(right: list[bytes], left: list[bytes], run: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_words: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For members of runs in suffix order, a row each: the smallest doc_id that has its
+    window starting o words before the suffix, in column o, and whether two documents have
+    it. lo and hi are the least and greatest doc_id of each member."""
+    m = len(right)
+    back = sorted(range(m), key=lambda k: (run[k], left[k]))
+    ahead, behind = neighbours(right), neighbours([left[k] for k in back])
+    new_run = np.r_[True, run[1:] != run[:-1]]  # the same places in both orders
+    n_right, n_left = (np.array([t.count(b" ") for t in side]) for side in (right, left))
+    n_offsets = min_words - depth + 1
+    smallest, shared = np.zeros((n_offsets, m), np.int64), np.zeros((n_offsets, m), bool)
+    for o in range(n_offsets):
+        there = np.flatnonzero((n_left >= o) & (n_right >= min_words - o))
+        if not len(there):
+            continue
+        behind_group = np.empty(m, np.int64)
+        behind_group[back] = np.cumsum(new_run | (behind < o))
+        _, group = np.unique((np.cumsum(new_run | (ahead < min_words - o)) * (m + 1) + behind_group)[there], return_inverse=True)
+        least, most = np.full(len(there), np.iinfo(np.int64).max), np.full(len(there), np.iinfo(np.int64).min)
+        np.minimum.at(least, group, lo[there])
+        np.maximum.at(most, group, hi[there])
+        shared[o, there], smallest[o, there] = (least != most)[group], least[group]
+    return smallest.T, shared.T
+
+
+def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
+    """Sorts the suffixes and compares neighbours: (doc_id, a, z, lo) for windows a..z
+    around a suffix that other documents share, and (doc_id, a, k1, k2) for each window
+    of the runs at a partition's edges, named by a digest."""
+
+    def batch(doc, a, z, lo, k1, k2):
+        n = len(doc)
+        blank = [pa.nulls(n, pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), *((pa.array(z, pa.int32()), pa.array(lo, pa.int64()), *blank) if k1 is None else (pa.nulls(n, pa.int32()), blank[0], pa.array(k1, pa.int64()), pa.array(k2, pa.int64())))], ["doc_id", "a", "z", "lo", "k1", "k2"])
+
+    def settled(members: list[tuple[bytes, bytes, int, list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
+        """members: (right, left, run, doc_ids in order, places)."""
+        right, left, run = [m[0] for m in members], [m[1] for m in members], np.array([m[2] for m in members])
+        lo, hi = np.array([m[3][0] for m in members]), np.array([m[3][-1] for m in members])
+        least, ok = shared_windows(right, left, run, lo, hi, min_words, depth)
+        # columns o in descending order are window starts in ascending order
+        ok, least, top = ok[:, ::-1], least[:, ::-1], min_words - depth
+        edge = np.diff(np.pad(ok.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        who, begin = np.nonzero(edge == 1)
+        end = np.nonzero(edge == -1)[1]
+        if not len(who):
+            return
+        lows = np.array([least[k, s:e].min() for k, s, e in zip(who, begin, end)])
+        sizes = np.array([len(members[k][3]) for k in who])
+        doc, at = (np.concatenate([members[k][c] for k in who]) for c in (3, 4))
+        yield batch(doc, at - top + np.repeat(begin, sizes), at - top + np.repeat(end, sizes) - 1, np.repeat(lows, sizes), None, None)
+
+    def named(right: bytes, left: bytes, docs: list[int], places: list[int]) -> Iterator[pa.RecordBatch]:
+        words = left.split(b" ")[:-1][::-1]
+        before = len(words)
+        words += right.split(b" ")[:-1]
+        keys = [hashlib.blake2b(b" ".join(words[k : k + min_words]), digest_size=16).digest() for k in range(len(words) - min_words + 1)]
+        two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        n = len(keys)
+        start = np.array(places)[:, None] - before + np.arange(n)[None, :]
+        yield batch(np.repeat(docs, n), start.ravel(), None, None, np.tile(two[:, 0], len(docs)), np.tile(two[:, 1], len(docs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, held, number, head = [], [], 0, None
+
+        def close(edge: bool):
+            nonlocal ready
+            if edge:
+                for m in held:
+                    yield from named(m[0], m[1], m[3], m[4])
+            elif len(held) > 1 or held[0][3][0] != held[0][3][-1]:
+                ready += held
+                if len(ready) >= _SETTLE:
+                    yield from settled(ready)
+                    ready = []
+
+        for b in batches:
+            for right, left, doc, at in zip(*(c.to_pylist() for c in b.columns)):
+                if head is None or not right.startswith(head):
+                    if held:
+                        yield from close(number == 1)
+                    number, held, end = number + 1, [], -1
+                    for _ in range(depth):
+                        end = right.index(b" ", end + 1)
+                    head = right[: end + 1]
+                if held and held[-1][0] == right and held[-1][1] == left:
+                    held[-1][3].append(doc)
+                    held[-1][4].append(at)
+                else:
+                    held.append((right, left, number, [doc], [at]))
+        if held:
+            yield from close(True)
+        if ready:
+            yield from settled(ready)
 
-    listed = places.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))  # as many as a document has
-    return _plain(docs).join(listed, "doc_id").select("doc_id", "text", "pos").mapInArrow(run, "hash long, doc_id long, at int")
+    rows = materialise(rows, "suffix-words")  # range partitions are drawn from a first pass over them
+    order = ["to_right", "to_left", "doc_id", "at"]
+    found = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, a int, z int, lo long, k1 long, k2 long")
+    found = materialise(found, "suffix-neighbours")
+    forget(rows)
+    return found
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEPTH) -> DataFrame:
     """Maximal runs of words of which every min_words-word window also stands in
     another document: doc_id, start_word, end_word (past the last), n_words, and
     first_doc_id, the smallest doc_id that has one of its windows."""
-    places = agreeing(suffixes(docs, min_words, depth))
-    around = materialise(windows_around(docs, places, min_words, depth), "suffix-windows")
-    shared = around.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("hash", "lo")
-    hits = around.join(shared, "hash").select("doc_id", "at", "lo")
-    hits = hits.groupBy("doc_id", "at").agg(F.min("lo").alias("lo"))  # repeated rows of a document
-    island = F.col("at") - F.row_number().over(W.partitionBy("doc_id").orderBy("at"))
-    spans = hits.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("at").alias("a"), F.max("at").alias("z"), F.min("lo").alias("first_doc_id"))
+    retained = materialise(suffixes(docs, min_words, depth), "suffixes")
+    places = materialise(shared_by_documents(retained, "suffix-order").select("doc_id", "at"), "suffix-places")
+    forget(retained)
+    found = compare(surroundings(docs, places, min_words, depth), min_words, depth)
+    forget(places)
+    open_ = found.where("k1 IS NOT NULL").select("k1", "k2", "doc_id", F.col("a").alias("at"))
+    settled = shared_by_documents(open_, "suffix-windows").select("doc_id", F.col("at").alias("a"), F.col("at").alias("z"), "lo")
+    hits = found.where("k1 IS NULL").select("doc_id", "a", "z", "lo").union(settled)
+    by_place = W.partitionBy("doc_id").orderBy("a", "z")
+    reach = F.max("z").over(by_place.rowsBetween(W.unboundedPreceding, -1))
+    begins = hits.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1))
+    spans = begins.withColumn("island", F.sum("new").over(by_place.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "island").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min("lo").alias("first_doc_id"))
     return spans.select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("z") + min_words).cast("long").alias("end_word"), (F.col("z") - F.col("a") + min_words).cast("long").alias("n_words"), "first_doc_id")
