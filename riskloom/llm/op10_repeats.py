@@ -105,7 +105,8 @@ def suffixes(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
 def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
     """(doc_id, at, lo) of the rows(k1, k2, doc_id, at) whose key another document has as
     well; lo is the smallest doc_id with the key. Rows are sorted over range partitions;
-    runs at the edges of a partition, two at most, are settled by a broadcast of theirs."""
+    runs at the edges of a partition, two at most, are settled by their least and greatest
+    doc_id, which come to the driver and go out again."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, run = True, [], None
@@ -149,9 +150,18 @@ def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
     order = ["k1", "k2", "doc_id", "at"]
     ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialise(ordered.mapInArrow(settle, "k1 long, k2 long, doc_id long, at int, lo long, sure boolean"), name)
-    edge = found.where("not sure").drop("lo")
-    across = edge.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("hi")
-    return found.where("sure").select("doc_id", "at", "lo").union(edge.join(F.broadcast(across), ["k1", "k2"]).select("doc_id", "at", "lo"))  # two keys a partition at most
+    edge = found.where("not sure")
+    ends = edge.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("k1", "k2", "lo").collect()  # two a partition at most
+    least = {(r["k1"], r["k2"]): r["lo"] for r in ends}
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = [least.get(k) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            there = pa.array([x is not None for x in lo], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(lo, pa.int64())], ["doc_id", "at", "lo"]).filter(there)
+
+    settled = edge.select("k1", "k2", "doc_id", "at").mapInArrow(look_up, "doc_id long, at int, lo long")
+    return found.where("sure").select("doc_id", "at", "lo").union(settled)
 
 
 def surroundings(docs: DataFrame, places: DataFrame, min_words: int, depth: int) -> DataFrame:
