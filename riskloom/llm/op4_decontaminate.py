@@ -16,28 +16,36 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond
 ASCII. The answer is the text after the last line break or, without one, the last
 sentence; an item of one sentence is split in half.
 
-The index is sent to the tasks in shards of at most SHARD_ITEMS items and
-SHARD_WORDS words, each with a scan of the documents of its own. Items of over
-PART_WORDS words are indexed by equal consecutive parts, which only retrieve: a
-part's hit has the whole item scored and verified on as many words around it as
-the item may take.
+Word statistics (in how many items a word stands, their number and mean length) are
+counted over all items before the index is split into shards, so a score does not
+depend on the shards. Shards hold about SHARD_ITEMS items or SHARD_WORDS words, each
+with a scan of the documents of its own; an item is one row and has to fit into a
+task. An item is indexed by equal consecutive parts of PART_WORDS words at most (most
+items have one), which only retrieve: a part's hit has the whole item scored and
+verified on as many words around it as the item may take.
 
 Cases: null or empty texts and items have no words and match nothing; equal items
-are each reported; repeated documents each get their rows; an empty table gives no
-rows; further columns are ignored."""
+are each reported; of several passages that hold an item the best one is reported,
+the first of equals; very long texts are read whole, a slice of windows at a time;
+repeated documents each get their rows; an empty table gives no rows; further
+columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SHARD_ITEMS, SHARD_WORDS, PART_WORDS = 4096, 400_000, 400
+SLICE = 20_000
 K1, B = 1.2, 0.75
 GRAM = 5
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -98,10 +106,25 @@ def parts_of(words: list[bytes]) -> list[list[bytes]]:
     return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, mean length in words, and in how many of them each word stands."""
+
+    n: int
+    mean: float
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> "Statistics":
+        bags = [words for t in texts if (words := words_of(t))]
+        return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(w for b in bags for w in set(b)))
+
+
 class Index:
     """Postings with normalised impacts over (item_id, text) rows."""
 
-    def __init__(self, items: list[tuple[int, str]], n_blocks: int = 64):
+    def __init__(self, items: list[tuple[int, str]], n_blocks: int = 64, known: Statistics | None = None):
+        known = known or Statistics.of([t for _, t in items])
         #: of each part: its item, the item's first part, where the part begins
         self.ids, self.first, self.begins, texts, bags = [], [], [], {}, []
         for item, text in sorted(items, key=lambda r: (len(words_of(r[1])), r[0] is None, r[0] or 0)):
@@ -113,16 +136,14 @@ class Index:
                 self.begins.append(begin)
                 bags.append(Counter(part))
                 begin += len(part)
-        n = len(bags)
+        n, df = len(bags), known.df
         self.longest = max([1, *(sum(b.values()) for b in bags)])
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
-        df = Counter(w for b in bags for w in b)
-        self.term = {w: k for k, w in enumerate(sorted(df))}
+        self.term = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
 
         def impacts(bag: Counter) -> dict[bytes, float]:
             size = sum(bag.values())
-            impact = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)) for w, tf in bag.items()}
+            impact = {w: np.log1p((known.n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / known.mean)) for w, tf in bag.items()}
             whole = sum(impact.values())
             return {w: x / whole for w, x in impact.items()}
 
@@ -142,6 +163,7 @@ class Index:
         for t in np.flatnonzero(self.common):
             slack[self.items[t]] += self.impacts[t]
         self.slack = np.array([slack[k * self.block : (k + 1) * self.block].max() for k in range(self.n_blocks)], np.float32)
+        self.largest = self.block_max.max(axis=1) if self.n_blocks else np.zeros(0, np.float32)
         self.checks = {i: (grams_of(words_of(t)), *question_answer(t), min(GRAM, len(words_of(t)))) for i, t in texts.items()}
         self.ordered = {i: question_answer_words(t) for i, t in texts.items()}
         self.size = {i: len(words_of(t)) for i, t in texts.items()}
@@ -153,13 +175,18 @@ class Index:
         return self.slack.max() < threshold - 1e-3
 
     def blocks_over(self, window: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(window, block) whose bound reaches the threshold; (window, term) are distinct and sorted by window."""
+        """(window, block) whose bound reaches the threshold; (window, term) are distinct and
+        sorted by window. A slice of windows has its bounds in memory at a time."""
         if not len(window):
             return window, window
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
-        bound = np.add.reduceat(self.block_max[term], first, axis=0) + (self.slack if self.skips_common(threshold) else 0)
-        w, b = np.nonzero(bound >= threshold - 1e-5)
-        return window[first][w], b
+        edges = np.unique(np.r_[0, np.searchsorted(first, np.arange(SLICE, len(window), SLICE)), len(first)])
+        begin, windows, blocks = np.r_[first, len(window)], [], []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            bound = np.add.reduceat(self.block_max[term[begin[lo] : begin[hi]]], first[lo:hi] - begin[lo], axis=0) + (self.slack if self.skips_common(threshold) else 0)
+            w, b = np.nonzero(bound >= threshold - 1e-5)
+            windows.append(window[first[lo:hi]][w]), blocks.append(b)
+        return np.concatenate(windows), np.concatenate(blocks)
 
     def wand(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
         """Items of a block that reach the threshold for the query terms."""
@@ -212,8 +239,14 @@ class Index:
         at, flat = at[flat >= 0], flat[flat >= 0]
         # a window is two strides long: each word counts for its own stride's window and for the one before
         width = len(self.term)
-        rare = ~self.common[flat] if self.skips_common(threshold) else np.ones(len(flat), bool)
-        key = np.unique(np.concatenate([(at[rare] + 1) * width + flat[rare], at[rare] * width + flat[rare]]))
+        if self.skips_common(threshold):
+            rare = ~self.common[flat]
+            at, flat = at[rare], flat[rare]
+        # windows whose words could not reach the threshold even if each stood in its best item need no look
+        most = np.bincount(at, self.largest[flat], int(base[-1]) + 1)
+        hopeful = most + np.r_[most[1:], 0.0] + (self.slack.max() if self.skips_common(threshold) else 0) >= threshold - 1e-3
+        key = np.concatenate([((at + 1) * width + flat)[hopeful[at]], (at * width + flat)[np.r_[False, hopeful[:-1]][at]]])
+        key = np.unique(key)
         best: dict[tuple[int, int], tuple] = {}
         for window, block in zip(*self.blocks_over(key // width, key % width, threshold)):
             window = int(window) - 1
@@ -244,20 +277,36 @@ class Index:
 SCHEMA = "doc_id long, item_id long, score double, gram_overlap double, question_overlap double, answer_overlap double, passage_start long"
 
 
-def shards_of(items: DataFrame) -> list[DataFrame]:
-    """Parts of items(item_id, text) that each keep to the bounds of an index."""
+def indexes_of(items: DataFrame) -> Iterator[Index]:
+    """The shards' indexes, one after the other, with statistics of all items."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                bag = Counter(words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(bag), pa.int32()), pa.array(list(bag), pa.binary()), pa.array(list(bag.values()), pa.int64())], ["shard", "word", "n"])
+
     plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = plain.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    n = max(1, -(-size["n"] * 5 // (SHARD_ITEMS * 4)), -(-size["c"] // (SHARD_WORDS * 4))) if size["n"] > SHARD_ITEMS or size["c"] > SHARD_WORDS * 4 else 1
-    return [plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    n = max(1, -(-size["n"] // SHARD_ITEMS), -(-size["c"] // (SHARD_WORDS * 4)))
+    plain = materialise(plain.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), "benchmark-items")
+    bags = materialise(plain.select("shard", "text").mapInArrow(count, "shard int, word binary, n long"), "benchmark-words")
+    frequency = bags.groupBy("word").agg(F.count("*").alias("df"))
+    known = materialise(bags.select("shard", "word").distinct().join(frequency, "word"), "benchmark-frequencies")
+    total = bags.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()["words"]
+    filled = plain.where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).count()
+    for k in range(n):
+        rows = plain.where(F.col("shard") == k).select("item_id", "text").collect()  # about SHARD_ITEMS rows or SHARD_WORDS words
+        df = {bytes(r["word"]): r["df"] for r in known.where(F.col("shard") == k).select("word", "df").collect()}  # the words of these rows
+        yield Index([(r["item_id"], r["text"]) for r in rows], known=Statistics(filled, total / max(1, filled), df))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """A row for each document and item it contains: see SCHEMA."""
     spark, out = docs.sparkSession, None
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for shard in shards_of(items):
-        sent = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in shard.collect()]))  # within SHARD_ITEMS and SHARD_WORDS
+    for shard in indexes_of(items):
+        sent = spark.sparkContext.broadcast(shard)  # within the bounds of a shard
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -278,8 +327,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """The rows of docs that contain no item, with all their columns; no row moves."""
     spark, place = docs.sparkSession, docs.columns.index("text")
-    for shard in shards_of(items):
-        sent = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in shard.collect()]))  # within SHARD_ITEMS and SHARD_WORDS
+    for shard in indexes_of(items):
+        sent = spark.sparkContext.broadcast(shard)  # within the bounds of a shard
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -188,8 +188,23 @@ def test_decontamination_in_shards(spark, monkeypatch):
     rng = random.Random(8)
     items = [(k, words(rng, 20, 3000)) for k in range(20)]
     d = spark.createDataFrame([(k, words(rng, 50, 3000) + " " + items[k][1]) for k in range(20)], "doc_id long, text string")
-    got = op4_decontaminate.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    i = spark.createDataFrame([*items, (90, None), (91, "?!")], "item_id long, text string")
+    got = op4_decontaminate.find_leaks(d, i).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(20)}
+    monkeypatch.undo()
+    assert sorted(op4_decontaminate.find_leaks(d, i).collect()) == sorted(got)  # shards change nothing, scores included
+
+
+def test_decontamination_of_a_very_long_text(spark, monkeypatch):
+    rng = random.Random(18)
+    items = [(k, words(rng, 30, 3000)) for k in range(40)]
+    long = words(rng, 150_000, 3000).split()
+    for k, at in ((3, 10), (7, 70_000), (9, 140_000)):
+        long[at:at] = items[k][1].split()
+    monkeypatch.setattr(op4_decontaminate, "SLICE", 100)
+    d = spark.createDataFrame([(1, " ".join(long)), (1, " ".join(long)), (2, items[5][1])], "doc_id long, text string")
+    got = op4_decontaminate.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 3), (1, 3), (1, 7), (1, 7), (1, 9), (1, 9), (2, 5)]
 
 
 def test_resampling(spark):

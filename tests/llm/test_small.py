@@ -149,6 +149,18 @@ def test_search_finds_items_wherever_they_stand():
     assert op4_decontaminate.Index([]).search(["a b c"], 0.6, 0.8) == []
 
 
+def test_slices_of_windows_change_nothing(monkeypatch):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(25))) for k in range(50)]
+    index = op4_decontaminate.Index(items)
+    texts = [" ".join([*(f"w{rng.randrange(400)}" for _ in range(500)), items[k][1], *(f"w{rng.randrange(400)}" for _ in range(200))]) for k in range(20)]
+    whole = index.search(texts, 0.5, 0.5)
+    for n in (1, 7, 300):
+        monkeypatch.setattr(op4_decontaminate, "SLICE", n)
+        assert index.search(texts, 0.5, 0.5) == whole
+    assert {(d, index.ids[i]) for d, i, *_ in whole} >= {(k, k) for k in range(20)}
+
+
 def test_search_with_common_words_only():
     index = op4_decontaminate.Index([(k, "the same words for all items") for k in range(30)])
     assert len(index.search(["x the same words for all items y"], 0.6, 0.8)) == 30
