@@ -1,44 +1,16 @@
-"""What the training-data operators share: the cluster's shared folder, tables
-written there to cut lineage, word hashing and connected components."""
+"""What the training-data operators share: word hashing, files, free column names; tables
+in the cluster's shared folder and connected components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_MEMO_WORDS = 1_500_000
-_local_root: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary
-    folder, and only with a local master: other machines could not see it."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    _local_root = _local_root or tempfile.mkdtemp(prefix="riskloom-")
-    return _local_root
-
+from pyspark.sql import DataFrame
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+from riskloom.shared import connected_components, fresh_path, materialise, shared_dir
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs, and tasks
-    repeated after a lost executor, start from the files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WordHash", "connected_components", "forget", "free_name", "fresh_path", "materialise", "mix", "open_fs", "shared_dir", "shingle_hashes", "space_words"]
+_MEMO_WORDS = 1_500_000
 
 
 def forget(df: DataFrame) -> None:
@@ -51,6 +23,14 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def open_fs(path: str):
     """(file system, path in it) for Python tasks; a path without scheme is local."""
     from pyarrow import fs
@@ -97,40 +77,3 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + words[k : n - size + 1 + k])
     return total
-
-
-def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest
-    node reachable. Each round hooks every root to its smallest neighbouring
-    root, follows the hooks to the end and keeps only edges between different
-    roots, so the graph shrinks geometrically. Rounds are cut by written tables;
-    only counts come to the driver."""
-    links = materialise(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-links"
-    )
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    label = None
-    while not links.isEmpty():
-        hooks = links.groupBy("a").agg(F.min("b").alias("p")).withColumnRenamed("a", "r")
-        hooks = materialise(hooks, f"{name}-hooks")
-        while True:  # pointer jumping
-            up = hooks.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-            jumped = materialise(hooks.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), f"{name}-jump")
-            done = jumped.where("moved").isEmpty()
-            hooks = jumped.select("r", "p")
-            if done:
-                break
-        roots = hooks.select(F.col("r").alias("x"), F.col("p").alias("root"))
-        step = (
-            links.join(roots.withColumnRenamed("x", "a"), "a", "left").select("b", F.coalesce("root", "a").alias("a"))
-            .join(roots.withColumnRenamed("x", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
-            .where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        )
-        links = materialise(step, f"{name}-links")
-        current = roots if label is None else label.join(roots.withColumnRenamed("x", "l"), "l", "left").select("x", F.coalesce("root", "l").alias("root")).union(
-            roots.join(label.select("x"), "x", "left_anti")
-        )
-        label = materialise(current.select("x", F.col("root").alias("l")), f"{name}-labels")
-    if label is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(label.withColumnRenamed("x", "node"), "node", "left").select("node", F.coalesce("l", "node").alias("component"))

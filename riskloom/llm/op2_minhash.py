@@ -38,8 +38,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHash, connected_components, materialise, shingle_hashes, space_words
+from .common import WordHash, connected_components, free_name, materialise, shingle_hashes, space_words
 
 DEPTH, MISS = 4, 1e-6
 STRETCH, BLOCK, PER_SALT, LARGE, RARE = 64, 1024, 128, 64, 32
@@ -265,6 +266,11 @@ def rare_shingles(texts: DataFrame, size: int) -> DataFrame:
 def near_dedup(docs: DataFrame, size: int = 3, share: int = 85, depth: int = DEPTH) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id
     reachable by links of at least share/100 similarity), kept."""
+    return near_sets(docs, size, share, depth).drop("set_key")
+
+
+def near_sets(docs: DataFrame, size: int, share: int, depth: int = DEPTH) -> DataFrame:
+    """near_dedup with the key of each row's set."""
     n_trees = trees_for(share / 100, depth)
     least = least_agreeing(n_trees * depth, share / 100)
     sigs = signatures(docs, size, n_trees)
@@ -301,24 +307,36 @@ def near_dedup(docs: DataFrame, size: int = 3, share: int = 85, depth: int = DEP
     by_class = classes.join(component, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", known.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "set_key", known.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _texts(texts: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(rep, text), one row for each rep: of rows that share a doc_id, any with the class's set."""
+def set_keys(docs: DataFrame, size: int, name: str) -> DataFrame:
+    """docs with the key of each row's set as column `name`."""
+    place, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingle_set(t, size)) else None for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary())], ["rep", "text", "set_key"])
+            names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingle_set(t, size)) else None for t in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.binary())], [*b.schema.names, name])
 
-    repeated = texts.groupBy("rep").count().where("count > 1")
-    if repeated.isEmpty():
+    return docs.mapInArrow(key, schema)
+
+
+def _texts(texts: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(rep, text), one row for each rep: of rows that share a doc_id, any with the class's set."""
+    if texts.groupBy("rep").count().where("count > 1").isEmpty():
         return texts
-    return texts.mapInArrow(key, "rep long, text string, set_key binary").join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "text")
+    return set_keys(texts, size, "set_key").join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "text")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    stay = near_dedup(docs, size, share).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"]), "left_semi")
+    """The rows of docs that stay, one document of each component, with all their columns;
+    of rows that share a doc_id and the set, one stays."""
+    stay = near_sets(docs, size, share).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("set_key").alias("kept_set")).distinct()
+    same_id = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(stay, same_id, "left_semi")
+    name = free_name(docs, "set_key")
+    keyed = set_keys(docs, size, name)
+    out = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & keyed[name].eqNullSafe(F.col("kept_set")), "left_semi")
+    return out.dropDuplicates(["doc_id", name]).select(*docs.columns)

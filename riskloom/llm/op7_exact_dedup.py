@@ -1,19 +1,23 @@
 """Exact dedup with a minimal perfect hash over digests seen before.
 
-The digests known to repeat (from earlier runs, or counted in the table itself)
-are split into shards; each shard gets a minimal perfect hash made of bit levels,
-and slots that hold the full digest and the locator of its winner. Documents are
-sent to the shard of their digest behind the shard's index; a lookup compares all
-32 bytes of the slot, so a stranger that lands in a slot is no member. Nonmembers
-are grouped among themselves. Digests with over a thousandth of the rows are dealt
-to several tasks, each with its copy of the shard.
+The history is the distinct digests of earlier rows with the locators of their
+winners: those of earlier runs, or, for one table, of a random half of its rows. It
+is split into shards; each shard gets a minimal perfect hash made of bit levels, and
+slots that hold the full digest and the locator of its winner. Later rows are sent to
+the shard of their digest behind the shard's index; a lookup compares all 32 bytes of
+the slot, so a stranger that lands in a slot is no member. Members are repeats and
+only challenge the winner in their slot; nonmembers are grouped among themselves.
+Digests with over a thousandth of the earlier rows are dealt to several tasks, each
+with its copy of the shard.
 
 Texts are equal when they are equal without the characters 0x20 and 0x09-0x0D. Of
 equal texts the longest original (in code points), then the smallest doc_id, stays.
 
-Cases: a null text counts as empty, and all empty texts are one group; a null
-doc_id loses ties; repeated rows of one doc_id count in group_size and share the
-result; an empty table gives no rows; further columns are ignored."""
+Cases: a null text counts as empty, and all empty texts are one group; very long
+texts are digested whole where they lie; a null doc_id loses ties; repeated rows of
+one doc_id count in group_size and share the result; rows that share a doc_id but not
+the text are judged each by its own text; an empty table gives no rows; further
+columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix
+from .common import free_name, materialise, mix
 
 SHARD_KEYS = 1 << 16
 HOT_SHARE = 1000
@@ -35,15 +39,21 @@ SPACES = " \t\n\x0b\x0c\r"
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n_points) of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"), F.length(text).cast("long").alias("n_points")
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text).alias("digest"), F.length(text).cast("long").alias("n_points"))
+
+
+def digest_of(text):
+    return F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256))
+
+
+def bests(rows: DataFrame) -> DataFrame:
+    """(digest, best, group_size): the longest, then the least doc_id negated; partial sums come before the shuffle."""
+    return rows.groupBy("digest").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count("*").alias("group_size"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size); partial sums come before the shuffle."""
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", (-F.col("best.neg")).alias("keep_id"), "group_size")
+    """(digest, keep_id, group_size)."""
+    return bests(rows).select("digest", (-F.col("best.neg")).alias("keep_id"), "group_size")
 
 
 class PerfectHash:
@@ -164,25 +174,46 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     history(digest, keep_id, group_size): winners of earlier runs, which stay
-    winners; without it, the digests that repeat within docs."""
+    winners; without it, a random half of docs is the history of the other half."""
     spark = docs.sparkSession
-    rows = materialise(digests(docs), "digests")
-    total = rows.count()
-    counted = materialise(winners(rows), "winners")
-    known = counted.where("group_size > 1") if history is None else history
-    hot = counted.where(F.col("group_size") * HOT_SHARE > total).select("digest", F.ceil(F.col("group_size") * HOT_SHARE / max(1, total)).cast("int").alias("salts"))
+    rows = digests(docs)
+    if history is not None:
+        rows = materialise(rows, "digests")
+        earlier, later, known = None, rows, history
+        hot = rows.groupBy("digest").count().withColumnRenamed("count", "n")
+        total = max(1, rows.count())
+    else:
+        rows = materialise(rows.withColumn("early", F.rand(7) < 0.5), "digests")  # drawn once, then read
+        earlier, later = rows.where("early").drop("early"), rows.where("not early").drop("early")
+        known = materialise(bests(earlier).withColumn("keep_id", -F.col("best.neg")), "history")
+        hot = known.select("digest", F.col("group_size").alias("n"))
+        total = max(1, earlier.count())
+    hot = materialise(hot.where(F.col("n") * HOT_SHARE > total).select("digest", F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("salts")), "hot-digests")
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known.count() // SHARD_KEYS + 1)
-    found = materialise(lookup(rows, build_index(known, n_shards), n_shards, hot), "found")
-    strangers = found.where("not member").drop("keep_id", "group_size")
-    grouped = strangers.join(winners(strangers), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    return found.where("member").select("doc_id", "digest", "keep_id", "group_size").union(grouped).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    found = materialise(lookup(later, build_index(known.select("digest", "keep_id", "group_size"), n_shards), n_shards, hot), "found")
+    strangers = winners(found.where("not member"))
+    if earlier is None:
+        members = found.where("member").select("doc_id", "digest", "keep_id", "group_size")
+        grouped = found.where("not member").select("doc_id", "digest").join(strangers, "digest").select("doc_id", "digest", "keep_id", "group_size")
+        out = members.union(grouped)
+    else:
+        challenged = known.select("digest", "best", "group_size").union(bests(found.where("member"))).groupBy("digest").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
+        decided = materialise(challenged.select("digest", (-F.col("best.neg")).alias("keep_id"), "group_size").union(strangers), "decided")
+        few = F.broadcast(decided.join(F.broadcast(hot), "digest", "left_semi"))  # HOT_SHARE digests at most
+        cold = rows.join(F.broadcast(hot), "digest", "left_anti").join(decided, "digest")
+        out = rows.join(few, "digest").select("doc_id", "digest", "keep_id", "group_size").union(cold.select("doc_id", "digest", "keep_id", "group_size"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def distinct_documents(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated rows of one doc_id and text one stays."""
-    stay = exact_dedup(docs, history).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"]), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """The rows of docs that stay, with all their columns; of rows that share doc_id and
+    text (without white space), the longest stays, one of equals."""
+    digest, points, place = (free_name(docs, n) for n in ("digest", "points", "place"))
+    stay = exact_dedup(docs, history).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn(digest, digest_of(text))
+    out = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["kept_id"]) & (rows[digest] == stay["kept_digest"]), "left_semi")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id", digest).orderBy(F.desc(points))
+        out = out.withColumn(points, F.length(text)).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return out.select(*docs.columns)

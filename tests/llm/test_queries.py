@@ -282,6 +282,14 @@ def test_exact_dedup(docs, texts, empty, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({k for k, _ in expect.values()})
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    rows = [(1, "same text", 1), (2, "same text", 2), (2, "another text", 3), (3, "x y", 4), (3, "x  y", 5), (3, "x y", 6), (4, None, 7), (None, "", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, Digest int").repartition(3)
+    assert sorted(r.Digest for r in op7_exact_dedup.distinct_documents(d).collect()) == [1, 3, 5, 7]
+    d = spark.createDataFrame([(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "g h i j k l", 3), (5, "g h i j k l", 4)], "doc_id long, text string, set_key int").repartition(3)
+    assert sorted(r.set_key for r in op2_minhash.one_of_each(d).collect()) == [1, 3]
+
+
 def test_exact_dedup_against_history(spark):
     old = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     new = spark.createDataFrame([(10, "ab"), (11, "d"), (12, " d"), (13, "e"), (None, "c")], "doc_id long, text string")
