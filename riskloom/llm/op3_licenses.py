@@ -3,12 +3,18 @@ over the words of a text, and a shunting-yard parser evaluates the and/or/with
 expression that follows an identifier tag.
 
 A text's words are its runs of digits, letters a-z (A-Z lower-cased) and characters
-beyond ASCII. Base phrases count wherever their words stand consecutively. The
-score is 1 for a valid expression, else 1 - 2^-k for k places of any phrase.
-
-Cases: a null or empty text has no words, no labels (empty strings) and score 0;
-repeated rows each get their row; a broken expression adds the identifiers that it
-names but no verdict; further columns are ignored."""
+beyond ASCII. Base phrases count wherever their words stand consecutively. An
+expression may name the identifiers and exceptions below, in any case, an identifier
+with a plus sign, and references of the form LicenseRef-name. What follows a complete
+expression is prose, and so is a lower-case operator before anything else; any other
+name makes the expression invalid. The score is 1 if a tag has a valid expression, else
+1 - 2^-k for k places of any phrase.
+
+Cases: a null or empty text has no words, no labels (empty strings) and score 0; very
+long texts are scanned whole where they lie; repeated rows each get their row; of
+several expressions the strictest duties are given; an invalid expression adds the
+known identifiers that it names but no verdict; an empty table gives no rows; further
+columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -44,11 +50,30 @@ NOTICES = {
     "the unlicense": "unlicense",
     "proprietary and confidential": "proprietary",
 }
-#: Identifier prefix -> duties, longest prefix first where two fit.
-DUTIES = {
-    "agpl": "copyleft", "lgpl": "weak-copyleft", "gpl": "copyleft", "mpl": "weak-copyleft", "epl": "weak-copyleft", "cc-by-nc": "restricted", "cc-by-nd": "restricted", "cc-by-sa": "copyleft", "cc-by": "permissive",
-    "cc0": "permissive", "mit": "permissive", "apache": "permissive", "bsd": "permissive", "isc": "permissive", "unlicense": "permissive", "zlib": "permissive", "proprietary": "restricted",
+#: Identifiers by duties; all are lower case.
+IDENTIFIERS = {
+    "permissive": """0bsd afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 apache-1.0 apache-1.1 apache-2.0 artistic-1.0 artistic-2.0
+        blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause
+        bsl-1.0 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-pddc cc0-1.0 curl ecl-1.0 ecl-2.0 efl-2.0
+        fsfap ftl hpnd icu ijg isc json libpng libpng-2.0 libtiff mit mit-0 mit-cmu mulanpsl-2.0 ncsa ntp odc-by-1.0
+        openssl pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby sgi-b-2.0 tcl unicode-3.0 unicode-dfs-2016
+        unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zlib-acknowledgement zpl-2.0 zpl-2.1""",
+    "weak-copyleft": """apsl-2.0 cddl-1.0 cddl-1.1 cpal-1.0 cpl-1.0 ecos-2.0 epl-1.0 epl-2.0 erlpl-1.1 eupl-1.1 eupl-1.2 ipl-1.0
+        lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only
+        lgpl-3.0-or-later lppl-1.3c mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl nposl-3.0 ofl-1.0 ofl-1.1 qpl-1.0 sleepycat spl-1.0""",
+    "copyleft": """agpl-1.0-only agpl-1.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5
+        cc-by-sa-3.0 cc-by-sa-4.0 cecill-2.1 gfdl-1.1-only gfdl-1.1-or-later gfdl-1.2-only gfdl-1.2-or-later gfdl-1.3-only
+        gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only
+        gpl-3.0-or-later odbl-1.0 osl-1.0 osl-2.0 osl-2.1 osl-3.0 rpl-1.5""",
+    "restricted": """busl-1.1 cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-2.0 cc-by-nc-sa-3.0
+        cc-by-nc-sa-4.0 cc-by-nd-2.0 cc-by-nd-3.0 cc-by-nd-4.0 elastic-2.0 polyform-noncommercial-1.0.0 polyform-small-business-1.0.0 sspl-1.0""",
 }
+#: Exceptions that may follow "with"; all are lower case.
+EXCEPTIONS = set("""autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0
+    gcc-exception-2.0 gcc-exception-3.1 gpl-cc-1.0 i2p-gpl-java-exception libtool-exception linux-syscall-note llvm-exception
+    ocaml-lgpl-linking-exception openvpn-openssl-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1 swift-exception u-boot-exception-2.0
+    universal-foss-exception-1.0 wxwindows-exception-3.1""".split())
+DUTIES = {name: duty for duty, names in IDENTIFIERS.items() for name in names.split()}
 RANK = ["permissive", "weak-copyleft", "copyleft", "restricted"]
 TAG = "spdx license identifier"
 _TAG = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
@@ -72,46 +97,60 @@ def automaton():
     return a
 
 
+def duty_of(name: str) -> str | None:
+    """The duties of a lower-case identifier, None if it is unknown; a reference may hold any terms."""
+    if re.fullmatch(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", name):
+        return "restricted"
+    return DUTIES.get(name.removesuffix("+"))
+
+
 def evaluate(expression: str) -> tuple[list[str], str | None]:
-    """Identifiers of an expression and its duties: the strictest of an and, the
-    mildest of an or; an exception after with softens copyleft. None if broken."""
-    binds, output, ops, names, operand = {"or": 1, "and": 2, "with": 3}, [], [], [], True
-    for part in _PART.findall(expression):
+    """Known identifiers of an expression and its duties: the strictest of an and, the
+    mildest of an or; an exception after with softens copyleft. None if it is invalid."""
+    parts, binds = _PART.findall(expression), {"or": 1, "and": 2, "with": 3}
+    output, ops, names, operand, valid = [], [], [], True, True
+    for k, part in enumerate(parts):
         low = part.lower()
-        if low in binds and not operand:
+        if operand:
+            after_with = bool(ops) and ops[-1] == "with"
+            if part == "(" and not after_with:
+                ops.append(part)
+            elif (low in EXCEPTIONS) if after_with else duty_of(low):
+                output.append((low,))
+                names += [] if after_with else [low]
+                operand = False
+            else:
+                valid = False
+                break
+        elif low in binds:
+            follows = parts[k + 1].lower() if k + 1 < len(parts) else ""
+            if part == low and follows and follows != "(" and not duty_of(follows) and follows not in EXCEPTIONS:
+                break  # prose
             while ops and ops[-1] != "(" and binds[ops[-1]] >= binds[low]:
                 output.append(ops.pop())
+            if low == "with" and not (output and isinstance(output[-1], tuple)):
+                valid = False  # only an identifier can have an exception
+                break
             ops.append(low)
             operand = True
-        elif part == "(" and operand:
-            ops.append(part)
-        elif part == ")" and not operand:
-            while ops and ops[-1] != "(":
+        elif part == ")" and "(" in ops:
+            while ops[-1] != "(":
                 output.append(ops.pop())
-            if not ops:
-                return sorted(set(names)), None
             ops.pop()
-        elif re.fullmatch(r"[a-z0-9.+:-]*[a-z0-9][a-z0-9.+:-]*", low) and operand:
-            output.append((low,))
-            if not (ops and ops[-1] == "with"):
-                names.append(low)
-            operand = False
-        elif not operand and "(" not in ops:
-            break  # the rest of the line is prose
+            output.append("(")  # a closed group, which no exception can follow
         else:
-            return sorted(set(names)), None
-    if operand or "(" in ops:
-        return sorted(set(names)), None
-    output += reversed(ops)
+            break  # prose
+    known = sorted({*names, *(p.lower() for p in parts[k:] if not valid and duty_of(p.lower()))}) if parts else []
+    if not valid or operand or "(" in ops:
+        return known, None
     stack: list[int] = []
-    for x in output:
+    for x in [*output, *reversed(ops)]:
         if isinstance(x, tuple):
-            duty = next((DUTIES[p] for p in sorted(DUTIES, key=len, reverse=True) if x[0].startswith(p)), "restricted")
-            stack.append(RANK.index(duty))
-        else:
+            stack.append(RANK.index(duty_of(x[0]) or "permissive"))  # an exception's own place is not used
+        elif x != "(":
             b, a = stack.pop(), stack.pop()
             stack.append(max(a, b) if x == "and" else min(a, b) if x == "or" else 1 if a == 2 else a)
-    return sorted(set(names)), RANK[stack[0]]
+    return known, RANK[stack[0]]
 
 
 def scan_text(text: str | None) -> tuple:
