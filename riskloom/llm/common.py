@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.shared import connected_components, fresh_path, materialise, shared_dir
 
-__all__ = ["WordHash", "connected_components", "forget", "free_name", "fresh_path", "materialise", "mix", "open_fs", "shared_dir", "shingle_hashes", "space_words"]
+__all__ = ["WordHash", "connected_components", "forget", "free_name", "fresh_path", "materialise", "mix", "open_fs", "qualified", "shared_dir", "shingle_hashes", "space_words"]
 _MEMO_WORDS = 1_500_000
 
 
@@ -31,8 +31,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would read it by, so that tasks in Python use the same file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return "/" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
+
+
 def open_fs(path: str):
-    """(file system, path in it) for Python tasks; a path without scheme is local."""
+    """(file system, path in it) for Python tasks; the path comes from `qualified`."""
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):

@@ -8,8 +8,9 @@ No row is shuffled. Only the last sequence can be short; it is padded to the
 window, or kept as it is at a power of two.
 
 Cases: a null text counts as empty (the end id alone); null or repeated doc_ids
-and repeated rows are packed like others; an empty table gives no piece; further
-columns are ignored."""
+and repeated rows are packed like others; a very long text fills as many sequences as
+it takes; an empty table gives no piece; further columns are ignored, whatever their
+names."""
 
 from __future__ import annotations
 

@@ -9,8 +9,10 @@ index.
 
 Cases: null html is an empty payload; a null url gives an empty URL key; pages
 with a null page_id are written as responses of their own, for no revisit could
-name them; a repeated page_id gives a record for each row; an empty table writes
-no archive; further columns are ignored."""
+name them; a repeated page_id gives a record for each row; of equal
+payloads the largest page_id wins ties by being largest, and rows that tie on it are
+responses each; very long payloads are written whole, one record in memory at a time;
+an empty table writes no archive; further columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, open_fs
+from .common import fresh_path, materialise, open_fs, qualified
 
 RUN = 20_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,12 +184,17 @@ def merge_index(runs: DataFrame) -> DataFrame:
     merged from the slices of the runs that fall in it."""
     names = ["url_key", "stamp", "page_id", "file", "offset", "length"]
 
+    def rows_of(parts: list[pd.DataFrame]) -> Iterator[tuple]:
+        while parts:  # a part is dropped as soon as its rows are out
+            for key, stamp, page, *row in parts.pop(0)[names].itertuples(index=False, name=None):
+                yield key, stamp, None if pd.isna(page) else int(page), *row
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slices: dict[str, list[tuple]] = {}
+        slices: dict[str, list[pd.DataFrame]] = {}
         for b in batches:
-            for run, key, stamp, page, *row in b[["run", *names]].itertuples(index=False, name=None):
-                slices.setdefault(run, []).append((key, stamp, None if pd.isna(page) else int(page), *row))
-        merged = LoserTree(list(slices.values()), key=lambda r: (r[0], r[1], r[3], r[4]))
+            for run, part in b.groupby("run", sort=False):
+                slices.setdefault(run, []).append(part)
+        merged = LoserTree([rows_of(parts) for parts in slices.values()], key=lambda r: (r[0], r[1], r[3], r[4]))
         rows: list[tuple] = []
         for row in merged:
             rows.append(row)
@@ -203,7 +210,8 @@ def merge_index(runs: DataFrame) -> DataFrame:
 
 
 def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records that the index names; each file is opened once for a batch and read in file order."""
+    """The records that the index names, in its order: each archive is read from front to
+    back by one task, then the rows, without the archives' bulk, are put in order again."""
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp"] + ["payload"] * with_payload
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,10 +229,15 @@ def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield out[columns]
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, stamp string" + ", payload binary" * with_payload
-    return index.mapInPandas(read, schema)
+    index = materialise(index, "cdx")
+    n_files = max(1, index.select("file").distinct().count())
+    records = index.repartition(n_files, "file").sortWithinPartitions("file", "offset").mapInPandas(read, schema)
+    order = ["url_key", "stamp", "page_id"]
+    return materialise(records, "warc-records").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:
     """Writes the archives of pages(page_id, url, html) and reads them back through the merged index."""
-    runs = write_archives(assign(pages, min_bytes), folder or fresh_path(pages.sparkSession, "warc"))
+    spark = pages.sparkSession
+    runs = write_archives(assign(pages, min_bytes), qualified(spark, folder or fresh_path(spark, "warc")))
     return read_archives(merge_index(runs), with_payload)

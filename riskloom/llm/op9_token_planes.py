@@ -8,8 +8,9 @@ document index end the file:
     magic | planes of block 0 | planes of block 1 | ... | index | length of index | magic
 
 Cases: a null text counts as empty and yields the end id alone; a null doc_id
-sorts first and is kept; repeated rows and ids are all written; an empty table
-writes no file; other columns are ignored."""
+sorts first and is kept; repeated rows and ids are all written, rows that tie on
+doc_id in any order; a very long text is encoded whole; an empty table writes no file;
+other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_fs
+from .common import fresh_path, open_fs, qualified
 from .tokens import END_ID, Encoder, default_path
 
 MAGIC = b"TKPLANE1"
@@ -191,4 +192,4 @@ def read_files(spark: SparkSession, files: list[dict], with_ids: bool = False) -
 def token_planes(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, **how) -> DataFrame:
     """Writes the files and reads them back: see write_files and read_files."""
     spark = docs.sparkSession
-    return read_files(spark, write_files(docs, folder or fresh_path(spark, "planes"), tokenizer or default_path(), **how))
+    return read_files(spark, write_files(docs, qualified(spark, folder or fresh_path(spark, "planes")), tokenizer or default_path(), **how))
