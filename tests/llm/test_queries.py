@@ -166,7 +166,12 @@ def test_licenses_on_tables(spark):
         at = [(k, p) for p in op3_licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         r = rows[d.doc_id]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
-        assert r.base_labels == ",".join(sorted({op3_licenses.BASE[p] for _, p in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert r.base_labels == ",".join(sorted({op3_licenses.BASE[p] for _, p in at}))
+        notices = [p for p in op3_licenses.NOTICES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        tags = [op3_licenses.evaluate(line) for line in re.findall(r"(?i)spdx-license-identifier\s*:[ \t]*([^\r\n]*)", d.text or "")]
+        labels = {op3_licenses.BASE[p] for _, p in at} | {op3_licenses.NOTICES[p] for p in notices} | {n for names, _ in tags for n in names}
+        assert r.labels == ",".join(sorted(labels))
+        assert r.score == (1.0 if any(duty for _, duty in tags) else 1 - 0.5 ** (len(at) + len(notices)))
 
 
 def test_decontamination(spark, empty):
@@ -244,6 +249,44 @@ def test_kth_largest(spark):
         assert op5_importance.kth_largest(coded, k) == codes[k - 1]
 
 
+def brute_chain(texts, quality, toxic, n, spark, queries):
+    """The chain with features, folds and predictions recounted in plain Python."""
+    ids = sorted(texts)
+    folds = {r.id: r.f for r in spark.range(max(ids) + 1).select("id", F.pmod(F.xxhash64("id", F.lit(30)), F.lit(5)).alias("f")).collect()}
+    has = {k: {f for w in set(op6_toxicity.words_of(texts[k])) for f in op6_toxicity.word_features(w)} for k in ids}
+    answers = [set(f for w in set(op6_toxicity.words_of(t)) for f in op6_toxicity.word_features(w)) for t in queries]
+    labels = [{k: None if quality[k] is None else float(quality[k] <= 0) for k in ids}, {k: float(toxic[k]) for k in ids}]
+    ahead, asked = {k: [] for k in ids}, [[] for _ in queries]
+
+    def model(y, inn):
+        pos, neg = Counter(), Counter()
+        for k in inn:
+            (pos if y[k] else neg).update(has[k])
+        nb, ng = max(1, sum(y[k] == 1 for k in inn)), max(1, sum(y[k] == 0 for k in inn))
+        chi = {}
+        for f in set(pos) | set(neg):
+            a, b = pos[f], neg[f]
+            if a + b >= 3:
+                gap = float(a * (ng - b) - b * (nb - a))
+                chi[f] = gap * gap * float(nb + ng) / (float(a + b) * (nb + ng - a - b + 1) * float(nb) * float(ng))
+        best = sorted(sorted(chi, key=lambda f: (-chi[f], f))[:n])
+        at = {f: j for j, f in enumerate(best)}
+        rows = [sorted(at[f] for f in has[k] if f in at) for k in inn]
+        link = op6_toxicity.fit(rows, np.array([ahead[k] for k in inn]).reshape(len(inn), -1), np.array([y[k] for k in inn]), np.ones(len(best), bool))
+        return lambda present, before: float(link.predict([sorted(at[f] for f in present if f in at)], np.array([before]).reshape(1, -1))[0])
+
+    for y in labels:
+        known = [k for k in ids if y[k] is not None]
+        last = model(y, known)
+        out = {}
+        for f in range(5):
+            part = model(y, [k for k in known if folds[k] != f])
+            out |= {k: part(has[k], ahead[k]) for k in ids if folds[k] == f}
+        asked = [[*before, last(present, before)] for present, before in zip(answers, asked)]
+        ahead = {k: [*ahead[k], out[k]] for k in ids}
+    return asked
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(3)
     bad = {"idiot", "scumbag", "moronic"}
@@ -255,9 +298,16 @@ def test_toxicity(spark, empty):
                 w.insert(rng.randrange(len(w)), rng.choice(sorted(bad)) + rng.choice(["", "s", "ly"]))
         rows.append((k, " ".join(w)))
     d = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(500)] + [(2, None)], "doc_id long, toxic int")
-    chain = op6_toxicity.train(d, labels)
-    got = {r.doc_id: r.is_toxic for r in op6_toxicity.score(d, chain).collect()}
+    d = d.union(d.where("doc_id IN (0, 650)"))
+    quality = lambda k: None if k % 7 == 0 else int(k % 5 > 0)
+    labels = spark.createDataFrame([(k, quality(k), int(k % 6 == 0)) for k in range(500)] + [(2, 1, None)], "doc_id long, quality int, toxic int")
+    chain = op6_toxicity.train(d, labels, n_features=200)
+    scored = op6_toxicity.score(d, chain).collect()
+    got = {r.doc_id: r.is_toxic for r in scored}
+    assert len(scored) == 704
+    expect = brute_chain({k: t for k, t in rows if k < 500}, {k: quality(k) for k in range(500)}, {k: int(k % 6 == 0) for k in range(500)}, 200, spark, [t for _, t in rows])
+    by_text = {r.doc_id: (r.p_poor, r.p_toxic) for r in scored}
+    assert all(np.allclose(by_text[k], expect[i], atol=1e-6) for i, (k, _) in enumerate(rows))
     wrong = [k for k in range(500, 700) if got[k] != (k % 6 == 0)]
     assert len(wrong) <= 2 and not got[900] and not got[901]
     assert op6_toxicity.score(empty, chain).count() == 0

@@ -99,7 +99,15 @@ def test_licence_words_and_places():
         ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0"], "weak-copyleft"),
         ("MIT OR", ["mit"], None),
         ("(MIT", ["mit"], None),
-        ("MIT and then prose", ["mit", "then"], "restricted"),
+        ("MIT and then prose", ["mit"], "permissive"),
+        ("MIT and other terms", ["mit"], "permissive"),
+        ("see the licence", [], None),
+        ("MIT AND Unheard-Of-1.0", ["mit"], None),
+        ("Unheard-Of-1.0 OR MIT", ["mit"], None),
+        ("GPL-2.0-only WITH MIT", ["gpl-2.0-only", "mit"], None),
+        ("(MIT) WITH Classpath-exception-2.0", ["mit"], None),
+        ("LicenseRef-Own OR MIT", ["licenseref-own", "mit"], "permissive"),
+        ("mit */", ["mit"], "permissive"),
         ("", [], None),
     ],
 )
@@ -107,6 +115,31 @@ def test_licence_expressions(text, names, duty):
     assert op3_licenses.evaluate(text) == (names, duty)
 
 
+def test_licence_expressions_against_trees():
+    """Random expression trees, evaluated as trees, against their text."""
+    rng = random.Random(21)
+    ids = sorted(op3_licenses.DUTIES)
+    rank = op3_licenses.RANK
+
+    def tree(depth):
+        """(text, how tightly it binds, names, rank)"""
+        kind = rng.choice(["id", "with", "and", "or"]) if depth else "id"
+        if kind in ("id", "with"):
+            n = rng.choice(ids)
+            r = rank.index(op3_licenses.DUTIES[n])
+            if kind == "id":
+                return n.upper(), 4, {n}, r
+            return f"{n} WITH {rng.choice(sorted(op3_licenses.EXCEPTIONS))}", 3, {n}, 1 if r == 2 else r
+        sides, own = [tree(depth - 1), tree(depth - 1)], 2 if kind == "and" else 1
+        text = [f"({t})" if b < own or rng.random() < 0.2 else t for t, b, *_ in sides]
+        both = [x[3] for x in sides]
+        return f" {kind.upper()} ".join(text), own, sides[0][2] | sides[1][2], max(both) if kind == "and" else min(both)
+
+    for _ in range(400):
+        text, _, names, r = tree(rng.randint(0, 4))
+        assert op3_licenses.evaluate(text) == (sorted(names), rank[r]), text
+
+
 def test_licence_tag_gives_score_one():
     got = op3_licenses.scan_text("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode")
     assert got[5] == "apache-2.0,mit" and got[6] == 1.0 and got[4] == ""
