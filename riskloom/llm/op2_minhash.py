@@ -7,31 +7,37 @@ brings the longest common prefixes together. A region is what shares the first
 `depth` values; there are so many trees that a pair at the threshold shares no
 region with probability `miss` at most.
 
-Round A: in each sorted order a region's members are linked to their neighbours
-and to the region's most central member, with one more centre for each deeper
-stretch of a large region. Candidate pairs whose signatures agree too little are
-put aside (again with `miss`), the others are verified on full sets. Verified
-links give components.
-Round B: every region that still holds two components gives all pairs across
-them that can still be links, each in the first region that both share. In large
-regions an exact bound keeps their number down: of a set's shingles, those that few
-sets of large regions have (`RARE` at most) are listed; a pair can share no more
-than the lesser number of other shingles plus the listed ones that both have. Pairs
-are verified too. So no link is lost to the choice of candidates in round A, and
-copies are never expanded into all pairs. Large regions are dealt in blocks.
+Round A: in each sorted order a row and its neighbour of the longer common prefix are
+candidates, and so are the rows of a region and its most central one. A region with
+more than STRETCH rows is read deeper: it is cut where neighbours share the fewest
+values, again and again, each part to the depth that it needs, and every part's
+central row is a candidate with the others of the part. Candidate pairs whose
+signatures agree too little are put aside (again with `miss`), the others are verified
+on full sets. Verified links give components.
+Round B makes the result exact across components: every region that still holds two
+of them gives the pairs across them that can still be links, each in the first region
+that both share. In large regions an exact bound keeps their number down: a pair
+shares no more than the lesser number of common shingles plus the rare ones that both
+have (rare: RARE sets of large regions at most have it). So only rows whose common
+shingles alone could suffice meet each other there, dealt in blocks; all others can
+only be linked by a rare shingle, and meet in a bucket of such shingles, RARE rows
+for each, whatever the size of the region. Pairs are verified too. So no link is lost
+to the choice of candidates in round A, and copies are never expanded into all pairs.
 
 Words stand between white space, A-Z lower-cased; a text of fewer words than a
 shingle has its whole sequence as one.
 
-Cases: null or empty texts have an empty set and stay alone; a null doc_id is
-linked with nothing; rows that share a doc_id are one document when their sets
-are equal, and rows of their own otherwise; an empty table gives no rows; further
-columns are ignored."""
+Cases: null or empty texts have an empty set and stay alone; very long texts are read
+whole, and their sets compared whole; a null doc_id is linked with nothing; rows that
+share a doc_id are one document when their sets are equal, and rows of their own
+otherwise; the smallest doc_id stands for a component, ties there being copies; an
+empty table gives no rows; further columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,7 @@ from .common import WordHash, connected_components, free_name, materialise, shin
 
 DEPTH, MISS = 4, 1e-6
 STRETCH, BLOCK, PER_SALT, LARGE, RARE = 64, 1024, 128, 64, 32
+TOKENS = 1 << 20  # stands for a tree where rows meet by a rare shingle
 _hash = WordHash()
 
 
@@ -115,28 +122,56 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
 
 
-def centre_edges(rows: DataFrame, least: int, share: int) -> DataFrame:
+def prefix_lengths(path: np.ndarray) -> np.ndarray:
+    """For each row of the sorted paths, the values it shares with the row before from the left (0 for the first)."""
+    if len(path) < 2:
+        return np.zeros(len(path), np.int64)
+    differs = path[1:] != path[:-1]
+    return np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), path.shape[1])]
+
+
+def subtrees(lcp: np.ndarray, lo: int, hi: int, most: int) -> list[tuple[int, int]]:
+    """The stretches of rows lo..hi-1, as deep in the tree as it takes for at most `most`
+    rows each: a larger one is cut where neighbours share the least. Rows with equal paths
+    cannot be told apart by depth and are cut by number."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= most:
+            out.append((lo, hi))
+            continue
+        inner = lcp[lo + 1 : hi]
+        least = inner.min()
+        cuts = lo + 1 + np.flatnonzero(inner == least) if least < inner.max() else np.arange(lo + most, hi, most)
+        todo += zip([lo, *cuts.tolist()], [*cuts.tolist(), hi])
+    return sorted(out)
+
+
+def forest_edges(rows: DataFrame, least: int, share: int) -> DataFrame:
     """Round A: candidate pairs (hub, rep) of rows(tree, key, path, rep, n) in path order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            path, rep, n, tree = _bytes(b.column(2)), b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(0).to_numpy()
-            hubs, others = [], []
+            path, rep, n = _bytes(b.column(2)), b.column(3).to_numpy(), b.column(4).to_numpy()
+            lcp, hubs, others = prefix_lengths(path), [], []
             for lo, hi in zip(*_runs(b)):
                 if hi - lo < 2:
                     continue
-                if tree[lo] < 3 or hi - lo == 2:
-                    hubs.append(np.arange(lo, hi - 1)), others.append(np.arange(lo + 1, hi))
+                # each row and its neighbour of the longer common prefix
+                ahead, behind = np.r_[lcp[lo + 1 : hi], -1], np.r_[-1, lcp[lo + 1 : hi]]
+                i = np.arange(lo, hi)
+                near = np.where(ahead > behind, i + 1, i - 1)
+                hubs.append(np.minimum(i, near)), others.append(np.maximum(i, near))
                 if hi - lo > 2:
                     probe = path[np.linspace(lo, hi - 1, min(16, hi - lo)).astype(int)]
-                    near = np.concatenate([(path[a : min(hi, a + 512), None, :] == probe[None]).sum(axis=(1, 2)) for a in range(lo, hi, 512)])
-                    top = lo + int(np.argmax(near))
-                    hubs.append(np.full(hi - lo, top)), others.append(np.arange(lo, hi))
-                    for a in range(lo, hi, STRETCH) if hi - lo > 2 * STRETCH else ():
-                        z = min(hi, a + STRETCH)
-                        hubs.append(np.full(z - a, a + int(np.argmax(near[a - lo : z - lo])))), others.append(np.arange(a, z))
+                    agree = np.concatenate([(path[a : min(hi, a + 512), None, :] == probe[None]).sum(axis=(1, 2)) for a in range(lo, hi, 512)])
+                    top = lo + int(np.argmax(agree))
+                    leaves = subtrees(lcp, lo, hi, STRETCH)
+                    hubs.append(np.full(hi - lo, top)), others.append(i)
+                    for a, z in leaves if len(leaves) > 1 else ():
+                        hubs.append(np.full(z - a, a + int(np.argmax(agree[a - lo : z - lo])))), others.append(np.arange(a, z))
             if not hubs:
                 continue
             i, j = np.concatenate(hubs), np.concatenate(others)
@@ -152,54 +187,65 @@ def centre_edges(rows: DataFrame, least: int, share: int) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, least: int, share: int) -> DataFrame:
-    """Round B: pairs (hub, rep) across the components of a region that can be links;
-    rows(tree, key, sig, marks, rep, n, common, rare, component, m): marks holds four bytes
-    of the key in each order, common the number of shingles not in rare, m the region's size."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-
-    def pairs(name: tuple, group: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(group)
-        tree, _, x, y = name
+    """Round B: pairs (hub, rep) across components that can be links; rows(tree, key, sig,
+    marks, rep, n, common, rare, component, m): marks holds the key in each order, common
+    the number of shingles that are not rare, m the region's size. A row of a large region
+    that has too few common shingles for any partner can only be linked by rare ones."""
+    schema = ["tree", "key", "x", "y", "sig", "marks", "rep", "n", "common", "rare", "component", "block"]
+    able = rows.where((F.col("m") <= LARGE) | (F.col("common") * 100 >= F.col("n") * share))
+    open_ = able.groupBy("tree", "key").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    able = able.join(open_, ["tree", "key"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    own = able.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_common = own.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).withColumn("rare", F.lit(None).cast("array<long>")).select(*schema)
+    few = materialise(rows.where("size(rare) > 0").drop("tree", "key", "m").dropDuplicates(["rep"]), "minhash-rare")
+    buckets = max(1, (few.agg(F.sum(F.size("rare")).alias("n")).first()["n"] or 0) // BLOCK)
+    met = few.withColumn("key", F.explode(F.array_distinct(F.transform("rare", lambda t: F.pmod(t, F.lit(buckets))))))
+    by_rare = met.withColumn("tree", F.lit(TOKENS)).withColumn("x", F.lit(buckets)).withColumn("y", F.lit(0)).withColumn("block", F.lit(0)).select(*schema)
+
+    def close(i: np.ndarray, j: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        return np.concatenate([(sig[i[k : k + 65536]] == sig[j[k : k + 65536]]).sum(axis=1) >= least for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
+
+    def by_common_shingles(table: pa.Table, tree: int, two_blocks: bool) -> pa.RecordBatch:
         n, common, component, block, rep = (table.column(c).to_numpy() for c in ("n", "common", "component", "block", "rep"))
         order = np.argsort(n, kind="stable")
         n, common, component, block, rep = n[order], common[order], component[order], block[order], rep[order]
-        m, need = len(n), lambda i, j: share * (n[i] + n[j])
-        # partners by common shingles alone: n_j is at most what keeps those of i above t/(1+t) of both sizes, and at most n_i/t
-        ends, codes = np.searchsorted(n, np.minimum(common * (100 + share) // share - n, n * 100 // share), side="right"), []
-        for i in np.flatnonzero(ends > np.arange(m) + 1):
+        # n_j is at most what keeps the common shingles of i above t/(1+t) of both sizes, and at most n_i/t
+        ends, left, right = np.searchsorted(n, np.minimum(common * (100 + share) // share - n, n * 100 // share), side="right"), [], []
+        for i in np.flatnonzero(ends > np.arange(len(n)) + 1):
             j = np.arange(i + 1, ends[i])
-            j = j[(component[j] != component[i]) & (common[j] * (100 + share) >= need(i, j))]
-            codes.append(i * m + j)
-        # and those that get there by rare shingles that both have
-        lists = table.column("rare").to_pylist()
-        token = np.array([t for k in order for t in lists[k] or ()], np.int64)
-        if len(token):
-            of = np.repeat(np.arange(m), [len(lists[k] or ()) for k in order])
-            by = np.lexsort((of, token))
-            token, of = token[by], of[by]
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            met = [a[:, None] * m + a[None, :] for a in np.split(of, first[1:]) if len(a) > 1]
-            code, both = np.unique(np.concatenate([c[np.triu_indices(len(c), 1)] for c in met]), return_counts=True) if met else (np.empty(0, np.int64),) * 2
-            i, j = code // m, code % m
-            ok = (component[i] != component[j]) & (n[i] * 100 >= share * n[j]) & ((np.minimum(common[i], common[j]) + both) * (100 + share) >= need(i, j))
-            codes.append(code[ok])
-        code = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
-        i, j = code // m, code % m
-        sig, marks = _bytes(table.column("sig"))[order], np.frombuffer(b"".join(table.column("marks").to_pylist()), "<u4").reshape(m, -1)[order]
-        if x != y:
-            i, j = i[block[i] != block[j]], j[block[i] != block[j]]
-        out = [np.empty(0, np.int64)] * 2 if not len(i) else None
-        if out is None:
-            ok = np.concatenate([((sig[i[k : k + 65536]] == sig[j[k : k + 65536]]).sum(axis=1) >= least) & ~(marks[i[k : k + 65536], :tree] == marks[j[k : k + 65536], :tree]).any(axis=1) for k in range(0, len(i), 65536)])
-            out = [rep[i[ok]], rep[j[ok]]]
-        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["hub", "rep"])
+            j = j[(component[j] != component[i]) & (common[j] * (100 + share) >= share * (n[i] + n[j]))]
+            j = j[block[j] != block[i]] if two_blocks else j
+            left.append(np.full(len(j), i)), right.append(j)
+        i, j = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), "<i8").reshape(len(n), -1)[order]
+        first = np.concatenate([~(marks[i[k : k + 65536], :tree] == marks[j[k : k + 65536], :tree]).any(axis=1) for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
+        ok = first & close(i, j, _bytes(table.column("sig"))[order])
+        return pa.RecordBatch.from_arrays([pa.array(rep[i[ok]]), pa.array(rep[j[ok]])], ["hub", "rep"])
+
+    def by_rare_shingles(table: pa.Table, bucket: int, buckets: int) -> pa.RecordBatch:
+        n, common, component, rep = (table.column(c).to_numpy() for c in ("n", "common", "component", "rep"))
+        lists, at = [set(t) for t in table.column("rare").to_pylist()], {}
+        for k, tokens in enumerate(lists):
+            for t in tokens:
+                if t % buckets == bucket:
+                    at.setdefault(t, []).append(k)
+        pairs = {(a, b) for ks in at.values() for a, b in combinations(ks, 2) if component[a] != component[b]}  # RARE sets a token at most
+        i, j = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+        both = np.array([len(lists[a] & lists[b]) for a, b in zip(i, j)], np.int64)
+        ok = (np.minimum(n[i], n[j]) * 100 >= share * np.maximum(n[i], n[j])) & ((np.minimum(common[i], common[j]) + both) * (100 + share) >= share * (n[i] + n[j]))
+        i, j = i[ok], j[ok]
+        ok = close(i, j, _bytes(table.column("sig")))
+        return pa.RecordBatch.from_arrays([pa.array(rep[i[ok]]), pa.array(rep[j[ok]])], ["hub", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of (tree, key, x, y) may go on in the next batch; one holds two blocks at most."""
+        """Groups of (tree, key, x, y) may go on in the next batch; one holds two blocks, or a bucket of tokens, at most."""
         name, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            tree, key, x, y = name
+            table = pa.concat_tables(held)
+            return by_rare_shingles(table, key, x) if tree == TOKENS else by_common_shingles(table, tree, x != y)
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -208,15 +254,15 @@ def cross_pairs(rows: DataFrame, least: int, share: int) -> DataFrame:
             for lo, hi in zip(first, np.r_[first[1:], b.num_rows]):
                 now = tuple(int(c[lo]) for c in cols)
                 if now != name and held:
-                    yield pairs(name, held)
+                    yield pairs()
                     held = []
                 name = now
                 held.append(table.slice(lo, hi - lo))
         if held:
-            yield pairs(name, held)
+            yield pairs()
 
     group = ["tree", "key", "x", "y"]
-    placed = dealt.select(*group, "sig", "marks", "rep", "n", "common", "rare", "component", "block").repartition(*group).sortWithinPartitions(*group)
+    placed = by_common.union(by_rare).repartition(*group).sortWithinPartitions(*group)
     return placed.mapInArrow(run, "hub long, rep long").distinct()
 
 
@@ -287,7 +333,7 @@ def near_sets(docs: DataFrame, size: int, share: int, depth: int = DEPTH) -> Dat
 
     path = lambda: F.concat(F.expr(f"substring(sig, tree * {depth} + 1)"), F.expr(f"substring(sig, 1, tree * {depth})"))
     signed = members.join(reps.select("rep", "n", "sig"), "rep").withColumn("path", path()).drop("sig")
-    links = verify(centre_edges(signed, least, share), texts, size, share)
+    links = verify(forest_edges(signed, least, share), texts, size, share)
 
     component = materialise(connected_components(links, "minhash-a"), "minhash-components").select(F.col("node").alias("rep"), "component")
     placed = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -295,7 +341,7 @@ def near_sets(docs: DataFrame, size: int, share: int, depth: int = DEPTH) -> Dat
     left = materialise(placed.join(open_, ["tree", "key"], "left_semi"), "minhash-open")
     large = left.groupBy("rep").agg(F.max("m").alias("m")).where(F.col("m") > LARGE).select("rep")
     rare = rare_shingles(texts.join(large, "rep", "left_semi"), size)
-    marks = F.expr("unhex(array_join(transform(keys, k -> lpad(hex(k & 4294967295L), 8, '0')), ''))")
+    marks = F.expr("unhex(array_join(transform(keys, k -> lpad(hex(k), 16, '0')), ''))")
     facts = reps.select("rep", "n", "sig", marks.alias("marks")).join(rare, "rep", "left").withColumn("common", F.col("n") - F.coalesce("n_rare", F.lit(0))).drop("n_rare")
     rest = left.join(facts, "rep")
     # in a small region not all members need be among those whose shingles were counted

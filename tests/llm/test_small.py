@@ -73,6 +73,21 @@ def test_forest_numbers():
     assert 40 < m < 55 and (rng.binomial(n, 0.85, 200_000) < m).mean() < 1e-4
 
 
+def test_subtrees_are_as_deep_as_needed():
+    rng = np.random.default_rng(7)
+    path = rng.integers(0, 3, (500, 12)).astype(np.uint8)
+    path[100:300, :5] = 1
+    path = path[np.lexsort(path.T[::-1])]
+    lcp = op2_minhash.prefix_lengths(path)
+    assert lcp.tolist() == [0] + [next((k for k in range(12) if a[k] != b[k]), 12) for a, b in zip(path, path[1:])]
+    parts = op2_minhash.subtrees(lcp, 0, 500, 16)
+    assert [a for a, _ in parts] == [0, *(z for _, z in parts[:-1])] and parts[-1][1] == 500 and max(z - a for a, z in parts) <= 16
+    for (a, z), (_, y) in zip(parts, parts[1:]):  # a cut lies where the prefix is no longer than inside the parts
+        assert lcp[z] <= min([*lcp[a + 1 : z], *lcp[z + 1 : y], 12])
+    same = np.zeros((50, 4), np.uint8)
+    assert max(z - a for a, z in op2_minhash.subtrees(op2_minhash.prefix_lengths(same), 0, 50, 16)) == 16
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 1200, dtype=np.uint64)
