@@ -22,7 +22,7 @@ def read_texts(spark: SparkSession, folder: str, schema: str, files_a_batch: int
 def stream_signals(texts: DataFrame, path: str = "path", content: str = "content", size: int = 160, overlap: int = 40) -> DataFrame:
     """The signals of a stream's chunks; the same functions as in batch."""
     chunks = chunking.line_chunks(texts, path, content, size, overlap)
-    return detectors.collect_signals(chunks.withColumnRenamed("chunk", "chunk_text"), "chunk_uid", "chunk_text", follow=False)
+    return detectors.collect_signals(chunks.withColumnRenamed("chunk", "chunk_text"), "chunk_uid", "chunk_text")
 
 
 def new_only(rows: DataFrame, key: list[str], time: str, late: str = "1 hour") -> DataFrame:

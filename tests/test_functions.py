@@ -165,5 +165,25 @@ def test_signals(spark):
 
 
 @pytest.mark.parametrize("args, first", [("a, b", "a"), ("f(a, b), c", "f(a, b)"), ("`x,${y}`, z", "`x,${y}`"), ("'a\\',b', c", "'a\\',b'"), ("[1, 2]", "[1, 2]"), ("{a: 1, b: (2)}, c", "{a: 1, b: (2)}"), (")", ")")])
-def test_first_argument(args, first):
-    assert detectors.first_argument(args) == first
+def test_first_argument(spark, args, first):
+    assert one(spark, args, detectors.first_argument) == first
+
+
+FOLLOWED = [
+    ("  q.or(req.query.a, 1) // x", "q.or(req.query.a, 1) // x", "q.or(req.query.a, 1) // x"),
+    ("let f$ = req.body.x;\nq\n  .whereRaw(f$, [1])", ".whereRaw(f$, [1])", ".whereRaw(f$, [1])"),  # no word ends after a $
+    ("const v = searchParams.get('v')\nq.orderByRaw('a ' + v + ' desc')", "q.orderByRaw('a ' + v + ' desc')", "const v = searchParams.get('v')"),
+    ("const v = req.query.v\nq.where({a: v})\nq.andWhere(`a = ${v}`)", "q.andWhere(`a = ${v}`)", "const v = req.query.v"),
+    ("q.or(`a.${x}`)\nconst y = req.query.y\nq.or(`b.${ y }`)", "q.or(`b.${ y }`)", "const y = req.query.y"),
+    ("const x = 1\nq.or(x)", None, None),
+    ("const b = await r.json()\nconst z = b['k']\nsequelize.literal(z)", "sequelize.literal(z)", "const z = b['k']"),
+    ("q.or('" + "a" * 300 + "')", None, None),
+    ("y" * 200 + " q.or(req.query.a)", "y" * 179 + "…", "y" * 179 + "…"),
+]
+
+
+def test_queries_followed_to_their_input(spark):
+    rows = spark.createDataFrame([(k, c) for k, (c, *_) in enumerate(FOLLOWED)], "k int, c string").select("k", detectors.unsafe_query(F.col("c")).alias("u")).orderBy("k").collect()
+    assert [(r.u.query, r.u.input) if r.u else (None, None) for r in rows] == [tuple(x[1:]) for x in FOLLOWED]
+    long = spark.createDataFrame([("x.where " * 40_000 + "q.or(req.query.a)",)], "c string").select(detectors.unsafe_query(F.col("c"))["query"].alias("q")).first()
+    assert len(long.q) == 180

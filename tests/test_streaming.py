@@ -19,7 +19,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = signals.stream_signals(signals.read_texts(spark, str(tmp_path / "in"), SCHEMA, 1), size=4, overlap=1)
     signals.to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     chunks = chunking.line_chunks(spark.read.parquet(str(tmp_path / "in")), size=4, overlap=1).withColumnRenamed("chunk", "c")
-    batch = detectors.collect_signals(chunks, "chunk_uid", "c", follow=False)
+    batch = detectors.collect_signals(chunks, "chunk_uid", "c")
     key = lambda df: sorted((r.chunk_uid, r.signal_id) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch) and batch.count() > 0
 
