@@ -236,13 +236,14 @@ def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.merge_intervals(r, ["user_id"], "s", "e")
 
 
-@query("""WITH u AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages),
+@query("""WITH u AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p, regexp_extract(url, '^[a-z]+') AS url_kind FROM pages),
           c AS (SELECT page_id, array_to_string(p[1:n], '/') AS prefix, n FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS n FROM u)),
-          f AS (SELECT DISTINCT array_to_string(p[1:2], '/') AS prefix FROM u WHERE page_id % 3 = 0)
+          f AS (SELECT DISTINCT array_to_string(p[1:2], '/') AS prefix FROM u WHERE url_kind = 'http')
           SELECT page_id, arg_max(prefix, length(prefix)) AS prefix FROM c JOIN f USING (prefix) GROUP BY page_id""")
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    known = p.where("page_id % 3 = 0").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("prefix"))
+    """Prefixes known from plain http pages; pages without one are left out."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    known = p.where("url LIKE 'http://%'").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("prefix"))
     return intervals.longest_prefix(p, known, "path", "prefix", ["page_id"]).where("prefix IS NOT NULL").select("page_id", "prefix")
 
 
@@ -305,6 +306,50 @@ def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequential_bins(rows, ["conv_id"], "turn", "tokens", 100, 400, 3).select("conv_id", "turn", "bin")
 
 
+#: Contents and, read off the rules by hand, their signals with evidence.
+DETECTOR_SAMPLES = [
+    ('<input type="password"/> onClick={signIn}', [("login_attempt_present", "password login attempt detected")]),
+    ("export async function POST(request) {}", [("api_handler", "export async function POST(")]),
+    ("router.patch('/items', save)", [("api_handler", "router.patch(")]),
+    ("const t = env.T ?? '';\nsend({ auth: `Bearer ${t}` })", [("bearer_token_optional", "bearer token defaults to empty or optional value")]),
+    ("const a = incoming.headers.get('authorization');\nif (a.startsWith('Bearer ')) go()", [("auth_header_present", "reads Authorization bearer token from request headers")]),
+    ("  const claims = jwt.decode(raw)", [("jwt_decode_present", "const claims = jwt.decode(raw)")]),
+    ("reply.setHeader('Access-Control-Allow-Origin', '*')", [("cors_permissive_or_unknown", "CORS allow-origin wildcard detected")]),
+    ("res.json({ all: process.env })", [("logs_sensitive", "process.env")]),
+    ("app.get('/debug/state', show)", [("api_handler", "app.get("), ("debug_endpoint", "app.get('/debug/state'")]),
+    ("fetch(u, { headers: { Authorization: `Bearer ${anonKey}` } })", [("public_api_key_bearer", "Authorization: `Bearer ${anonKey}`"), ("public_api_key_usage", "Authorization: `Bearer ${anonKey}`")]),
+    ("const k = cfg.MY_ANON_KEY\nheaders.set('authorization', `Bearer ${k}`)", [("public_api_key_bearer", "headers.set('authorization', `Bearer ${k}`)"), ("public_api_key_usage", "headers.set('authorization', `Bearer ${k}`)")]),
+    ("createClient(url, PROJECT_ANON_KEY)", [("public_api_key_usage", "PROJECT_ANON_KEY")]),
+    ("createBucket('pics', { public: true })", [("public_storage_bucket", "storage bucket marked as public")]),
+    ("function runSql(sql: string) { db.query(sql) }", [("raw_sql_sink", "raw SQL execution helper accepts SQL string")]),
+    ("const f = searchParams.get('f')\ntable.or(f)", [("orm_query_sink", "table.or(f)"), ("untrusted_input_present", "const f = searchParams.get('f')")]),
+    ("const body = await request.json()\nconst f = `id.eq.${body.id}`\ntable.or(f)", [("orm_query_sink", "table.or(f)"), ("untrusted_input_present", "const f = `id.eq.${body.id}`")]),
+    ("knex.whereRaw('a = ' + req.body.a)", [("orm_query_sink", "knex.whereRaw('a = ' + req.body.a)"), ("untrusted_input_present", "knex.whereRaw('a = ' + req.body.a)")]),
+    ("table.where({ id: other })", []),
+    ("table.or(`name.eq.${fixed}`)", []),
+    ("knex.whereRaw('a = ?', [req.body.a])", []),
+    ('const API_KEY = "0123456789abcdef"', [("secrets_access", "hardcoded secret token detected")]),
+    ("const u = req.params.userId", [("id_in_path_or_query", "req.params.userId"), ("client_supplied_user_id", "req.params.userId"), ("client_supplied_identifier", "req.params.userId")]),
+    ("const { teamId, page } = req.query", [("id_in_path_or_query", "const { teamId, page } = req.query"), ("client_supplied_org_id", "const { teamId, page } = req.query"), ("client_supplied_identifier", "const { teamId, page } = req.query")]),
+    ("const s = searchParams.get('sort')", []),
+    ("'use client'\nconst c = createClient(a)\nc.from('t').upsert(row)", [("client_db_write", "client code performs direct database write via supabase.from(...).insert/update")]),
+]
+
+
+def _sample_values() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({k}, {text(signal)}, {text(evidence)})" for k, (_, hits) in enumerate(DETECTOR_SAMPLES) for signal, evidence in hits)
+
+
+@query(f"""WITH m(k, signal_id, evidence) AS (VALUES {_sample_values()})
+          SELECT doc_id, signal_id, evidence FROM documents JOIN m ON doc_id % {len(DETECTOR_SAMPLES)} = k""")
+def detector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stands for one of the samples, in turn."""
+    samples = F.array(*[F.lit(c) for c, _ in DETECTOR_SAMPLES])
+    d = _docs(spark, sf_dir).select("doc_id", F.element_at(samples, (F.col("doc_id") % len(DETECTOR_SAMPLES) + 1).cast("int")).alias("content"))
+    return detectors.collect_signals(d, "doc_id").select("doc_id", "signal_id", "evidence")
+
+
 # rules --------------------------------------------------------------------------------------------------------
 
 
@@ -321,11 +366,11 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 def _signal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of a user: one for each of ten kinds of events, by value."""
     named = F.element_at(F.array(*map(F.lit, SIGNALS_OF_EVENTS)), (F.col("event_id") % 10 + 1).cast("int"))
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("chunk_uid")).agg(F.collect_set(named).alias("signals")).withColumn("exposure", F.when(F.col("chunk_uid") % 2 == 0, "public").otherwise("internal")).withColumn("role", F.when(F.col("chunk_uid") % 3 == 0, "api_handler").otherwise("job_worker"))
 
 
-@query(f"""WITH c AS (SELECT user_id AS chunk_uid, list_distinct(list([{', '.join(f"'{s}'" for s in SIGNALS_OF_EVENTS)}][event_id % 10 + 1])) AS signals FROM events WHERE event_id % 7 = 0 GROUP BY user_id),
+@query(f"""WITH c AS (SELECT user_id AS chunk_uid, list_distinct(list([{', '.join(f"'{s}'" for s in SIGNALS_OF_EVENTS)}][event_id % 10 + 1])) AS signals FROM events GROUP BY user_id),
           r(rule_id, category, needs_all, needs_any, optional) AS (VALUES {_rule_values()}),
           m AS (SELECT chunk_uid, rule_id, category, round(3 * len(list_intersect(needs_all, signals)) + CASE WHEN len(list_intersect(needs_any, signals)) > 0 THEN 2 ELSE 0 END + len(list_intersect(optional, signals))
                   + CASE WHEN chunk_uid % 2 = 0 THEN 0.25 ELSE 0 END + CASE WHEN chunk_uid % 3 = 0 THEN 0.15 ELSE 0.1 END, 2) AS score
@@ -418,14 +463,16 @@ def dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_report(_docs(spark, sf_dir).select("source", "text", F.lit("x").alias("s")), ["text"], "s", "source")
 
 
-@query(r"""WITH d AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text[1:80]), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN
-             ('a','an','the','of','for','to','on','in','with','without','and','or','no','not','missing','lack','lacking','is','are','be','as','by','via','from','into','this','that','these','those','should')))) AS w FROM documents)
-          SELECT x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS score
-          FROM d x JOIN d y ON x.source = y.source AND x.doc_id < y.doc_id
+@query(r"""WITH d AS (SELECT page_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN
+             ('a','an','the','of','for','to','on','in','with','without','and','or','no','not','missing','lack','lacking','is','are','be','as','by','via','from','into','this','that','these','those','should')))) AS w FROM pages)
+          SELECT x.page_id AS a, y.page_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS score
+          FROM d x JOIN d y ON x.lang = y.lang AND x.page_id < y.page_id
           WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.88""")
 def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", "source", t.summary_tokens(F.substring("text", 1, 80)).alias("words"))
-    return dedupe.similar_pairs(d, ["source"], "doc_id", "words").withColumn("score", F.round("score", 6))
+    """Whole titles of pages of a language that nearly agree."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    d = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"), t.summary_tokens(title).alias("words"))
+    return dedupe.similar_pairs(d, ["lang"], "page_id", "words").withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -471,13 +518,15 @@ def valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.valid_edges(_edges(spark, sf_dir), nodes).groupBy("src").agg(F.count("*").alias("n_calls"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey <= 3
-             UNION SELECT v.dst, b.depth + 1 FROM b JOIN v ON b.node = v.src WHERE b.depth < 5)
+@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'O'
+             UNION SELECT v.dst, b.depth + 1 FROM b JOIN v ON b.node = v.src WHERE b.depth < 8)
           SELECT node, CAST(min(depth) AS INTEGER) AS min_depth FROM b GROUP BY node""")
 def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    starts = nodes.where("id <= 3").select(F.col("id").alias("node"), F.concat(F.lit("entry "), F.col("id").cast("string")).alias("label"), F.col("id").alias("ord"))
-    return graph.reachability(graph.valid_edges(_edges(spark, sf_dir), nodes), starts, max_depth=5).select("node", "min_depth")
+    """Nodes within the default depth of all open orders of low priority."""
+    orders = table(spark, sf_dir, "orders")
+    nodes = orders.select(F.col("o_orderkey").alias("id"))
+    starts = orders.where("o_orderpriority = '5-LOW' AND o_orderstatus = 'O'").select(F.col("o_orderkey").alias("node"), F.concat(F.lit("entry "), F.col("o_orderkey").cast("string")).alias("label"), F.col("o_orderkey").alias("ord"))
+    return graph.reachability(graph.valid_edges(_edges(spark, sf_dir), nodes), starts).select("node", "min_depth")
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
@@ -521,6 +570,23 @@ def catalog_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_findings(sets).select("rule_id", "object", "severity")
 
 
+@query("""WITH n AS (SELECT n_nationkey AS k, lower(replace(n_name, ' ', '_')) AS name, n_regionkey AS r FROM nation)
+          SELECT 'function_public_exec' AS rule_id, 'api.' || name || '.' || name || '_1' AS object, CASE r WHEN 0 THEN 'public' WHEN 1 THEN 'anon' ELSE 'authenticated' END AS roles,
+                 CASE WHEN r < 2 THEN 'high' ELSE 'medium' END AS severity FROM n WHERE r < 3
+          UNION ALL SELECT 'public_bucket', name, 'public', 'high' FROM n WHERE k % 2 = 0
+          UNION ALL SELECT 'storage_objects_public_policy', 'storage.objects', CASE r WHEN 0 THEN 'public' ELSE 'anon,authenticated' END, 'high' FROM n WHERE r < 2""")
+def catalog_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions, buckets and storage policies that are open to clients, one of each for a nation."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("name"), F.col("n_regionkey").alias("r"))
+    grantee = F.when(F.col("r") == 0, "PUBLIC").when(F.col("r") == 1, "anon").when(F.col("r") == 2, "Authenticated").otherwise("service_role")
+    roles = F.when(F.col("r") == 0, "{public}").when(F.col("r") == 1, "{authenticated,anon}").otherwise("{service_role}")
+    sets = {name: spark.createDataFrame([], ", ".join(f"{c} string" for c in database.ROW_SETS[raw].split(", "))) for name, raw in (("table_privileges", "tablePrivileges"), ("rls", "rls"), ("column_acl", "columnAcl"), ("column_privileges", "columnPrivileges"))}
+    sets["policies"] = n.select(F.lit("storage").alias("schemaname"), F.lit("objects").alias("tablename"), roles.alias("roles"), F.lit("p").alias("policyname"), F.lit("SELECT").alias("cmd"))
+    sets["routine_privileges"] = n.select(F.lit("api").alias("routine_schema"), F.col("name").alias("routine_name"), F.concat("name", F.lit("_1")).alias("specific_name"), grantee.alias("grantee"))
+    sets["storage_buckets"] = n.select(F.col("name").alias("id"), F.when(F.col("k") % 3 > 0, F.col("name")).otherwise("").alias("name"), (F.col("k") % 2 == 0).alias("public"))
+    return catalog.catalog_findings(sets).where("rule_id IN ('function_public_exec', 'public_bucket', 'storage_objects_public_policy')").select("rule_id", "object", "roles", "severity")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0)""")
 def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("hash"))
