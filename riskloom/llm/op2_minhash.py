@@ -305,8 +305,10 @@ def rare_shingles(texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
 
     tokens = materialise(texts.select("rep", "text").mapInArrow(run, "rep long, shingle long"), "minhash-tokens")
-    few = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    return tokens.join(few, "shingle").groupBy("rep").agg(F.count("*").alias("n_rare"), F.collect_list(F.when(F.col("df") > 1, F.col("shingle"))).alias("rare"))
+    counted = materialise(tokens.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where(F.col("df") <= RARE), "minhash-shingles")
+    # a shingle that one set has names it already; only the others are looked for
+    few = tokens.join(counted.where("df > 1").select("shingle"), "shingle").select("rep", "shingle").union(counted.where("df = 1").select("rep", F.lit(None).cast("long")))
+    return few.groupBy("rep").agg(F.count("*").alias("n_rare"), F.collect_list("shingle").alias("rare"))
 
 
 def near_dedup(docs: DataFrame, size: int = 3, share: int = 85, depth: int = DEPTH) -> DataFrame:
