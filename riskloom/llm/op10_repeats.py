@@ -14,11 +14,12 @@ min_words words share a retained suffix in it, and every window belongs to one.
    window that starts o words before the suffix is shared by those that agree in o
    words to the left and min_words - o to the right; the two arrays of neighbours
    tell these groups. Suffixes with equal surroundings are one member of the run.
-3. A partition's first and last run may go on in the next one. Their windows are
-   named by 128-bit digests and settled in the same way: sorted over range
-   partitions, where a run at a partition's edge is settled by its least and
-   greatest doc_id, at most two runs a partition. So a passage that a third of all
-   documents share is spread over as many tasks as its rows need.
+3. A partition's first and last run may go on in the next one. The windows of their
+   members are named by 128-bit digests, once for all documents of a member, and
+   settled in the same way: sorted over range partitions, where a run at a partition's
+   edge is settled by its least and greatest doc_id, at most two runs a partition. So a
+   passage that a third of all documents share is spread over as many tasks as its rows
+   need.
 4. What is shared around neighbouring suffixes grows together into spans.
 
 Words stand between white space, A-Z lower-cased. Repeats within one document only
@@ -94,17 +95,17 @@ def suffixes(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
                     at = np.unique(minimisers(grams, min_words - depth + 1))
                     keys.append(grams[at].view(np.int64))
                     ids.append(np.full(len(at), doc, np.int64))
-                    places.append(at.astype(np.int32))
+                    places.append(at.astype(np.int64))
                 if keys:
                     key, doc, at = (np.concatenate(c) for c in (keys, ids, places))
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(doc), pa.array(at)], ["k1", "k2", "doc_id", "at"])
 
-    return _plain(docs).mapInArrow(run, "k1 long, k2 long, doc_id long, at int")
+    return _plain(docs).mapInArrow(run, "k1 long, k2 long, doc_id long, at long")
 
 
 def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
     """(doc_id, at, lo) of the rows(k1, k2, doc_id, at) whose key another document has as
-    well; lo is the smallest doc_id with the key. Rows are sorted over range partitions;
+    well; at is a place or any number that tells the rows; lo is the smallest doc_id with the key. Rows are sorted over range partitions;
     runs at the edges of a partition, two at most, are settled by their least and greatest
     doc_id, which come to the driver and go out again."""
 
@@ -149,7 +150,7 @@ def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
 
     order = ["k1", "k2", "doc_id", "at"]
     ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(ordered.mapInArrow(settle, "k1 long, k2 long, doc_id long, at int, lo long, sure boolean"), name)
+    found = materialise(ordered.mapInArrow(settle, "k1 long, k2 long, doc_id long, at long, lo long, sure boolean"), name)
     edge = found.where("not sure")
     ends = edge.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("k1", "k2", "lo").collect()  # two a partition at most
     least = {(r["k1"], r["k2"]): r["lo"] for r in ends}
@@ -160,7 +161,7 @@ def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
             there = pa.array([x is not None for x in lo], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(lo, pa.int64())], ["doc_id", "at", "lo"]).filter(there)
 
-    settled = edge.select("k1", "k2", "doc_id", "at").mapInArrow(look_up, "doc_id long, at int, lo long")
+    settled = edge.select("k1", "k2", "doc_id", "at").mapInArrow(look_up, "doc_id long, at long, lo long")
     return found.where("sure").select("doc_id", "at", "lo").union(settled)
 
 
@@ -188,10 +189,10 @@ def surroundings(docs: DataFrame, places: DataFrame, min_words: int, depth: int)
                             out[2].append(doc)
                             out[3].append(p)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["to_right", "to_left", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["to_right", "to_left", "doc_id", "at"])
 
     listed = places.groupBy("doc_id").agg(F.collect_set("at").alias("kept"))  # as many as a document has
-    return _plain(docs).join(listed, "doc_id").select("doc_id", "text", "kept").mapInArrow(run, "to_right binary, to_left binary, doc_id long, at int")
+    return _plain(docs).join(listed, "doc_id").select("doc_id", "text", "kept").mapInArrow(run, "to_right binary, to_left binary, doc_id long, at long")
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -237,13 +238,15 @@ def shared_windows(right: list[bytes], left: list[bytes], run: np.ndarray, lo: n
 
 def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
     """Sorts the suffixes and compares neighbours: (doc_id, a, z, lo) for windows a..z
-    around a suffix that other documents share, and (doc_id, a, k1, k2) for each window
-    of the runs at a partition's edges, named by a digest."""
+    around a suffix that other documents share; and, for the runs at a partition's edges,
+    (member, docs, starts, k1, k2): a member with the first window of each of its documents'
+    suffixes, and a digest of each window."""
+    names = ["doc_id", "a", "z", "lo", "member", "docs", "starts", "k1", "k2"]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 4
 
-    def batch(doc, a, z, lo, k1, k2):
-        n = len(doc)
-        blank = [pa.nulls(n, pa.int64())] * 2
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), *((pa.array(z, pa.int32()), pa.array(lo, pa.int64()), *blank) if k1 is None else (pa.nulls(n, pa.int32()), blank[0], pa.array(k1, pa.int64()), pa.array(k2, pa.int64())))], ["doc_id", "a", "z", "lo", "k1", "k2"])
+    def batch(known: dict) -> pa.RecordBatch:
+        n = len(next(iter(known.values())))
+        return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
     def settled(members: list[tuple[bytes, bytes, int, list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
         """members: (right, left, run, doc_ids in order, places)."""
@@ -260,26 +263,26 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
         lows = np.array([least[k, s:e].min() for k, s, e in zip(who, begin, end)])
         sizes = np.array([len(members[k][3]) for k in who])
         doc, at = (np.concatenate([members[k][c] for k in who]) for c in (3, 4))
-        yield batch(doc, at - top + np.repeat(begin, sizes), at - top + np.repeat(end, sizes) - 1, np.repeat(lows, sizes), None, None)
+        yield batch({"doc_id": doc, "a": at - top + np.repeat(begin, sizes), "z": at - top + np.repeat(end, sizes) - 1, "lo": np.repeat(lows, sizes)})
 
-    def named(right: bytes, left: bytes, docs: list[int], places: list[int]) -> Iterator[pa.RecordBatch]:
-        words = left.split(b" ")[:-1][::-1]
-        before = len(words)
-        words += right.split(b" ")[:-1]
+    def digests(right: bytes, left: bytes) -> np.ndarray:
+        words = left.split(b" ")[:-1][::-1] + right.split(b" ")[:-1]
         keys = [hashlib.blake2b(b" ".join(words[k : k + min_words]), digest_size=16).digest() for k in range(len(words) - min_words + 1)]
-        two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        n = len(keys)
-        start = np.array(places)[:, None] - before + np.arange(n)[None, :]
-        yield batch(np.repeat(docs, n), start.ravel(), None, None, np.tile(two[:, 0], len(docs)), np.tile(two[:, 1], len(docs)))
+        return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready, held, number, head = [], [], 0, None
+        from pyspark import TaskContext
+
+        ready, held, number, head, member = [], [], 0, None, TaskContext.get().partitionId() << 32
 
         def close(edge: bool):
-            nonlocal ready
+            nonlocal ready, member
             if edge:
-                for m in held:
-                    yield from named(m[0], m[1], m[3], m[4])
+                for right, left, _, docs, places in held:
+                    two = digests(right, left)
+                    starts = np.array(places, np.int64) - left.count(b" ")
+                    yield batch({"member": [member], "docs": [docs], "starts": [starts], "k1": [two[:, 0]], "k2": [two[:, 1]]})
+                    member += 1
             elif len(held) > 1 or held[0][3][0] != held[0][3][-1]:
                 ready += held
                 if len(ready) >= _SETTLE:
@@ -307,12 +310,28 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
 
     rows = materialise(rows, "suffix-words")  # range partitions are drawn from a first pass over them
     order = ["to_right", "to_left", "doc_id", "at"]
-    found = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, a int, z int, lo long, k1 long, k2 long")
-    found = materialise(found, "suffix-neighbours")
+    sorted_ = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialise(sorted_.mapInArrow(run, "doc_id long, a long, z long, lo long, member long, docs array<long>, starts array<long>, k1 array<long>, k2 array<long>"), "suffix-neighbours")
     forget(rows)
     return found
 
 
+def across_partitions(found: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, a, z, lo) of the members of compare() that were left open. A member's least
+    and greatest doc_id stand for its documents until its windows are settled."""
+    open_ = found.where("member IS NOT NULL").select("member", "docs", "starts", "k1", "k2")
+    each = open_.select("member", F.get("docs", F.lit(0)).alias("lo"), F.element_at("docs", -1).alias("hi"), F.posexplode(F.arrays_zip("k1", "k2")).alias("nth", "k"))
+    ends = each.select("member", "nth", "k", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"))
+    windows = ends.select("k.k1", "k.k2", "doc_id", (F.col("member") * min_words + F.col("nth")).alias("at"))
+    shared = shared_by_documents(windows, "suffix-windows").groupBy("at").agg(F.min("lo").alias("lo"))
+    nth = F.pmod("at", F.lit(min_words))
+    island = F.col("nth") - F.row_number().over(W.partitionBy("member").orderBy("nth"))
+    stretches = shared.select(F.expr(f"at div {min_words}").alias("member"), nth.alias("nth"), "lo").withColumn("island", island)
+    stretches = stretches.groupBy("member", "island").agg(F.min("nth").alias("first"), F.max("nth").alias("last"), F.min("lo").alias("lo"))
+    placed = stretches.join(open_.select("member", "docs", "starts"), "member").select("first", "last", "lo", F.explode(F.arrays_zip("docs", "starts")).alias("p"))
+    return placed.select("p.docs", (F.col("p.starts") + F.col("first")).alias("a"), (F.col("p.starts") + F.col("last")).alias("z"), "lo").withColumnRenamed("docs", "doc_id")
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEPTH) -> DataFrame:
     """Maximal runs of words of which every min_words-word window also stands in
     another document: doc_id, start_word, end_word (past the last), n_words, and
@@ -322,9 +341,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEP
     forget(retained)
     found = compare(surroundings(docs, places, min_words, depth), min_words, depth)
     forget(places)
-    open_ = found.where("k1 IS NOT NULL").select("k1", "k2", "doc_id", F.col("a").alias("at"))
-    settled = shared_by_documents(open_, "suffix-windows").select("doc_id", F.col("at").alias("a"), F.col("at").alias("z"), "lo")
-    hits = found.where("k1 IS NULL").select("doc_id", "a", "z", "lo").union(settled)
+    hits = found.where("member IS NULL").select("doc_id", "a", "z", "lo").union(across_partitions(found, min_words))
     by_place = W.partitionBy("doc_id").orderBy("a", "z")
     reach = F.max("z").over(by_place.rowsBetween(W.unboundedPreceding, -1))
     begins = hits.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1))

@@ -322,3 +322,25 @@ def test_minimisers_are_leftmost_minima():
     for width in (1, 2, 7, 31):
         got = op10_repeats.minimisers(grams, width)
         assert got.tolist() == [s + int(np.argmin(grams[s : s + width])) for s in range(300 - width + 1)]
+
+
+def test_shared_windows_against_all_pairs():
+    rng, n, depth = random.Random(8), 12, 4
+    for _ in range(20):
+        rows = []
+        for run in range(6):
+            head = [b"h%d" % run] * depth
+            for _ in range(rng.randint(1, 7)):
+                left = [rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, n - depth))]
+                right = head + [rng.choice([b"c", b"d"]) for _ in range(rng.randint(0, n - depth))]
+                rows.append((run, b"".join(w + b" " for w in right), b"".join(w + b" " for w in left), rng.randint(0, 3), left[::-1] + right, len(left)))
+        rows = sorted(set((r[0], r[1], r[2]) for r in rows))
+        docs = [sorted(rng.choices(range(4), k=2)) for _ in rows]
+        runs, right, left = (list(c) for c in zip(*rows))
+        least, ok = op10_repeats.shared_windows(right, left, np.array(runs), np.array([d[0] for d in docs]), np.array([d[1] for d in docs]), n, depth)
+        window = lambda k, o: tuple(([*left[k].split()[:o]][::-1] + right[k].split())[:n]) if len(left[k].split()) >= o and len(right[k].split()) >= n - o else None
+        for k in range(len(rows)):
+            for o in range(n - depth + 1):
+                w = window(k, o)
+                same = {d for j in range(len(rows)) if w and runs[j] == runs[k] and window(j, o) == w for d in docs[j]}
+                assert bool(ok[k, o]) == (len(same) > 1) and (not ok[k, o] or least[k, o] == min(same))
