@@ -59,7 +59,8 @@ def reachability(edges: DataFrame, starts: DataFrame, max_depth: int = 8, max_la
     edges(src, dst). A label goes on through nodes that already have enough; the
     labels kept are the nearest, then the first by ord. The frontier of each depth
     leaves out what its label has seen, so cycles end; lineage is cut by a written
-    table at each depth."""
+    table at each depth, and the edges are worked out once."""
+    edges = materialise(edges.select("src", "dst"), "edges")
     seen = frontier = materialise(starts.groupBy("node", "label").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0)), "reach")
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node"), "label").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(depth))
