@@ -14,12 +14,13 @@ min_words words share a retained suffix in it, and every window belongs to one.
    window that starts o words before the suffix is shared by those that agree in o
    words to the left and min_words - o to the right; the two arrays of neighbours
    tell these groups. Suffixes with equal surroundings are one member of the run.
-3. A partition's first and last run may go on in the next one. The windows of their
-   members are named by 128-bit digests, once for all documents of a member, and
-   settled in the same way: sorted over range partitions, where a run at a partition's
-   edge is settled by its least and greatest doc_id, at most two runs a partition. So a
-   passage that a third of all documents share is spread over as many tasks as its rows
-   need.
+3. A partition's first and last run may go on in the next one. What goes on beyond it
+   agrees with the member at the edge, so all longer windows are settled inside. The
+   others are named by 128-bit digests, equal ones once a partition, and settled in the
+   same way: sorted over range partitions, where a run at a partition's edge is settled
+   by its least and greatest doc_id, at most two runs a partition. So a passage that a
+   third of all documents share is spread over as many tasks as its rows need, and
+   each of them sends its windows once, not once a document.
 4. What is shared around neighbouring suffixes grows together into spans.
 
 Words stand between white space, A-Z lower-cased. Repeats within one document only
@@ -211,78 +212,130 @@ def neighbours(texts: list[bytes]) -> np.ndarray:
     return np.array([0, *(common_words(a, b) for a, b in zip(texts, texts[1:]))], np.int64)
 
 
-def shared_windows(right: list[bytes], left: list[bytes], run: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_words: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For members of runs in suffix order, a row each: the smallest doc_id that has its
-    window starting o words before the suffix, in column o, and whether two documents have
-    it. lo and hi are the least and greatest doc_id of each member."""
+def equal_windows(right: list[bytes], left: list[bytes], run: np.ndarray, min_words: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For members of runs in suffix order and each o: the members that have a window starting
+    o words before the suffix, and the number of the group of equal windows that it is in."""
     m = len(right)
     back = sorted(range(m), key=lambda k: (run[k], left[k]))
     ahead, behind = neighbours(right), neighbours([left[k] for k in back])
     new_run = np.r_[True, run[1:] != run[:-1]]  # the same places in both orders
     n_right, n_left = (np.array([t.count(b" ") for t in side]) for side in (right, left))
-    n_offsets = min_words - depth + 1
-    smallest, shared = np.zeros((n_offsets, m), np.int64), np.zeros((n_offsets, m), bool)
-    for o in range(n_offsets):
+    for o in range(min_words - depth + 1):
         there = np.flatnonzero((n_left >= o) & (n_right >= min_words - o))
         if not len(there):
             continue
         behind_group = np.empty(m, np.int64)
         behind_group[back] = np.cumsum(new_run | (behind < o))
         _, group = np.unique((np.cumsum(new_run | (ahead < min_words - o)) * (m + 1) + behind_group)[there], return_inverse=True)
-        least, most = np.full(len(there), np.iinfo(np.int64).max), np.full(len(there), np.iinfo(np.int64).min)
-        np.minimum.at(least, group, lo[there])
-        np.maximum.at(most, group, hi[there])
-        shared[o, there], smallest[o, there] = (least != most)[group], least[group]
-    return smallest.T, shared.T
+        yield o, there, group
+
+
+def ends_of_groups(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least lo and the greatest hi of each group 0..n-1."""
+    n = group.max() + 1
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, lo)
+    np.maximum.at(most, group, hi)
+    return least, most
+
+
+def shared_windows(right: list[bytes], left: list[bytes], run: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_words: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For members of runs in suffix order, a row each: the smallest doc_id that has its
+    window starting o words before the suffix, in column o, and whether two documents have
+    it. lo and hi are the least and greatest doc_id of each member."""
+    smallest, shared = np.zeros((len(right), min_words - depth + 1), np.int64), np.zeros((len(right), min_words - depth + 1), bool)
+    for o, there, group in equal_windows(right, left, run, min_words, depth):
+        least, most = ends_of_groups(group, lo[there], hi[there])
+        shared[there, o], smallest[there, o] = (least != most)[group], least[group]
+    return smallest, shared
+
+
+def reach_of_edges(right: list[bytes], first: bool, last: bool) -> np.ndarray:
+    """For each of the sorted members of one run, the words it shares with the first or the
+    last one, where the run may go on before or after them. A window that goes on for more
+    words is shared with these members only: what stands between two equal beginnings in the
+    order begins like them."""
+    ahead = neighbours(right)
+    reach = np.zeros(len(right), np.int64)
+    if first:
+        reach = np.maximum(reach, np.minimum.accumulate(np.r_[right[0].count(b" "), ahead[1:]]))
+    if last:
+        reach = np.maximum(reach, np.minimum.accumulate(np.r_[ahead[1:], right[-1].count(b" ")][::-1])[::-1])
+    return reach
+
+
+def stretches(docs: list, places: list, ok: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
+    """doc_id, a, z, lo for the runs of windows in the columns o of ok, for all documents of each member."""
+    top = ok.shape[1] - 1
+    ok, least = ok[:, ::-1], least[:, ::-1]  # descending o is ascending window starts
+    edge = np.diff(np.pad(ok.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    who, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    lows = np.array([least[k, s:e].min() for k, s, e in zip(who, begin, end)], np.int64)
+    sizes = np.array([len(docs[k]) for k in who], np.int64)
+    doc, at = (np.concatenate([np.array([], np.int64), *(side[k] for k in who)]).astype(np.int64) for side in (docs, places))
+    return {"doc_id": doc, "a": at - top + np.repeat(begin, sizes), "z": at - top + np.repeat(end, sizes) - 1, "lo": np.repeat(lows, sizes)}
 
 
 def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
     """Sorts the suffixes and compares neighbours: (doc_id, a, z, lo) for windows a..z
-    around a suffix that other documents share; and, for the runs at a partition's edges,
-    (member, docs, starts, k1, k2): a member with the first window of each of its documents'
-    suffixes, and a digest of each window."""
-    names = ["doc_id", "a", "z", "lo", "member", "docs", "starts", "k1", "k2"]
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 4
+    around a suffix that other documents share. Of the runs at a partition's edges the windows
+    that may go on beyond it stay open: (part, number, k1, k2, lo, hi) is a digest of each
+    different one with its least and greatest doc_id, and (part, docs, places, begin, numbers)
+    a member with the numbers of its open windows, which start begin, begin + 1, ... words
+    before the suffix."""
+    longs, lists = ["doc_id", "a", "z", "lo", "part", "number", "k1", "k2", "hi", "begin"], ["docs", "places", "numbers"]
+    types = {c: pa.int64() for c in longs} | {c: pa.list_(pa.int64()) for c in lists}
 
     def batch(known: dict) -> pa.RecordBatch:
         n = len(next(iter(known.values())))
-        return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in zip(names, types)], names)
-
-    def settled(members: list[tuple[bytes, bytes, int, list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
-        """members: (right, left, run, doc_ids in order, places)."""
-        right, left, run = [m[0] for m in members], [m[1] for m in members], np.array([m[2] for m in members])
-        lo, hi = np.array([m[3][0] for m in members]), np.array([m[3][-1] for m in members])
-        least, ok = shared_windows(right, left, run, lo, hi, min_words, depth)
-        # columns o in descending order are window starts in ascending order
-        ok, least, top = ok[:, ::-1], least[:, ::-1], min_words - depth
-        edge = np.diff(np.pad(ok.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        who, begin = np.nonzero(edge == 1)
-        end = np.nonzero(edge == -1)[1]
-        if not len(who):
-            return
-        lows = np.array([least[k, s:e].min() for k, s, e in zip(who, begin, end)])
-        sizes = np.array([len(members[k][3]) for k in who])
-        doc, at = (np.concatenate([members[k][c] for k in who]) for c in (3, 4))
-        yield batch({"doc_id": doc, "a": at - top + np.repeat(begin, sizes), "z": at - top + np.repeat(end, sizes) - 1, "lo": np.repeat(lows, sizes)})
-
-    def digests(right: bytes, left: bytes) -> np.ndarray:
-        words = left.split(b" ")[:-1][::-1] + right.split(b" ")[:-1]
-        keys = [hashlib.blake2b(b" ".join(words[k : k + min_words]), digest_size=16).digest() for k in range(len(words) - min_words + 1)]
-        return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in types.items()], list(types))
+
+    def settled(members: list[tuple[bytes, bytes, int, list[int], list[int]]], reach: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """members: (right, left, run, doc_ids in order, places); windows within reach are left out."""
+        right, left, run, docs, places = (list(c) for c in zip(*members))
+        least, ok = shared_windows(right, left, np.array(run), np.array([d[0] for d in docs]), np.array([d[-1] for d in docs]), min_words, depth)
+        if reach is not None:
+            ok &= reach[:, None] < min_words - np.arange(ok.shape[1])
+        if ok.any():
+            yield batch(stretches(docs, places, ok, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ready, held, number, head, member = [], [], 0, None, TaskContext.get().partitionId() << 32
-
-        def close(edge: bool):
-            nonlocal ready, member
-            if edge:
-                for right, left, _, docs, places in held:
-                    two = digests(right, left)
-                    starts = np.array(places, np.int64) - left.count(b" ")
-                    yield batch({"member": [member], "docs": [docs], "starts": [starts], "k1": [two[:, 0]], "k2": [two[:, 1]]})
-                    member += 1
+        ready, held, number, head, part, named = [], [], 0, None, TaskContext.get().partitionId(), 0
+
+        def left_open(reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal named
+            right, left, run, docs, places = (list(c) for c in zip(*held))
+            lo, hi = np.array([d[0] for d in docs]), np.array([d[-1] for d in docs])
+            numbers: list[list[int]] = [[] for _ in held]
+            begin = np.zeros(len(held), np.int64)
+            for o, there, group in equal_windows(right, left, np.array(run), min_words, depth):
+                within = reach[there] >= min_words - o
+                if not within.any():
+                    continue
+                there = there[within]
+                _, first, group = np.unique(group[within], return_index=True, return_inverse=True)
+                least, most = ends_of_groups(group, lo[there], hi[there])
+                words = [left[k].split(b" ")[:o][::-1] + right[k].split(b" ")[: min_words - o] for k in there[first]]
+                keys = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words), np.int64).reshape(-1, 2)
+                yield batch({"part": np.full(len(first), part), "number": named + np.arange(len(first)), "k1": keys[:, 0], "k2": keys[:, 1], "lo": least, "hi": most})
+                for k, g in zip(there.tolist(), group.tolist()):
+                    if not numbers[k]:
+                        begin[k] = o
+                    numbers[k].append(named + g)
+                named += len(first)
+            some = [k for k, n in enumerate(numbers) if n]
+            if some:
+                yield batch({"part": np.full(len(some), part), "docs": [docs[k] for k in some], "places": [places[k] for k in some], "begin": begin[some], "numbers": [numbers[k] for k in some]})
+
+        def close(first: bool, last: bool):
+            nonlocal ready
+            if first or last:
+                reach = reach_of_edges([m[0] for m in held], first, last)
+                yield from settled(held, reach)
+                yield from left_open(reach)
             elif len(held) > 1 or held[0][3][0] != held[0][3][-1]:
                 ready += held
                 if len(ready) >= _SETTLE:
@@ -293,7 +346,7 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
             for right, left, doc, at in zip(*(c.to_pylist() for c in b.columns)):
                 if head is None or not right.startswith(head):
                     if held:
-                        yield from close(number == 1)
+                        yield from close(number == 1, False)
                     number, held, end = number + 1, [], -1
                     for _ in range(depth):
                         end = right.index(b" ", end + 1)
@@ -304,32 +357,39 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
                 else:
                     held.append((right, left, number, [doc], [at]))
         if held:
-            yield from close(True)
+            yield from close(number == 1, True)
         if ready:
             yield from settled(ready)
 
     rows = materialise(rows, "suffix-words")  # range partitions are drawn from a first pass over them
     order = ["to_right", "to_left", "doc_id", "at"]
     sorted_ = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(sorted_.mapInArrow(run, "doc_id long, a long, z long, lo long, member long, docs array<long>, starts array<long>, k1 array<long>, k2 array<long>"), "suffix-neighbours")
+    schema = ", ".join([f"{c} long" for c in longs] + [f"{c} array<long>" for c in lists])
+    found = materialise(sorted_.mapInArrow(run, schema), "suffix-neighbours")
     forget(rows)
     return found
 
 
-def across_partitions(found: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, a, z, lo) of the members of compare() that were left open. A member's least
-    and greatest doc_id stand for its documents until its windows are settled."""
-    open_ = found.where("member IS NOT NULL").select("member", "docs", "starts", "k1", "k2")
-    each = open_.select("member", F.get("docs", F.lit(0)).alias("lo"), F.element_at("docs", -1).alias("hi"), F.posexplode(F.arrays_zip("k1", "k2")).alias("nth", "k"))
-    ends = each.select("member", "nth", "k", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"))
-    windows = ends.select("k.k1", "k.k2", "doc_id", (F.col("member") * min_words + F.col("nth")).alias("at"))
-    shared = shared_by_documents(windows, "suffix-windows").groupBy("at").agg(F.min("lo").alias("lo"))
-    nth = F.pmod("at", F.lit(min_words))
-    island = F.col("nth") - F.row_number().over(W.partitionBy("member").orderBy("nth"))
-    stretches = shared.select(F.expr(f"at div {min_words}").alias("member"), nth.alias("nth"), "lo").withColumn("island", island)
-    stretches = stretches.groupBy("member", "island").agg(F.min("nth").alias("first"), F.max("nth").alias("last"), F.min("lo").alias("lo"))
-    placed = stretches.join(open_.select("member", "docs", "starts"), "member").select("first", "last", "lo", F.explode(F.arrays_zip("docs", "starts")).alias("p"))
-    return placed.select("p.docs", (F.col("p.starts") + F.col("first")).alias("a"), (F.col("p.starts") + F.col("last")).alias("z"), "lo").withColumnRenamed("docs", "doc_id")
+def across_partitions(found: DataFrame, min_words: int, depth: int) -> DataFrame:
+    """(doc_id, a, z, lo) of the windows that compare() left open. Each partition names a
+    window once; its least and greatest doc_id stand for all documents that have it there.
+    What is settled goes back to the members of the same partition."""
+    each = found.where("k1 IS NOT NULL").select("k1", "k2", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"), F.expr("(part << 32) + number").alias("at"))
+    shared = shared_by_documents(each, "suffix-windows").groupBy("at").agg(F.min("lo").alias("lo"))
+    shared = shared.select(F.expr("at >> 32").alias("part"), F.expr("at & 4294967295").alias("number"), "lo")
+    members = found.where("docs IS NOT NULL").select("part", "docs", "places", "begin", "numbers")
+
+    def place(ours: pa.Table, known: pa.Table) -> pa.Table:
+        low = dict(zip(known["number"].to_pylist(), known["lo"].to_pylist()))
+        ok = np.zeros((ours.num_rows, min_words - depth + 1), bool)
+        least = np.zeros(ok.shape, np.int64)
+        for k, (begin, numbers) in enumerate(zip(ours["begin"].to_pylist(), ours["numbers"].to_pylist())):
+            for o, n in enumerate(numbers, begin):
+                if n in low:
+                    ok[k, o], least[k, o] = True, low[n]
+        return pa.table(stretches(ours["docs"].to_pylist(), ours["places"].to_pylist(), ok, least))
+
+    return members.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(place, "doc_id long, a long, z long, lo long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEPTH) -> DataFrame:
@@ -341,7 +401,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEP
     forget(retained)
     found = compare(surroundings(docs, places, min_words, depth), min_words, depth)
     forget(places)
-    hits = found.where("member IS NULL").select("doc_id", "a", "z", "lo").union(across_partitions(found, min_words))
+    hits = found.where("doc_id IS NOT NULL").select("doc_id", "a", "z", "lo").union(across_partitions(found, min_words, depth))
     by_place = W.partitionBy("doc_id").orderBy("a", "z")
     reach = F.max("z").over(by_place.rowsBetween(W.unboundedPreceding, -1))
     begins = hits.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1))

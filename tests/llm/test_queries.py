@@ -416,6 +416,32 @@ def test_repeats(docs, texts, empty, n, depth):
     assert op10_repeats.repeated_spans(empty, n, depth).count() == 0
 
 
+def test_repeats_of_a_passage_over_many_partitions(spark):
+    rng, n, depth = random.Random(4), 12, 5
+    word = lambda: f"w{rng.randint(0, 200)}"
+    passages = [[word() for _ in range(30)] for _ in range(2)]
+    texts = [(k // 2, " ".join([word() for _ in range(rng.randint(0, 9))] + passages[k % 7 == 0][rng.choice([0, 0, 3]) :] + [word() for _ in range(rng.randint(0, 9))])) for k in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = op10_repeats.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string"), n, depth).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == spans_of(texts, n)
+    least = {}
+    for d, t in texts:
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            g = tuple(w[k : k + n])
+            least[g] = min(d, least.get(g, d))
+    own = {d: [t.split() for e, t in texts if e == d] for d, _ in texts}
+    for r in got:
+        lows = [min(least[tuple(w[k : k + n])] for k in range(r.start_word, r.end_word - n + 1)) for w in own[r.doc_id] if len(w) >= r.end_word]
+        assert min(lows) <= r.first_doc_id <= r.doc_id
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as p
 

@@ -344,3 +344,14 @@ def test_shared_windows_against_all_pairs():
                 w = window(k, o)
                 same = {d for j in range(len(rows)) if w and runs[j] == runs[k] and window(j, o) == w for d in docs[j]}
                 assert bool(ok[k, o]) == (len(same) > 1) and (not ok[k, o] or least[k, o] == min(same))
+
+
+def test_only_windows_within_reach_of_an_edge_go_on():
+    rng = random.Random(9)
+    for _ in range(50):
+        every = sorted(b"h h " + b"".join(rng.choice([b"a ", b"b ", b"ab "]) for _ in range(rng.randint(0, 5))) for _ in range(12))
+        begin, end = sorted(rng.sample(range(13), 2))
+        inside, outside = every[begin:end], every[:begin] + every[end:]
+        reach = op10_repeats.reach_of_edges(inside, begin > 0, end < 12)
+        for text, words in zip(inside, reach):
+            assert max((op10_repeats.common_words(text, t) for t in outside), default=0) <= words <= text.count(b" ")
