@@ -104,24 +104,30 @@ def suffixes(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
     return _plain(docs).mapInArrow(run, "k1 long, k2 long, doc_id long, at long")
 
 
-def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
+def shared_by_documents(rows: DataFrame, name: str, least: bool = True) -> DataFrame:
     """(doc_id, at, lo) of the rows(k1, k2, doc_id, at) whose key another document has as
-    well; at is a place or any number that tells the rows; lo is the smallest doc_id with the key. Rows are sorted over range partitions;
-    runs at the edges of a partition, two at most, are settled by their least and greatest
-    doc_id, which come to the driver and go out again."""
+    well; at is a place or any number that tells the rows; lo is the smallest doc_id with the
+    key, left out unless `least`. Rows are sorted over range partitions. The runs at the edges
+    of a partition, two at most, are settled by their least and greatest doc_id, which come to
+    the driver and go out again; where two documents stand in the partition itself, only lo
+    has to wait for that."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, run = True, [], None
 
         def out(k1, k2, doc, at, lo, sure):
-            cols = [pa.array(c) for c in (k1, k2, doc, at, lo, np.full(len(doc), sure))]
+            cols = [*(pa.array(c) for c in (k1, k2, doc, at, lo)), pa.array([sure] * len(doc), pa.bool_())]
             return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "doc_id", "at", "lo", "sure"])
 
         def close(edge: bool):
             k1, k2, doc, at = (np.concatenate(c) for c in zip(*held))
-            if edge:
+            two = doc[0] != doc[-1]  # sorted by document within the run
+            if edge and (least or not two):
                 yield out(k1, k2, doc, at, np.zeros(len(doc), np.int64), False)
-            elif doc[0] != doc[-1]:  # sorted by document within the run
+                return
+            if edge:  # what other partitions need to know of it
+                yield out(k1[[0, -1]], k2[[0, -1]], doc[[0, -1]], at[[0, -1]], np.zeros(2, np.int64), None)
+            if two:
                 yield out(k1 * 0, k2 * 0, doc, at, np.full(len(doc), doc[0]), True)
 
         for b in batches:
@@ -142,9 +148,9 @@ def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
             first = False
             lo, hi = cut[:-1], cut[1:] - 1
             shared = doc[lo] != doc[hi]
-            keep, least = np.repeat(shared, hi - lo + 1), np.repeat(doc[lo], hi - lo + 1)
+            keep, first_doc = np.repeat(shared, hi - lo + 1), np.repeat(doc[lo], hi - lo + 1)
             inner = slice(cut[0], cut[-1])
-            yield out(np.zeros(keep.sum(), np.int64), np.zeros(keep.sum(), np.int64), doc[inner][keep], at[inner][keep], least[keep], True)
+            yield out(np.zeros(keep.sum(), np.int64), np.zeros(keep.sum(), np.int64), doc[inner][keep], at[inner][keep], first_doc[keep], True)
             held, run = [tuple(c[cut[-1] :] for c in (k1, k2, doc, at))], (k1[-1], k2[-1])
         if held:
             yield from close(True)
@@ -152,18 +158,18 @@ def shared_by_documents(rows: DataFrame, name: str) -> DataFrame:
     order = ["k1", "k2", "doc_id", "at"]
     ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialise(ordered.mapInArrow(settle, "k1 long, k2 long, doc_id long, at long, lo long, sure boolean"), name)
-    edge = found.where("not sure")
-    ends = edge.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("k1", "k2", "lo").collect()  # two a partition at most
-    least = {(r["k1"], r["k2"]): r["lo"] for r in ends}
+    ends = found.where("NOT coalesce(sure, false)").groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("k1", "k2", "lo").collect()  # two a partition at most
+    smallest = {(r["k1"], r["k2"]): r["lo"] for r in ends}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lo = [least.get(k) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            lo = [smallest.get(k) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             there = pa.array([x is not None for x in lo], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(lo, pa.int64())], ["doc_id", "at", "lo"]).filter(there)
 
-    settled = edge.select("k1", "k2", "doc_id", "at").mapInArrow(look_up, "doc_id long, at long, lo long")
-    return found.where("sure").select("doc_id", "at", "lo").union(settled)
+    settled = found.where("NOT sure").select("k1", "k2", "doc_id", "at").mapInArrow(look_up, "doc_id long, at long, lo long")
+    both = found.where("sure").select("doc_id", "at", "lo").union(settled)
+    return both if least else both.drop("lo")
 
 
 def surroundings(docs: DataFrame, places: DataFrame, min_words: int, depth: int) -> DataFrame:
@@ -397,7 +403,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEP
     another document: doc_id, start_word, end_word (past the last), n_words, and
     first_doc_id, the smallest doc_id that has one of its windows."""
     retained = materialise(suffixes(docs, min_words, depth), "suffixes")
-    places = materialise(shared_by_documents(retained, "suffix-order").select("doc_id", "at"), "suffix-places")
+    places = materialise(shared_by_documents(retained, "suffix-order", least=False), "suffix-places")
     forget(retained)
     found = compare(surroundings(docs, places, min_words, depth), min_words, depth)
     forget(places)
