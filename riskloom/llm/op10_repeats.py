@@ -16,11 +16,13 @@ min_words words share a retained suffix in it, and every window belongs to one.
    tell these groups. Suffixes with equal surroundings are one member of the run.
 3. A partition's first and last run may go on in the next one. What goes on beyond it
    agrees with the member at the edge, so all longer windows are settled inside. The
-   others are named by 128-bit digests, equal ones once a partition, and settled in the
-   same way: sorted over range partitions, where a run at a partition's edge is settled
-   by its least and greatest doc_id, at most two runs a partition. So a passage that a
-   third of all documents share is spread over as many tasks as its rows need, and
-   each of them sends its windows once, not once a document.
+   members of the others are sorted once more, by the words before the suffix, where
+   the same holds. Windows that agree with an edge in both orders are named by 128-bit
+   digests, equal ones once a partition, and settled in the same way: sorted over range
+   partitions, where a run at a partition's edge is settled by its least and greatest
+   doc_id, at most two runs a partition. So a passage that a third of all documents
+   share is spread over as many tasks as its rows need, and each of them sends its
+   windows once, not once a document.
 4. What is shared around neighbouring suffixes grows together into spans.
 
 Words stand between white space, A-Z lower-cased. Repeats within one document only
@@ -283,69 +285,50 @@ def stretches(docs: list, places: list, ok: np.ndarray, least: np.ndarray) -> di
     return {"doc_id": doc, "a": at - top + np.repeat(begin, sizes), "z": at - top + np.repeat(end, sizes) - 1, "lo": np.repeat(lows, sizes)}
 
 
+_LONGS, _BYTES, _LISTS = ["doc_id", "a", "z", "lo", "reach", "part", "number", "k1", "k2", "hi", "begin"], ["head", "to_left", "to_right"], ["docs", "places", "numbers"]
+_TYPES = {c: pa.int64() for c in _LONGS} | {c: pa.binary() for c in _BYTES} | {c: pa.list_(pa.int64()) for c in _LISTS}
+_SCHEMA = ", ".join([f"{c} long" for c in _LONGS] + [f"{c} binary" for c in _BYTES] + [f"{c} array<long>" for c in _LISTS])
+
+
+def _batch(known: dict) -> pa.RecordBatch:
+    n = len(next(iter(known.values())))
+    return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in _TYPES.items()], list(_TYPES))
+
+
+def settled(members: list[tuple], keep: np.ndarray | None, min_words: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """Spans around members (right, left, run, doc_ids in order, places) in suffix order; of
+    their windows those in `keep`, a row each and a column for each o, or all."""
+    right, left, run, docs, places = (list(c) for c in zip(*members))
+    least, ok = shared_windows(right, left, np.array(run), np.array([d[0] for d in docs]), np.array([d[-1] for d in docs]), min_words, depth)
+    if keep is not None:
+        ok &= keep
+    if ok.any():
+        yield _batch(stretches(docs, places, ok, least))
+
+
 def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
     """Sorts the suffixes and compares neighbours: (doc_id, a, z, lo) for windows a..z
     around a suffix that other documents share. Of the runs at a partition's edges the windows
-    that may go on beyond it stay open: (part, number, k1, k2, lo, hi) is a digest of each
-    different one with its least and greatest doc_id, and (part, docs, places, begin, numbers)
-    a member with the numbers of its open windows, which start begin, begin + 1, ... words
-    before the suffix."""
-    longs, lists = ["doc_id", "a", "z", "lo", "part", "number", "k1", "k2", "hi", "begin"], ["docs", "places", "numbers"]
-    types = {c: pa.int64() for c in longs} | {c: pa.list_(pa.int64()) for c in lists}
-
-    def batch(known: dict) -> pa.RecordBatch:
-        n = len(next(iter(known.values())))
-        return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in types.items()], list(types))
-
-    def settled(members: list[tuple[bytes, bytes, int, list[int], list[int]]], reach: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """members: (right, left, run, doc_ids in order, places); windows within reach are left out."""
-        right, left, run, docs, places = (list(c) for c in zip(*members))
-        least, ok = shared_windows(right, left, np.array(run), np.array([d[0] for d in docs]), np.array([d[-1] for d in docs]), min_words, depth)
-        if reach is not None:
-            ok &= reach[:, None] < min_words - np.arange(ok.shape[1])
-        if ok.any():
-            yield batch(stretches(docs, places, ok, least))
+    that may go on beyond it stay open: (head, to_left, to_right, reach, docs, places) is a
+    member whose windows of up to `reach` words from the suffix on are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ready, held, number, head, part, named = [], [], 0, None, TaskContext.get().partitionId(), 0
-
-        def left_open(reach: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal named
-            right, left, run, docs, places = (list(c) for c in zip(*held))
-            lo, hi = np.array([d[0] for d in docs]), np.array([d[-1] for d in docs])
-            numbers: list[list[int]] = [[] for _ in held]
-            begin = np.zeros(len(held), np.int64)
-            for o, there, group in equal_windows(right, left, np.array(run), min_words, depth):
-                within = reach[there] >= min_words - o
-                if not within.any():
-                    continue
-                there = there[within]
-                _, first, group = np.unique(group[within], return_index=True, return_inverse=True)
-                least, most = ends_of_groups(group, lo[there], hi[there])
-                words = [left[k].split(b" ")[:o][::-1] + right[k].split(b" ")[: min_words - o] for k in there[first]]
-                keys = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words), np.int64).reshape(-1, 2)
-                yield batch({"part": np.full(len(first), part), "number": named + np.arange(len(first)), "k1": keys[:, 0], "k2": keys[:, 1], "lo": least, "hi": most})
-                for k, g in zip(there.tolist(), group.tolist()):
-                    if not numbers[k]:
-                        begin[k] = o
-                    numbers[k].append(named + g)
-                named += len(first)
-            some = [k for k, n in enumerate(numbers) if n]
-            if some:
-                yield batch({"part": np.full(len(some), part), "docs": [docs[k] for k in some], "places": [places[k] for k in some], "begin": begin[some], "numbers": [numbers[k] for k in some]})
+        ready, held, number, head = [], [], 0, None
+        offsets = np.arange(min_words - depth + 1)
 
         def close(first: bool, last: bool):
             nonlocal ready
             if first or last:
-                reach = reach_of_edges([m[0] for m in held], first, last)
-                yield from settled(held, reach)
-                yield from left_open(reach)
+                right, left, _, docs, places = (list(c) for c in zip(*held))
+                reach = reach_of_edges(right, first, last)
+                yield from settled(held, reach[:, None] < min_words - offsets, min_words, depth)
+                some = [k for k, r in enumerate(reach) if min_words - r <= min(left[k].count(b" "), min_words - depth)]
+                if some:
+                    yield _batch({"head": [head] * len(some), "to_left": [left[k] for k in some], "to_right": [right[k] for k in some], "reach": reach[some], "docs": [docs[k] for k in some], "places": [places[k] for k in some]})
             elif len(held) > 1 or held[0][3][0] != held[0][3][-1]:
                 ready += held
                 if len(ready) >= _SETTLE:
-                    yield from settled(ready)
+                    yield from settled(ready, None, min_words, depth)
                     ready = []
 
         for b in batches:
@@ -365,19 +348,78 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
         if held:
             yield from close(number == 1, True)
         if ready:
-            yield from settled(ready)
+            yield from settled(ready, None, min_words, depth)
 
     rows = materialise(rows, "suffix-words")  # range partitions are drawn from a first pass over them
     order = ["to_right", "to_left", "doc_id", "at"]
     sorted_ = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = ", ".join([f"{c} long" for c in longs] + [f"{c} array<long>" for c in lists])
-    found = materialise(sorted_.mapInArrow(run, schema), "suffix-neighbours")
+    found = materialise(sorted_.mapInArrow(run, _SCHEMA), "suffix-neighbours")
     forget(rows)
     return found
 
 
+def compare_backwards(found: DataFrame, min_words: int, depth: int) -> DataFrame:
+    """Sorts the members that compare() left open by the words before the suffix and compares
+    neighbours again: (doc_id, a, z, lo) as there. Only windows that agree with an edge in
+    both orders stay open: (part, number, k1, k2, lo, hi) is a digest of each different one
+    with its least and greatest doc_id, and (part, docs, places, begin, numbers) a member with
+    the numbers of its open windows, which start begin, begin + 1, ... words before the suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, named, number, head, held = TaskContext.get().partitionId(), 0, 0, None, []
+
+        def close(first: bool, last: bool):
+            nonlocal named
+            behind = reach_of_edges([m[1] for m in held], first, last) if first or last else np.full(len(held), -1)
+            suffix_order = sorted(range(len(held)), key=lambda k: held[k][:2])
+            members, behind = [held[k][:5] for k in suffix_order], behind[suffix_order]
+            ahead = np.array([held[k][5] for k in suffix_order])
+            offsets = np.arange(min_words - depth + 1)
+            left_open = ahead[:, None] >= min_words - offsets
+            at_edge = left_open & (offsets <= behind[:, None])
+            yield from settled(members, left_open & ~at_edge, min_words, depth)
+            right, left, one_run, docs, places = (list(c) for c in zip(*members))
+            lo, hi = np.array([d[0] for d in docs]), np.array([d[-1] for d in docs])
+            numbers: list[list[int]] = [[] for _ in members]
+            begin = np.zeros(len(members), np.int64)
+            for o, there, group in equal_windows(right, left, np.array(one_run), min_words, depth):
+                within = at_edge[there, o]
+                if not within.any():
+                    continue
+                there = there[within]
+                _, leader, group = np.unique(group[within], return_index=True, return_inverse=True)
+                least, most = ends_of_groups(group, lo[there], hi[there])
+                words = [left[k].split(b" ")[:o][::-1] + right[k].split(b" ")[: min_words - o] for k in there[leader]]
+                keys = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words), np.int64).reshape(-1, 2)
+                yield _batch({"part": np.full(len(leader), part), "number": named + np.arange(len(leader)), "k1": keys[:, 0], "k2": keys[:, 1], "lo": least, "hi": most})
+                for k, g in zip(there.tolist(), group.tolist()):
+                    if not numbers[k]:
+                        begin[k] = o
+                    numbers[k].append(named + g)
+                named += len(leader)
+            some = [k for k, n in enumerate(numbers) if n]
+            if some:
+                yield _batch({"part": np.full(len(some), part), "docs": [docs[k] for k in some], "places": [places[k] for k in some], "begin": begin[some], "numbers": [numbers[k] for k in some]})
+
+        for b in batches:
+            for start, left, right, reach, docs, places in zip(*(c.to_pylist() for c in b.columns)):
+                if start != head:
+                    if held:
+                        yield from close(number == 1, False)
+                    number, held, head = number + 1, [], start
+                held.append((right, left, number, docs, places, reach))
+        if held:
+            yield from close(number == 1, True)
+
+    order = ["head", "to_left", "to_right"]
+    members = found.where("docs IS NOT NULL").select(*order, "reach", "docs", "places")
+    return materialise(members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA), "suffix-backwards")
+
+
 def across_partitions(found: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """(doc_id, a, z, lo) of the windows that compare() left open. Each partition names a
+    """(doc_id, a, z, lo) of the windows that compare_backwards() left open. Each partition names a
     window once; its least and greatest doc_id stand for all documents that have it there.
     What is settled goes back to the members of the same partition."""
     each = found.where("k1 IS NOT NULL").select("k1", "k2", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"), F.expr("(part << 32) + number").alias("at"))
@@ -407,7 +449,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEP
     forget(retained)
     found = compare(surroundings(docs, places, min_words, depth), min_words, depth)
     forget(places)
-    hits = found.where("doc_id IS NOT NULL").select("doc_id", "a", "z", "lo").union(across_partitions(found, min_words, depth))
+    again = compare_backwards(found, min_words, depth)
+    hits = found.union(again).where("doc_id IS NOT NULL").select("doc_id", "a", "z", "lo").union(across_partitions(again, min_words, depth))
     by_place = W.partitionBy("doc_id").orderBy("a", "z")
     reach = F.max("z").over(by_place.rowsBetween(W.unboundedPreceding, -1))
     begins = hits.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1))
