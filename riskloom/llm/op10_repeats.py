@@ -7,13 +7,14 @@ min_words words share a retained suffix in it, and every window belongs to one.
 
 1. Retained suffixes whose first `depth` words start no suffix of another document
    are put aside by a hash of these words; that only spares them the sort.
-2. The others are sorted in suffix order, by the bytes of their words, over range
-   partitions. A run is what shares the first `depth` words. In a run neighbours are
-   compared: the longest common prefix to the right, and, in the order of the words
-   before the suffix read backwards, the longest common extension to the left. A
-   window that starts o words before the suffix is shared by those that agree in o
-   words to the left and min_words - o to the right; the two arrays of neighbours
-   tell these groups. Suffixes with equal surroundings are one member of the run.
+2. Suffixes with equal surroundings become one member with its least and greatest
+   doc_id, by a grouped aggregate, so a thousand copies are sorted once. The members are
+   sorted in suffix order, by the bytes of their words, over range partitions. A run is
+   what shares the first `depth` words. In a run neighbours are compared: the longest
+   common prefix to the right, and, in the order of the words before the suffix read
+   backwards, the longest common extension to the left. A window that starts o words
+   before the suffix is shared by those that agree in o words to the left and
+   min_words - o to the right; the two arrays of neighbours tell these groups.
 3. A partition's first and last run may go on in the next one. What goes on beyond it
    agrees with the member at the edge, so all longer windows are settled inside. The
    members of the others are sorted once more, by the words before the suffix, where
@@ -23,7 +24,9 @@ min_words words share a retained suffix in it, and every window belongs to one.
    doc_id, at most two runs a partition. So a passage that a third of all documents
    share is spread over as many tasks as its rows need, and each of them sends its
    windows once, not once a document.
-4. What is shared around neighbouring suffixes grows together into spans.
+4. What is shared around a member goes to its suffixes by a plain join on the 128-bit
+   digest of the member, which adaptive execution can split, and what is shared around
+   neighbouring suffixes of a document grows together into spans.
 
 Words stand between white space, A-Z lower-cased. Repeats within one document only
 are not reported.
@@ -38,7 +41,7 @@ rows; further columns are ignored, whatever their names."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +177,15 @@ def shared_by_documents(rows: DataFrame, name: str, least: bool = True) -> DataF
     return both if least else both.drop("lo")
 
 
+def digests(texts: Iterable[bytes]) -> np.ndarray:
+    """128-bit digests, two columns of a row each."""
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+
+
 def surroundings(docs: DataFrame, places: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """(to_right, to_left, doc_id, at): for each suffix of places(doc_id, at) the words of its
-    windows from the suffix on, and those before it read backwards; each word ends in a blank."""
+    """(m1, m2, to_right, to_left, doc_id, at): for each suffix of places(doc_id, at) the words of
+    its windows from the suffix on, and those before it read backwards, each word ended by a
+    blank, and a digest of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,10 +207,11 @@ def surroundings(docs: DataFrame, places: DataFrame, min_words: int, depth: int)
                             out[2].append(doc)
                             out[3].append(p)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["to_right", "to_left", "doc_id", "at"])
+                    keys = digests(b"\n".join(side) for side in zip(out[0], out[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["m1", "m2", "to_right", "to_left", "doc_id", "at"])
 
     listed = places.groupBy("doc_id").agg(F.collect_set("at").alias("kept"))  # as many as a document has
-    return _plain(docs).join(listed, "doc_id").select("doc_id", "text", "kept").mapInArrow(run, "to_right binary, to_left binary, doc_id long, at long")
+    return _plain(docs).join(listed, "doc_id").select("doc_id", "text", "kept").mapInArrow(run, "m1 long, m2 long, to_right binary, to_left binary, doc_id long, at long")
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -272,20 +282,19 @@ def reach_of_edges(right: list[bytes], first: bool, last: bool) -> np.ndarray:
     return reach
 
 
-def stretches(docs: list, places: list, ok: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
-    """doc_id, a, z, lo for the runs of windows in the columns o of ok, for all documents of each member."""
+def stretches(keys: np.ndarray, ok: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
+    """m1, m2, a, z, lo for the runs of windows in the columns o of ok, a row for each member of
+    `keys`; a and z count from the member's suffix, back to front."""
     top = ok.shape[1] - 1
     ok, least = ok[:, ::-1], least[:, ::-1]  # descending o is ascending window starts
     edge = np.diff(np.pad(ok.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     who, begin = np.nonzero(edge == 1)
     end = np.nonzero(edge == -1)[1]
     lows = np.array([least[k, s:e].min() for k, s, e in zip(who, begin, end)], np.int64)
-    sizes = np.array([len(docs[k]) for k in who], np.int64)
-    doc, at = (np.concatenate([np.array([], np.int64), *(side[k] for k in who)]).astype(np.int64) for side in (docs, places))
-    return {"doc_id": doc, "a": at - top + np.repeat(begin, sizes), "z": at - top + np.repeat(end, sizes) - 1, "lo": np.repeat(lows, sizes)}
+    return {"m1": keys[who, 0], "m2": keys[who, 1], "a": begin - top, "z": end - top - 1, "lo": lows}
 
 
-_LONGS, _BYTES, _LISTS = ["doc_id", "a", "z", "lo", "reach", "part", "number", "k1", "k2", "hi", "begin"], ["head", "to_left", "to_right"], ["docs", "places", "numbers"]
+_LONGS, _BYTES, _LISTS = ["m1", "m2", "a", "z", "lo", "hi", "reach", "part", "number", "k1", "k2", "begin"], ["head", "to_left", "to_right"], ["numbers"]
 _TYPES = {c: pa.int64() for c in _LONGS} | {c: pa.binary() for c in _BYTES} | {c: pa.list_(pa.int64()) for c in _LISTS}
 _SCHEMA = ", ".join([f"{c} long" for c in _LONGS] + [f"{c} binary" for c in _BYTES] + [f"{c} array<long>" for c in _LISTS])
 
@@ -296,21 +305,22 @@ def _batch(known: dict) -> pa.RecordBatch:
 
 
 def settled(members: list[tuple], keep: np.ndarray | None, min_words: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """Spans around members (right, left, run, doc_ids in order, places) in suffix order; of
+    """What is shared around members (right, left, run, lo, hi, m1, m2) in suffix order; of
     their windows those in `keep`, a row each and a column for each o, or all."""
-    right, left, run, docs, places = (list(c) for c in zip(*members))
-    least, ok = shared_windows(right, left, np.array(run), np.array([d[0] for d in docs]), np.array([d[-1] for d in docs]), min_words, depth)
+    right, left, run, lo, hi, m1, m2 = (list(c) for c in zip(*members))
+    least, ok = shared_windows(right, left, np.array(run), np.array(lo), np.array(hi), min_words, depth)
     if keep is not None:
         ok &= keep
     if ok.any():
-        yield _batch(stretches(docs, places, ok, least))
+        yield _batch(stretches(np.array([m1, m2]).T, ok, least))
 
 
 def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """Sorts the suffixes and compares neighbours: (doc_id, a, z, lo) for windows a..z
-    around a suffix that other documents share. Of the runs at a partition's edges the windows
-    that may go on beyond it stay open: (head, to_left, to_right, reach, docs, places) is a
-    member whose windows of up to `reach` words from the suffix on are open."""
+    """Sorts the members of rows(m1, m2, to_right, to_left, doc_id, at) and compares neighbours:
+    (m1, m2, a, z, lo) for windows a..z from the suffix that several documents have. Of the runs
+    at a partition's edges the windows that may go on beyond it stay open: (head, to_left,
+    to_right, reach, m1, m2, lo, hi) is a member whose windows of up to `reach` words from the
+    suffix on are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, held, number, head = [], [], 0, None
@@ -319,20 +329,20 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
         def close(first: bool, last: bool):
             nonlocal ready
             if first or last:
-                right, left, _, docs, places = (list(c) for c in zip(*held))
+                right, left, _, lo, hi, m1, m2 = (list(c) for c in zip(*held))
                 reach = reach_of_edges(right, first, last)
                 yield from settled(held, reach[:, None] < min_words - offsets, min_words, depth)
                 some = [k for k, r in enumerate(reach) if min_words - r <= min(left[k].count(b" "), min_words - depth)]
                 if some:
-                    yield _batch({"head": [head] * len(some), "to_left": [left[k] for k in some], "to_right": [right[k] for k in some], "reach": reach[some], "docs": [docs[k] for k in some], "places": [places[k] for k in some]})
-            elif len(held) > 1 or held[0][3][0] != held[0][3][-1]:
+                    yield _batch({"head": [head] * len(some), "to_left": [left[k] for k in some], "to_right": [right[k] for k in some], "reach": reach[some]} | {c: [v[k] for k in some] for c, v in (("m1", m1), ("m2", m2), ("lo", lo), ("hi", hi))})
+            elif len(held) > 1 or held[0][3] != held[0][4]:
                 ready += held
                 if len(ready) >= _SETTLE:
                     yield from settled(ready, None, min_words, depth)
                     ready = []
 
         for b in batches:
-            for right, left, doc, at in zip(*(c.to_pylist() for c in b.columns)):
+            for right, left, *known in zip(*(c.to_pylist() for c in b.columns)):
                 if head is None or not right.startswith(head):
                     if held:
                         yield from close(number == 1, False)
@@ -340,29 +350,23 @@ def compare(rows: DataFrame, min_words: int, depth: int) -> DataFrame:
                     for _ in range(depth):
                         end = right.index(b" ", end + 1)
                     head = right[: end + 1]
-                if held and held[-1][0] == right and held[-1][1] == left:
-                    held[-1][3].append(doc)
-                    held[-1][4].append(at)
-                else:
-                    held.append((right, left, number, [doc], [at]))
+                held.append((right, left, number, *known))
         if held:
             yield from close(number == 1, True)
         if ready:
             yield from settled(ready, None, min_words, depth)
 
-    rows = materialise(rows, "suffix-words")  # range partitions are drawn from a first pass over them
-    order = ["to_right", "to_left", "doc_id", "at"]
-    sorted_ = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(sorted_.mapInArrow(run, _SCHEMA), "suffix-neighbours")
-    forget(rows)
-    return found
+    members = rows.groupBy("m1", "m2", "to_right", "to_left").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    order = ["to_right", "to_left"]
+    sorted_ = members.select(*order, "lo", "hi", "m1", "m2").repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(sorted_.mapInArrow(run, _SCHEMA), "suffix-neighbours")
 
 
 def compare_backwards(found: DataFrame, min_words: int, depth: int) -> DataFrame:
     """Sorts the members that compare() left open by the words before the suffix and compares
-    neighbours again: (doc_id, a, z, lo) as there. Only windows that agree with an edge in
+    neighbours again: (m1, m2, a, z, lo) as there. Only windows that agree with an edge in
     both orders stay open: (part, number, k1, k2, lo, hi) is a digest of each different one
-    with its least and greatest doc_id, and (part, docs, places, begin, numbers) a member with
+    with its least and greatest doc_id, and (part, m1, m2, begin, numbers) a member with
     the numbers of its open windows, which start begin, begin + 1, ... words before the suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,14 +378,14 @@ def compare_backwards(found: DataFrame, min_words: int, depth: int) -> DataFrame
             nonlocal named
             behind = reach_of_edges([m[1] for m in held], first, last) if first or last else np.full(len(held), -1)
             suffix_order = sorted(range(len(held)), key=lambda k: held[k][:2])
-            members, behind = [held[k][:5] for k in suffix_order], behind[suffix_order]
-            ahead = np.array([held[k][5] for k in suffix_order])
+            members, behind = [held[k][:-1] for k in suffix_order], behind[suffix_order]
+            ahead = np.array([held[k][-1] for k in suffix_order])
             offsets = np.arange(min_words - depth + 1)
             left_open = ahead[:, None] >= min_words - offsets
             at_edge = left_open & (offsets <= behind[:, None])
             yield from settled(members, left_open & ~at_edge, min_words, depth)
-            right, left, one_run, docs, places = (list(c) for c in zip(*members))
-            lo, hi = np.array([d[0] for d in docs]), np.array([d[-1] for d in docs])
+            right, left, one_run, lo, hi, m1, m2 = (list(c) for c in zip(*members))
+            lo, hi = np.array(lo), np.array(hi)
             numbers: list[list[int]] = [[] for _ in members]
             begin = np.zeros(len(members), np.int64)
             for o, there, group in equal_windows(right, left, np.array(one_run), min_words, depth):
@@ -391,8 +395,7 @@ def compare_backwards(found: DataFrame, min_words: int, depth: int) -> DataFrame
                 there = there[within]
                 _, leader, group = np.unique(group[within], return_index=True, return_inverse=True)
                 least, most = ends_of_groups(group, lo[there], hi[there])
-                words = [left[k].split(b" ")[:o][::-1] + right[k].split(b" ")[: min_words - o] for k in there[leader]]
-                keys = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words), np.int64).reshape(-1, 2)
+                keys = digests(b" ".join(left[k].split(b" ")[:o][::-1] + right[k].split(b" ")[: min_words - o]) for k in there[leader])
                 yield _batch({"part": np.full(len(leader), part), "number": named + np.arange(len(leader)), "k1": keys[:, 0], "k2": keys[:, 1], "lo": least, "hi": most})
                 for k, g in zip(there.tolist(), group.tolist()):
                     if not numbers[k]:
@@ -401,31 +404,31 @@ def compare_backwards(found: DataFrame, min_words: int, depth: int) -> DataFrame
                 named += len(leader)
             some = [k for k, n in enumerate(numbers) if n]
             if some:
-                yield _batch({"part": np.full(len(some), part), "docs": [docs[k] for k in some], "places": [places[k] for k in some], "begin": begin[some], "numbers": [numbers[k] for k in some]})
+                yield _batch({"part": np.full(len(some), part), "m1": [m1[k] for k in some], "m2": [m2[k] for k in some], "begin": begin[some], "numbers": [numbers[k] for k in some]})
 
         for b in batches:
-            for start, left, right, reach, docs, places in zip(*(c.to_pylist() for c in b.columns)):
+            for start, left, right, reach, *known in zip(*(c.to_pylist() for c in b.columns)):
                 if start != head:
                     if held:
                         yield from close(number == 1, False)
                     number, held, head = number + 1, [], start
-                held.append((right, left, number, docs, places, reach))
+                held.append((right, left, number, *known, reach))
         if held:
             yield from close(number == 1, True)
 
     order = ["head", "to_left", "to_right"]
-    members = found.where("docs IS NOT NULL").select(*order, "reach", "docs", "places")
+    members = found.where("head IS NOT NULL").select(*order, "reach", "lo", "hi", "m1", "m2")
     return materialise(members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA), "suffix-backwards")
 
 
 def across_partitions(found: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """(doc_id, a, z, lo) of the windows that compare_backwards() left open. Each partition names a
+    """(m1, m2, a, z, lo) of the windows that compare_backwards() left open. Each partition names a
     window once; its least and greatest doc_id stand for all documents that have it there.
     What is settled goes back to the members of the same partition."""
     each = found.where("k1 IS NOT NULL").select("k1", "k2", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"), F.expr("(part << 32) + number").alias("at"))
     shared = shared_by_documents(each, "suffix-windows").groupBy("at").agg(F.min("lo").alias("lo"))
     shared = shared.select(F.expr("at >> 32").alias("part"), F.expr("at & 4294967295").alias("number"), "lo")
-    members = found.where("docs IS NOT NULL").select("part", "docs", "places", "begin", "numbers")
+    members = found.where("numbers IS NOT NULL").select("part", "m1", "m2", "begin", "numbers")
 
     def place(ours: pa.Table, known: pa.Table) -> pa.Table:
         low = dict(zip(known["number"].to_pylist(), known["lo"].to_pylist()))
@@ -435,9 +438,9 @@ def across_partitions(found: DataFrame, min_words: int, depth: int) -> DataFrame
             for o, n in enumerate(numbers, begin):
                 if n in low:
                     ok[k, o], least[k, o] = True, low[n]
-        return pa.table(stretches(ours["docs"].to_pylist(), ours["places"].to_pylist(), ok, least))
+        return pa.table(stretches(np.array([ours["m1"].to_numpy(), ours["m2"].to_numpy()]).T, ok, least))
 
-    return members.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(place, "doc_id long, a long, z long, lo long")
+    return members.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(place, "m1 long, m2 long, a long, z long, lo long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEPTH) -> DataFrame:
@@ -447,10 +450,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEP
     retained = materialise(suffixes(docs, min_words, depth), "suffixes")
     places = materialise(shared_by_documents(retained, "suffix-order", least=False), "suffix-places")
     forget(retained)
-    found = compare(surroundings(docs, places, min_words, depth), min_words, depth)
+    words = materialise(surroundings(docs, places, min_words, depth), "suffix-words")  # read twice, and range partitions are drawn from a first pass
     forget(places)
+    found = compare(words, min_words, depth)
+    members = materialise(words.select("m1", "m2", "doc_id", "at"), "suffix-members")
+    forget(words)
     again = compare_backwards(found, min_words, depth)
-    hits = found.union(again).where("doc_id IS NOT NULL").select("doc_id", "a", "z", "lo").union(across_partitions(again, min_words, depth))
+    shared = found.union(again).where("a IS NOT NULL").select("m1", "m2", "a", "z", "lo").union(across_partitions(again, min_words, depth))
+    hits = members.join(shared, ["m1", "m2"]).select("doc_id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z"), "lo")
     by_place = W.partitionBy("doc_id").orderBy("a", "z")
     reach = F.max("z").over(by_place.rowsBetween(W.unboundedPreceding, -1))
     begins = hits.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1))
