@@ -94,6 +94,17 @@ def mergeable(a, b) -> bool:
     return similar(a, b, at_lines=True)
 
 
+def block_reasons(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) of ords of merge_facts() with the reason that keeps them apart by their names alone, null without one."""
+    names = ["rule", "cand", "entry"]
+    side = lambda x: facts.select(F.col("ord").alias(x), F.struct(*names).alias(f"of_{x}"))
+    x, y = (lambda c: F.col(f"of_a.{c}")), (lambda c: F.col(f"of_b.{c}"))
+    reason = F.lit(None).cast("string")
+    for c, name in (("entry", "entry_point_mismatch"), ("cand", "candidate_type_mismatch"), ("rule", "rule_id_mismatch")):
+        reason = F.when((x(c) != "") & (y(c) != "") & (x(c) != y(c)), name).otherwise(F.when((x(c) != "") != (y(c) != ""), "entry_point_missing") if c == "entry" else reason)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", reason.alias("reason"))
+
+
 def blocks(facts: DataFrame) -> DataFrame:
     """(ord, block): findings that share a key, anchor, overlap group or file, directly
     or over others. Every merge needs one of these, so blocks are independent."""

@@ -78,6 +78,21 @@ def with_keys(flat: DataFrame) -> DataFrame:
     return flat.withColumn("identity_key", F.coalesce(F.nullif("stored_key", F.lit("")), "identity_v1")).withColumn("identity_key_v2", F.col("identity_v2"))
 
 
+def worst_known(flat: DataFrame, most: int, whole_details: bool = False) -> DataFrame:
+    """The `most` worst of the findings already known, for a prompt: the first of each identity key,
+    by falling severity and then order, with path and lines only and, unless whole_details, tool and
+    rule only. The limit is the feature: 80 existing and 40 prior findings are shown by default."""
+    loc, det = (F.from_json(c, "map<string,string>") for c in ("location", "details"))
+    line = lambda *keys: t.line_number(F.coalesce(*[loc[k] for k in keys]))
+    path = F.nullif(t.sampling_path(F.coalesce(*[loc[k] for k in ("filepath", "filePath", "path", "file")])), F.lit(""))
+    place = F.struct(path.alias("filepath"), line("startLine", "start_line", "line").alias("startLine"), line("endLine", "end_line", "lineEnd", "end").alias("endLine"))
+    tool = F.struct(*[F.nullif(det[k], F.lit("")).alias(k) for k in ("tool", "ruleId")])
+    first = with_keys(flat).where("identity_key <> ''").groupBy("identity_key").agg(F.min_by(F.struct("ord", "type", "source", "severity", "summary", "location", "details"), "ord").alias("f"))
+    top = first.select("f.*").orderBy(severity.rank(F.col("severity")).desc(), "ord").limit(most)
+    shown = lambda s: F.nullif(F.to_json(s), F.lit("{}"))
+    return top.select("ord", "type", "source", "severity", "summary", shown(place).alias("location"), (F.col("details") if whole_details else shown(tool)).alias("details"))
+
+
 def only_of_rules(flat: DataFrame, rule_ids: DataFrame) -> DataFrame:
     """Findings of a rule pass whose type is one of the rules asked for (rule_id)."""
     asked = rule_ids.select(type_value(F.col("rule_id")).alias("identity_type")).distinct()

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.functions import detectors, identity, severity
+from riskloom.functions import detectors, identity, routes, severity
 from riskloom.functions import text as t
-from riskloom.operators import catalog, chunking, dedupe, evals, graph, intervals, packing, report, rules, sampling, store
+from riskloom.operators import catalog, chunking, dedupe, evals, graph, intervals, packing, projections, report, rules, sampling, store
 from riskloom.session import table
 from riskloom.sources import database, files, reports
 
@@ -660,6 +660,52 @@ def manifest_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.manifest_packages(f).groupBy("name", "version").agg(F.count("*").alias("n"))
 
 
+# routes, known findings, reasons ------------------------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '^\.?/*', ''), '/+', '/', 'g'), '/+$', '') AS n FROM pages)
+          SELECT page_id, '/' || n AS route, CASE WHEN starts_with(n, 'en/') THEN substr(n, 4) WHEN instr(n, '/en/') > 0 THEN substr(n, instr(n, '/en/') + 4) END AS after_en FROM p""")
+def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", routes.route_path(F.col("url")).alias("route"), routes.after_segment(F.col("url"), "en").alias("after_en"))
+
+
+@query("""SELECT page_id, array_to_string(list_concat(['a.b'], list_filter(list_transform(string_split(url, '.'), lambda x: trim(x)), lambda x: x <> '')), '|') AS parts FROM pages""")
+def identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws("|", routes.identifier_parts(F.concat(F.lit('"a.b".'), "url"))).alias("parts"))
+
+
+@query("""SELECT CASE event_type WHEN 'error' THEN 'GET' ELSE 'POST' END AS method, CASE event_type WHEN 'error' THEN 2 ELSE 3 END AS line, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL""")
+def method_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.when(F.col("event_type") == "error", "export  async function GET(r) {\n}").when(F.col("event_type") == "signup", "export function GETS() {}\nexport const POST = f").otherwise("export const handler = GET")
+    found = table(spark, sf_dir, "events").select(F.explode(routes.exported_methods(F.concat(F.lit("// "), "event_type", F.lit("\n"), body))).alias("m"))
+    return found.groupBy("m.method", "m.line").agg(F.count("*").alias("n"))
+
+
+KNOWN_SQL = IDENTITY_SQL + """, k AS (SELECT min(ord) AS ord FROM f GROUP BY path, s, e, lang, kind, rule),
+             g AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN 'high' ELSE 'low' END AS severity, rule || ' found' AS summary,
+                          '{"filepath":"' || path || '","startLine":' || s || CASE WHEN ord % 3 = 0 THEN '' ELSE ',"endLine":' || e END || '}' AS location, '{"ruleId":"' || rule || '"' AS head, lang FROM f SEMI JOIN k USING (ord))"""
+
+
+@query(f"""WITH {KNOWN_SQL} SELECT ord, severity, summary, location, head || '}}' AS details FROM g ORDER BY severity, ord LIMIT 80""")
+def existing_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 80 worst existing findings; the limit is the feature."""
+    return projections.worst_known(identity.flatten(_findings(spark, sf_dir)), 80).drop("type", "source")
+
+
+@query(f"""WITH {KNOWN_SQL} SELECT ord, severity, summary, location, head || ',"entryPoint":"handler ' || lang || '"}}' AS details FROM g ORDER BY severity, ord LIMIT 40""")
+def prior_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 worst prior findings, with their details; the limit is the feature."""
+    return projections.worst_known(identity.flatten(_findings(spark, sf_dir)), 40, whole_details=True).drop("type", "source")
+
+
+@query(f"""WITH {IDENTITY_SQL} SELECT CASE WHEN x.rule <> y.rule THEN 'rule_id_mismatch' WHEN x.lang <> y.lang THEN 'entry_point_mismatch' END AS reason, count(*) AS n
+          FROM f x JOIN f y ON y.ord = x.ord + 1 OR y.ord = x.ord + 4 GROUP BY 1""")
+def merge_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = dedupe.merge_facts(identity.flatten(_findings(spark, sf_dir)))
+    pairs = facts.select(F.col("ord").alias("a"), F.explode(F.array(F.col("ord") + 1, F.col("ord") + 4)).alias("b"))
+    return dedupe.block_reasons(facts, pairs).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 # flagship -----------------------------------------------------------------------------------------------------
 
 

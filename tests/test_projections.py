@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from riskloom.functions import identity
+from riskloom.functions import identity, routes
 from riskloom.operators import chunking, dedupe, projections
 
 FINDING = "ord long, type string, source string, severity string, category string, summary string, location string, details string"
@@ -80,3 +80,34 @@ def test_hints_outside_anchors(spark):
     assert [tuple(r) for r in chunking.public_env_anchors(env).collect()] == [("e.ts", 21, 41)]
     ranges = spark.createDataFrame([("a", "f", k, k + 1, r) for k, r in enumerate(["base"] * 4 + ["hint", "sink", "entry", "hint"])], "path string, anchor string, start_line int, end_line int, reason string")
     assert [r.start_line for r in chunking.choose_ranges(ranges).orderBy("start_line").collect()] == [0, 1, 2, 3, 5, 6]
+
+
+def test_routes_methods_and_identifiers(spark):
+    paths = spark.createDataFrame([("src/app/users/",), ("app/x",), ("./webapp/y",), ("",)], "p string")
+    got = paths.select(routes.after_segment(F.col("p"), "app").alias("a"), routes.route_path(F.col("p")).alias("r")).collect()
+    assert [tuple(r) for r in got] == [("users", "/src/app/users"), ("x", "/app/x"), (None, "/webapp/y"), (None, "/")]
+    names = spark.createDataFrame([('public."a.b". c ',), ('"open.end',), ("..x..",), ('""',), (None,)], "n string")
+    assert [r[0] for r in names.select(routes.identifier_parts(F.col("n"))).collect()] == [["public", "a.b", "c"], ["open.end"], ["x"], [], None]
+    code = spark.createDataFrame([("export const GET = 1\n export async function POST() {}\nexport function GETS() {}\nimport { PUT }",)], "c string")
+    assert [tuple(m) for m in code.select(routes.exported_methods(F.col("c"))).first()[0]] == [("GET", 1), ("POST", 2)]
+    assert [r[0] for r in names.select(routes.redacted(F.col("n"))).collect()] == ["[REDACTED]"] * 4 + [None]
+
+
+def test_worst_known_findings(spark):
+    rows = [
+        (0, "idor", "llm", "low", None, "first", '{"file":"./a.ts","line":3}', '{"ruleId":"idor","note":"x"}'), (1, "idor", "llm", "critical", None, "copy", '{"file":"a.ts","line":3}', '{"ruleId":"idor"}'),
+        (2, "xss", "llm", "HIGH", None, "second", '{"path":"b.ts"}', None), (3, "xss", "llm", "odd", None, "third", '{"path":"c.ts","lineEnd":4}', "{}"), (4, None, "llm", "high", None, None, None, None),
+    ]
+    flat = identity.flatten(spark.createDataFrame(rows, FINDING))
+    got = projections.worst_known(flat, 5).collect()
+    assert [(r.summary, r.location, r.details) for r in got] == [("second", '{"filepath":"b.ts"}', None), ("first", '{"filepath":"a.ts","startLine":3}', '{"ruleId":"idor"}'), ("third", '{"filepath":"c.ts","endLine":4}', None)]
+    assert [r.details for r in projections.worst_known(flat, 2, whole_details=True).collect()] == [None, '{"ruleId":"idor","note":"x"}']
+    assert projections.worst_known(flat.limit(0), 5).count() == 0
+
+
+def test_reasons_that_keep_findings_apart(spark):
+    row = lambda k, rule, cand, entry: (k, "t", "llm", "low", None, "s", '{"file":"a.ts"}', json.dumps({"ruleId": rule, "candidateType": cand, "entryPoint": entry}))
+    rows = [row(0, "idor", "x", "GET /a"), row(1, "xss", "x", "GET /a"), row(2, "idor", "y", "GET /a"), row(3, "idor", "x", "GET /b"), row(4, "idor", "x", None), row(5, "idor", None, "GET /a")]
+    facts = dedupe.merge_facts(identity.flatten(spark.createDataFrame(rows, FINDING)))
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 6)], "a long, b long")
+    assert {r.b: r.reason for r in dedupe.block_reasons(facts, pairs).collect()} == {1: "rule_id_mismatch", 2: "candidate_type_mismatch", 3: "entry_point_mismatch", 4: "entry_point_missing", 5: None}
