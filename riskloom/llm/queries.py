@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats
+from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats, op12_token_counts
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_repeats.repeated_spans(_t(spark, sf_dir, "documents"))
 
 
+def op12_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_token_counts.token_counts(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing_query,
     "op2_minhash": op2_minhash_query,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_warc": op8_warc_query,
     "op9_token_planes": op9_token_planes_query,
     "op10_repeats": op10_repeats_query,
+    "op12_token_counts": op12_token_counts_query,
 }
 
 #: Words between ASCII white space, A-Z lower-cased.
