@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats, op12_token_counts
+from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats, op12_token_counts, op13_lexical_search
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op12_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_token_counts.token_counts(_t(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_lexical_search.ranked(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing_query,
     "op2_minhash": op2_minhash_query,
@@ -70,12 +74,26 @@ QUERIES = {
     "op9_token_planes": op9_token_planes_query,
     "op10_repeats": op10_repeats_query,
     "op12_token_counts": op12_token_counts_query,
+    "op13_lexical_search": op13_lexical_search_query,
 }
 
 #: Words between ASCII white space, A-Z lower-cased.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+#: Letters, digits and what lies beyond ASCII, A-Z lower-cased.
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
 ORACLE_SQL = {
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+        p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+        c AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+        f AS (SELECT term, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM c, s GROUP BY term, s.n),
+        i AS (SELECT k, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS k, item_id, {_TERMS} AS w FROM benchmark WHERE text IS NOT NULL)),
+        x AS (SELECT k, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * c.n * s.n) // s.l)))) AS BIGINT) AS score
+              FROM i JOIN f USING (term) JOIN c USING (term), s GROUP BY k, item_id, r, doc_id),
+        o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
     "op2_minhash": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))
