@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats, op12_token_counts, op13_lexical_search
+from . import op1_packing, op2_minhash, op3_licenses, op4_decontaminate, op5_importance, op6_toxicity, op7_exact_dedup, op8_warc, op9_token_planes, op10_repeats, op11_clusters, op12_token_counts, op13_lexical_search
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_repeats.repeated_spans(_t(spark, sf_dir, "documents"))
 
 
+def op11_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_clusters.clusters(_t(spark, sf_dir, "embeddings"))
+
+
 def op12_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_token_counts.token_counts(_t(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_warc": op8_warc_query,
     "op9_token_planes": op9_token_planes_query,
     "op10_repeats": op10_repeats_query,
+    "op11_clusters": op11_clusters_query,
     "op12_token_counts": op12_token_counts_query,
     "op13_lexical_search": op13_lexical_search_query,
 }
@@ -82,7 +87,30 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 #: Letters, digits and what lies beyond ASCII, A-Z lower-cased.
 _TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
+
+def _clusters_sql(rounds: int = 5) -> str:
+    """The rounds one after the other: a{k} assigns every vector to the centroids c{k}."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+              FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s NULLS LAST, v) - 1 AS j, v AS c FROM (SELECT sha256('2:' || vec_id) AS s, v FROM v ORDER BY s NULLS LAST, v LIMIT 40))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, min([CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT), j]) AS m FROM v, c{k} GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+                SELECT c.j, coalesce(n.c, c.c) AS c FROM c{k} c LEFT JOIN (
+                    SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+                        SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT m[2] AS j, unnest(v) AS x, unnest(range(64)) AS i FROM a{k} JOIN v USING (r)) GROUP BY j, i)
+                    GROUP BY j) n ON n.j = c.j)""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia, CAST(sum(m[1]) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON j = m[2]"""
+
+
 ORACLE_SQL = {
+    "op11_clusters": _clusters_sql(),
     "op13_lexical_search": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
         s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
