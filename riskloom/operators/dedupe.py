@@ -190,9 +190,10 @@ def by_severity(rows: DataFrame, level: str, *then: str) -> DataFrame:
 
 
 def exact_duplicates(rows: DataFrame, key: list[Column | str], order: str) -> DataFrame:
-    """The first row of each key, with how many there were."""
-    by = W.partitionBy(*key)
-    return rows.withColumns({"n_copies": F.count("*").over(by), "rn__": F.row_number().over(by.orderBy(order))}).where("rn__ = 1").drop("rn__")
+    """The first row of each key, with how many there were: one aggregate, summed up before rows move."""
+    named = [k if isinstance(k, Column) else F.col(k) for k in key]
+    first = rows.groupBy(*[k.alias(f"k{n}__") for n, k in enumerate(named)]).agg(F.min_by(F.struct(*rows.columns), order).alias("first__"), F.count("*").alias("n_copies"))
+    return first.select("first__.*", "n_copies")
 
 
 def dedupe_report(rows: DataFrame, location: list[str], summary: str, by: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.shared import connected_components, materialise
 
-__all__ = ["components", "decode_functions", "decode_edges", "valid_edges", "reachability", "neighbourhood", "call_names"]
+__all__ = ["components", "decode_functions", "decode_edges", "valid_edges", "reachability", "reachable_anchors", "neighbourhood", "call_names"]
 
 components = connected_components
 
@@ -56,34 +56,56 @@ def valid_edges(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFra
 
 def reachability(edges: DataFrame, starts: DataFrame, max_depth: int = 8, max_labels: int = 3) -> DataFrame:
     """(node, labels, min_depth): breadth-first from starts(node, label, ord) along
-    edges(src, dst). A label goes on through nodes that already have enough; the
-    labels kept are the nearest, then the first by ord. The frontier of each depth
-    leaves out what its label has seen, so cycles end; lineage is cut by a written
-    table at each depth, and the edges are worked out once."""
-    edges = materialise(edges.select("src", "dst"), "edges")
-    seen = frontier = materialise(starts.groupBy("node", "label").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0)), "reach")
+    edges(src, dst). A node keeps its `max_labels` nearest labels, of equally near ones the
+    first by ord, and passes on these alone: a label that a node does not keep comes behind
+    the kept ones at every node reached through it as well. So each node is expanded for
+    max_labels labels at most, however many starts there are. Nodes that are full take no
+    further rows; lineage is cut by a written table at each depth."""
+    edges = materialise(edges.select("src", "dst").distinct(), "edges")
+    first = lambda rows: rows.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("ord", "label"))).where(F.col("rn") <= max_labels)
+    seen = frontier = materialise(first(starts.groupBy("node", "label").agg(F.min("ord").alias("ord"))).select("node", "label", "ord", F.lit(0).alias("depth")), "reach")
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node"), "label").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(depth))
-        frontier = materialise(step.join(seen.select("node", "label"), ["node", "label"], "left_anti"), "reach")
+        held = seen.groupBy("node").agg(F.count("*").alias("held"))
+        step = frontier.select(F.col("node").alias("src"), "label", "ord").join(edges, "src").select(F.col("dst").alias("node"), "label", "ord")
+        open_ = step.join(held.where(F.col("held") >= max_labels), "node", "left_anti").groupBy("node", "label").agg(F.min("ord").alias("ord"))
+        fresh = first(open_.join(seen.select("node", "label"), ["node", "label"], "left_anti"))
+        room = fresh.join(held, "node", "left").where(F.col("rn") + F.coalesce("held", F.lit(0)) <= max_labels)
+        frontier = materialise(room.select("node", "label", "ord", F.lit(depth).alias("depth")), "reach")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    ranked = seen.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("depth", "ord", "label")))
-    labels = F.array_sort(F.collect_list(F.when(F.col("rn") <= max_labels, F.struct("rn", "label"))))
-    return ranked.groupBy("node").agg(F.transform(labels, lambda x: x["label"]).alias("labels"), F.min("depth").alias("min_depth"))
+    labels = F.array_sort(F.collect_list(F.struct("depth", "ord", "label")))  # max_labels at most
+    return seen.groupBy("node").agg(F.transform(labels, lambda x: x["label"]).alias("labels"), F.min("depth").alias("min_depth"))
+
+
+def reachable_anchors(reached: DataFrame, anchors: DataFrame, max_labels: int = 3) -> DataFrame:
+    """(anchor_id, labels, min_depth) of reachability() rows and anchors(node, anchor_id, ord):
+    nodes of one anchor give their labels in turn, the first max_labels different ones stay."""
+    rows = anchors.join(reached, "node").select("anchor_id", "ord", "min_depth", F.posexplode("labels").alias("pos", "label"))
+    each = rows.groupBy("anchor_id", "label").agg(F.min(F.struct("ord", "pos")).alias("at"), F.min("min_depth").alias("min_depth"))
+    depth = rows.groupBy("anchor_id").agg(F.min("min_depth").alias("min_depth"))
+    kept = each.withColumn("rn", F.row_number().over(W.partitionBy("anchor_id").orderBy("at"))).where(F.col("rn") <= max_labels)
+    listed = kept.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]).alias("labels"))
+    return listed.join(depth, "anchor_id").select("anchor_id", "labels", "min_depth")
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, node: str = "id", group: str = "file", max_depth: int = 2, most: int = 6) -> DataFrame:
-    """(node, other, depth): other nodes of the same group within max_depth calls in either direction, nearest first, `most` for each node."""
+    """(node, other, depth): other nodes of the same group within max_depth calls in either
+    direction, nearest first, `most` for each node. A node passes on its most + 1 nearest
+    alone: what comes behind these at the node comes behind as many at every neighbour. Only
+    nodes that still have room take part in the next hop, so a hub costs its edges and no
+    pairs of them."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     home = nodes.select(F.col(node).alias("n"), F.col(group).alias("g"))
-    inside = both.join(home.withColumnsRenamed({"n": "src", "g": "g1"}), "src").join(home.withColumnsRenamed({"n": "dst", "g": "g2"}), "dst").where("g1 = g2").select("src", "dst")
-    reached = level = inside.select(F.col("src").alias("node"), F.col("dst").alias("other")).withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        level = level.join(inside, level["other"] == inside["src"]).select("node", F.col("dst").alias("other")).withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(level)
-    nearest = reached.where("node <> other").groupBy("node", "other").agg(F.min("depth").alias("depth"))
-    return nearest.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("depth", "other"))).where(F.col("rn") <= most).drop("rn")
+    inside = both.join(home.withColumnsRenamed({"n": "src", "g": "g1"}), "src").join(home.withColumnsRenamed({"n": "dst", "g": "g2"}), "dst")
+    inside = materialise(inside.where("g1 = g2 AND src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("via")), "neighbours")
+    nearest = lambda rows, n: rows.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("depth", "other"))).where(F.col("rn") <= n).drop("rn")
+    known = materialise(nearest(inside.select("node", F.col("via").alias("other"), F.lit(1).alias("depth")), most + 1), "near")
+    for _ in range(2, max_depth + 1):
+        full = known.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        hop = inside.join(full, "node", "left_anti").join(known.withColumnRenamed("node", "via"), "via").where("node <> other").select("node", "other", (F.col("depth") + 1).alias("depth"))
+        known = materialise(nearest(known.unionByName(hop).groupBy("node", "other").agg(F.min("depth").alias("depth")), most + 1), "near")
+    return nearest(known, most)
 
 
 def call_names(functions: DataFrame, key: str, content: str, symbols: DataFrame, symbol: str = "symbol", most: int = 6) -> DataFrame:
