@@ -346,6 +346,32 @@ def test_exact_dedup_against_history(spark):
     history = op7_exact_dedup.winners(op7_exact_dedup.digests(old))
     got = {r.doc_id: (r.keep_id, r.kept) for r in op7_exact_dedup.exact_dedup(new, history).collect()}
     assert got == {10: (1, False), 11: (12, False), 12: (12, True), 13: (13, True), None: (2, False)}
+    again = history.union(history.selectExpr("digest", "keep_id + 100", "group_size")).union(history.limit(0))
+    rows = {r.doc_id: (r.keep_id, r.group_size) for r in op7_exact_dedup.exact_dedup(new, again).collect()}
+    assert rows == {10: (1, 3), 11: (12, 2), 12: (12, 2), 13: (13, 1), None: (2, 3)}
+    with pytest.raises(ValueError):
+        op7_exact_dedup.PerfectHash.build(np.zeros((2, 32), np.uint8))
+
+
+def test_exact_dedup_reads_its_slots(spark, docs, texts, monkeypatch):
+    """Without the lookup, or with slots that name other winners, the result is another."""
+    right = op7_exact_dedup.lookup
+    spoiled = {
+        "all are members": lambda *a: right(*a).withColumn("slot", F.greatest("slot", F.lit(0))),
+        "none is": lambda *a: right(*a).withColumn("slot", F.lit(-1).cast("long")),
+        "other winners": lambda *a: right(*a).withColumn("keep_id", F.col("keep_id") + 1),
+    }
+    expect = exact(texts)
+    for how in spoiled.values():
+        monkeypatch.setattr(op7_exact_dedup, "lookup", how)
+        rows = op7_exact_dedup.exact_dedup(docs).collect()
+        assert any((r.keep_id, r.group_size) != expect[r.doc_id] for r in rows)
+
+
+def test_exact_dedup_with_large_ids_beside_nulls(spark):
+    rows = [(2**60 + k, f"t{k // 3}") for k in range(60)] + [(None, f"t{k}") for k in range(20)]
+    got = op7_exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert all(r.group_size == 4 and (r.keep_id - 2**60) % 3 == 0 for r in got) and sum(r.kept for r in got) == 20
 
 
 def test_warc(spark, tmp_path):
