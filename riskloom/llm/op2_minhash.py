@@ -381,10 +381,10 @@ def one_of_each(docs: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
     """The rows of docs that stay, one document of each component, with all their columns;
     of rows that share a doc_id and the set, one stays."""
     stay = near_sets(docs, size, share).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("set_key").alias("kept_set")).distinct()
-    same_id = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
+    same_id = docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"])
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.join(stay, same_id, "left_semi")
     name = free_name(docs, "set_key")
     keyed = set_keys(docs, size, name)
-    out = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & keyed[name].eqNullSafe(F.col("kept_set")), "left_semi")
+    out = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["kept_id"]) & keyed[name].eqNullSafe(stay["kept_set"]), "left_semi")
     return out.dropDuplicates(["doc_id", name]).select(*docs.columns)

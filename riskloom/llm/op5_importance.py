@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, mix
+from .common import free_name, materialise, mix
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -173,9 +173,7 @@ def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def drawn(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are drawn, with all their columns: each task weighs its rows again, none moves."""
-    fitted, name = fit(docs, labels, **how), "log_ratio"
-    while name in docs.columns:
-        name += "_"
+    fitted, name = fit(docs, labels, **how), free_name(docs, "log_ratio")
     ratio, schema = fitted.ratio, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     place = docs.columns.index("text")
 
