@@ -4,14 +4,16 @@ Every page becomes a record of a gzipped WARC file, one file a task. Of records
 with equal payloads the one with the largest page_id is a response and the others
 revisit it. Each task also leaves its captures as runs sorted by URL key and
 timestamp; ranges of the key space are then merged k ways by a loser tree, which
-gives capture histories in global order. The archives are read back through that
-index.
+gives capture histories in global order and every capture its rank in it. The archives
+are read back through that index, file by file, and the records are put in the order of
+the ranks.
 
 Cases: null html is an empty payload; a null url gives an empty URL key; pages
 with a null page_id are written as responses of their own, for no revisit could
 name them; a repeated page_id gives a record for each row; of equal
 payloads the largest page_id wins ties by being largest, and rows that tie on it are
-responses each; very long payloads are written whole, one record in memory at a time;
+responses each; very long payloads are written and read whole, one record at a time beside
+the batch that Spark hands over and, if payloads are asked for, some SEND bytes of them;
 an empty table writes no archive; further columns are ignored, whatever their names."""
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, open_fs, qualified
 
-RUN = 20_000
+RUN, SEND = 20_000, 8_000_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -144,25 +147,25 @@ def table_of(captures: list[tuple]) -> pd.DataFrame:
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Writes the archives; the result holds the captures in sorted runs:
     (run, nth, url_key, stamp, page_id, file, offset, length), in written form."""
+    schema = "run string, nth long, url_key string, stamp string, page_id long, file string, offset long, length long"
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at, run, held = None, f"part-{uuid.uuid4().hex}.warc.gz", 0, 0, []
         fs, root = open_fs(folder)
 
-        def runs() -> pd.DataFrame:
+        def runs() -> pa.RecordBatch:
             held.sort(key=lambda r: (r[0], r[1], r[3], r[4]))
-            pdf = table_of(held)
-            pdf.insert(0, "nth", range(len(pdf)))
-            pdf.insert(0, "run", f"{name}/{run}")
-            return pdf
+            key, stamp, page, file, offset, length = zip(*held)
+            columns = [pa.array([f"{name}/{run}"] * len(held)), pa.array(range(len(held)), pa.int64()), pa.array(key), pa.array(stamp), pa.array(page, pa.int64()), pa.array(file), pa.array(offset, pa.int64()), pa.array(length, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
         for b in batches:
-            for page, url, html, refers in zip(b["page_id"], b["url"], b["html"], b["refers_to"]):
+            for k in range(b.num_rows):
+                page, url, html, refers = (b.column(c)[k].as_py() for c in range(4))
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                page, refers, payload = None if pd.isna(page) else int(page), None if pd.isna(refers) else int(refers), html.encode("utf-8", "surrogatepass")
-                stamp = timestamp14(page)
+                payload, stamp = html.encode("utf-8", "surrogatepass"), timestamp14(page)
                 raw = record(page, url, payload, base32_sha1(payload), refers, stamp)
                 out.write(raw)
                 held.append((url_key(url), stamp, page, f"{folder}/{name}", at, len(raw)))
@@ -175,13 +178,13 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if held:
             yield runs()
 
-    exact = records.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
-    return materialise(exact.mapInPandas(write, "run string, nth long, url_key string, stamp string, page_id long, file string, offset long, length long"), "cdx-runs")
+    return materialise(records.select("page_id", "url", "html", "refers_to").mapInArrow(write, schema), "cdx-runs")
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
     """Capture histories in global order: ranges of (url_key, stamp, page_id), each
-    merged from the slices of the runs that fall in it."""
+    merged from the slices of the runs that fall in it. `rank` is the range's number and
+    the place in it, so it grows along the whole order."""
     names = ["url_key", "stamp", "page_id", "file", "offset", "length"]
 
     def rows_of(parts: list[pd.DataFrame]) -> Iterator[tuple]:
@@ -190,6 +193,9 @@ def merge_index(runs: DataFrame) -> DataFrame:
                 yield key, stamp, None if pd.isna(page) else int(page), *row
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rank = TaskContext.get().partitionId() << 40
         slices: dict[str, list[pd.DataFrame]] = {}
         for b in batches:
             for run, part in b.groupby("run", sort=False):
@@ -199,41 +205,56 @@ def merge_index(runs: DataFrame) -> DataFrame:
         for row in merged:
             rows.append(row)
             if len(rows) >= 10_000:
-                yield table_of(rows)
-                rows = []
+                yield table_of(rows).assign(rank=range(rank, rank + len(rows)))
+                rank, rows = rank + len(rows), []
         if rows:
-            yield table_of(rows)
+            yield table_of(rows).assign(rank=range(rank, rank + len(rows)))
 
     ranged = runs.repartitionByRange("url_key", "stamp", "page_id", "file", "offset").sortWithinPartitions("run", "nth")
     exact = ranged.select("run", "nth", "url_key", "stamp", F.col("page_id").cast("string").alias("page_id"), "file", "offset", "length")
-    return exact.mapInPandas(merge, "url_key string, stamp string, page_id long, file string, offset long, length long")
+    return exact.mapInPandas(merge, "url_key string, stamp string, page_id long, file string, offset long, length long, rank long")
 
 
 def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records that the index names, in its order: each archive is read from front to
-    back by one task, then the rows, without the archives' bulk, are put in order again."""
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp"] + ["payload"] * with_payload
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for k in range(0, len(whole), 2000):
-                b, rows = whole.iloc[k : k + 2000], {}
-                for file, part in b.groupby("file", sort=False):
+    """The records that the index names, in the order of its ranks: each archive is read
+    from front to back by one task, record by record; then the rows are put in order."""
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, stamp string, rank long" + ", payload binary" * with_payload
+    columns = [c.split() for c in schema.split(", ")]
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, src, rows, n_bytes = None, None, [], 0
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types[kind]) for c, kind in columns], [c for c, _ in columns])
+
+        for b in batches:
+            for file, offset, length, key, stamp, rank in zip(*(c.to_pylist() for c in b.columns)):
+                if file != name:
+                    if src is not None:
+                        src.close()
                     fs, path = open_fs(file)
-                    with fs.open_input_file(path) as src:
-                        for i, offset, length in part.sort_values("offset")[["offset", "length"]].itertuples(name=None):
-                            src.seek(offset)
-                            rows[i] = parse(src.read(length))
-                whole_ids = {c: pd.array([rows[i].pop(c) for i in b.index], dtype="Int64") for c in ("page_id", "refers_to")}
-                out = pd.DataFrame([rows[i] for i in b.index]).assign(url_key=b["url_key"].to_numpy(), stamp=b["stamp"].to_numpy(), **whole_ids)
-                yield out[columns]
-
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, stamp string" + ", payload binary" * with_payload
+                    name, src = file, fs.open_input_file(path)
+                src.seek(offset)
+                row = parse(src.read(length)) | {"url_key": key, "stamp": stamp, "rank": rank}
+                if with_payload:
+                    n_bytes += len(row["payload"])
+                else:
+                    del row["payload"]
+                rows.append(row)
+                if len(rows) >= 2000 or n_bytes >= SEND:
+                    yield send()
+                    rows, n_bytes = [], 0
+        if src is not None:
+            src.close()
+        if rows:
+            yield send()
+
     index = materialise(index, "cdx")
     n_files = max(1, index.select("file").distinct().count())
-    records = index.repartition(n_files, "file").sortWithinPartitions("file", "offset").mapInPandas(read, schema)
-    order = ["url_key", "stamp", "page_id"]
-    return materialise(records, "warc-records").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = index.repartition(n_files, "file").sortWithinPartitions("file", "offset").select("file", "offset", "length", "url_key", "stamp", "rank")
+    records = materialise(placed.mapInArrow(read, schema), "warc-records")
+    return records.repartitionByRange("rank").sortWithinPartitions("rank").drop("rank")
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:

@@ -392,6 +392,11 @@ def test_warc(spark, tmp_path):
         assert (r.refers_to, r.record_type, r.payload_bytes) == (refers, "revisit" if refers is not None else "response", len(h.encode()))
         assert bytes(r.payload) == (b"" if refers is not None else h.encode())
     assert [(r.url_key, r.stamp) for r in got] == sorted((r.url_key, r.stamp) for r in got)
+    runs = op8_warc.write_archives(op8_warc.assign(pages), str(tmp_path))
+    merged = op8_warc.merge_index(runs).orderBy("rank").collect()
+    assert [(r.url_key, r.stamp, r.file, r.offset) for r in merged] == sorted((r.url_key, r.stamp, r.file, r.offset) for r in merged) and len({r.rank for r in merged}) == len(rows)
+    backwards = op8_warc.read_archives(op8_warc.merge_index(runs).withColumn("rank", -F.col("rank"))).collect()
+    assert [r.page_id for r in backwards] == [r.page_id for r in merged][::-1]  # the merge's ranks decide the order
     assert len([f for f in os.listdir(tmp_path) if f.endswith(".warc.gz")]) >= 1
     assert op8_warc.warc_round_trip(pages.limit(0)).count() == 0
     small = op8_warc.warc_round_trip(pages, min_bytes=10).where("payload_bytes < 10")
