@@ -2,96 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions import severity
 from riskloom.functions import text as t
-from riskloom.shared import connected_components, materialise
-
-#: Columns that the merge decision reads; all texts, empty where unknown.
-FACTS = ["stored_key", "identity_v1", "merge_rule", "candidate", "entry_point", "symbol", "anchor_id", "overlap_id", "repo_name", "identity_type", "dedupe_category", "canonical_path", "kind"]
-SIMILAR = 0.88
-
-
-def merge_facts(flat: DataFrame) -> DataFrame:
-    """Flattened findings with what decides merges: rule and candidate under their usual names, keys, words."""
-    return flat.withColumns({
-        "key": F.coalesce(F.nullif("stored_key", F.lit("")), F.col("identity_v1")), "rule": _alias("merge_rule"), "cand": _alias("candidate"), "entry": t.entry_point_token(F.col("entry_point")),
-        "sym": t.entry_point_token(F.col("symbol")), "kind_token": t.type_token(F.col("kind")), "words": t.summary_tokens(F.col("finding_text")),
-    })
-
-
-def _alias(column: str) -> Column:
-    from riskloom.functions.identity import type_value
-
-    return type_value(F.col(column))
-
-
-def _same(a: str, b: str) -> bool:
-    return bool(a) and a == b
-
-
-def _differ(a: str, b: str) -> bool:
-    return bool(a) and bool(b) and a != b
-
-
-def near_lines(a, b, slack: int = 2) -> bool:
-    """Whether two findings of one file touch, by lines or by chunk."""
-    if _differ(a.repo_name, b.repo_name) or not _same(a.canonical_path, b.canonical_path):
-        return False
-    if a.lo > 0 and b.lo > 0:
-        return max(1, a.lo - slack) <= b.hi + slack and max(1, b.lo - slack) <= a.hi + slack
-    return a.chunk >= 0 and a.chunk == b.chunk
-
-
-def same_lines(a, b) -> bool:
-    if _differ(a.repo_name, b.repo_name) or not _same(a.canonical_path, b.canonical_path):
-        return False
-    if a.lo >= 0 and b.lo >= 0:
-        return (a.lo, a.hi) == (b.lo, b.hi)
-    return a.chunk >= 0 and a.chunk == b.chunk
-
-
-def similar(a, b, at_lines: bool = False) -> bool:
-    """Whether two findings say the same; at_lines also asks for touching lines and a common entry point."""
-    if at_lines and not (near_lines(a, b) and _same(a.entry, b.entry)):
-        return False
-    if any(_differ(getattr(a, c), getattr(b, c)) for c in ("entry", "cand", "identity_type")):
-        return False
-    if _same(a.rule, b.rule):
-        return True
-    if not any(_same(getattr(a, c), getattr(b, c)) for c in ("cand", "identity_type", "entry")):
-        return False
-    if _same(a.dedupe_category, b.dedupe_category) or _same(a.kind_token, b.kind_token):
-        return True
-    x, y = set(a.words), set(b.words)
-    return (len(x & y) / len(x | y) if x | y else 1.0) >= SIMILAR
-
-
-def mergeable(a, b) -> bool:
-    """The decision list, from the strongest evidence to the weakest."""
-    if a.dedupe_category == b.dedupe_category and a.dedupe_category in ("rate_limiting", "lockout") and not _same(a.entry, b.entry):
-        return False
-    if _same(a.key, b.key):
-        return True
-    if any(_differ(getattr(a, c), getattr(b, c)) for c in ("rule", "cand", "entry")):
-        return False
-    apart = _differ(a.repo_name, b.repo_name)
-    if _same(a.anchor_id, b.anchor_id):
-        return not apart
-    same_type = _same(a.identity_type, b.identity_type)
-    if _same(a.overlap_id, b.overlap_id):
-        return not apart and a.entry == b.entry and a.sym == b.sym and same_type
-    if near_lines(a, b) and not (_same(a.rule, b.rule) or same_type):
-        return False
-    if same_lines(a, b):
-        return same_type or _same(a.dedupe_category, b.dedupe_category)
-    return similar(a, b, at_lines=True)
+from riskloom.operators.merging import SIMILAR, greedy_clusters, merge_facts  # noqa: F401  what follows builds on these
+from riskloom.shared import materialise
 
 
 def block_reasons(facts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -105,48 +23,6 @@ def block_reasons(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", reason.alias("reason"))
 
 
-def blocks(facts: DataFrame) -> DataFrame:
-    """(ord, block): findings that share a key, anchor, overlap group or file, directly
-    or over others. Every merge needs one of these, so blocks are independent."""
-    tokens = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("key", "anchor_id", "overlap_id", "canonical_path", "file_path")]))
-    links = facts.select("ord", F.explode(tokens).alias("token"))
-    first = links.groupBy("token").agg(F.min("ord").alias("b"))
-    component = connected_components(links.join(first, "token").select(F.col("ord").alias("a"), "b"), "blocks")
-    return facts.select("ord").join(component.select(F.col("node").alias("ord"), "component"), "ord", "left").select("ord", F.coalesce("component", "ord").alias("block"))
-
-
-def greedy_clusters(flat: DataFrame) -> DataFrame:
-    """(ord, cluster): in order, each finding joins the first earlier cluster it may
-    merge with, else it opens one; the cluster is named by its first ord. A cluster's
-    facts fill up from what joins it, so the walk is sequential within a block."""
-    facts = merge_facts(flat)
-    need = ["ord", "key", "rule", "cand", "entry", "sym", "anchor_id", "overlap_id", "repo_name", "identity_type", "dedupe_category", "canonical_path", "kind_token"]
-    lines = {"lo": F.coalesce("start_line", F.lit(-1)), "hi": F.coalesce("end_line", F.lit(-1)), "chunk": F.coalesce("chunk_index", F.lit(-1))}
-    rows = facts.join(blocks(facts), "ord").select("block", *need, "words", *[v.cast("long").alias(k) for k, v in lines.items()])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, clusters = None, []
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                if row.block != now:
-                    now, clusters = row.block, []
-                home = next((k for k, c in enumerate(clusters) if mergeable(c, row)), None)
-                if home is None:
-                    clusters.append(row)
-                    out.append((row.ord, row.ord))
-                else:
-                    c = clusters[home]
-                    fill = {f: getattr(row, f) for f in ("anchor_id", "overlap_id", "canonical_path") if not getattr(c, f)}
-                    if c.lo < 0 and not c.canonical_path:
-                        fill |= {"lo": row.lo, "hi": row.hi}
-                    clusters[home] = c._replace(**fill)
-                    out.append((row.ord, c.ord))
-            yield pd.DataFrame(out, columns=["ord", "cluster"])
-
-    return rows.repartition("block").sortWithinPartitions("block", "ord").mapInPandas(walk, "ord long, cluster long")
-
-
 def specificity(flat_summary: Column, details: str = "details") -> Column:
     """How much a finding tells: words of its summary and its filled fields."""
     words = F.size(F.filter(F.split(t.trim(F.coalesce(flat_summary, F.lit(""))), r"\s+"), lambda w: w != ""))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as t
-from riskloom.shared import materialise
+from riskloom.operators.ranking import numbered
+from riskloom.shared import connected_components, materialise
 
 #: Other names of rules in expectations.
 RULE_ALIASES = {
@@ -43,50 +41,87 @@ def _on_path(e: DataFrame, a: DataFrame, keys: list[str]) -> DataFrame:
     return plain.unionByName(e.where(starred).join(a, keys).where(path_matches(F.col("pattern"), F.col("path"))).select(plain.columns))
 
 
-def candidate_pairs(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(group_id, e_ord, a_id, a_key): pairs that may match, best order first: the V2 key where the
-    expectation has one, else the path pattern and an advisory of the same package or the
-    same rule. Every branch joins by equality on the group, a key or rule, and the path where it is no pattern."""
-    e = expected.select("group_id", F.col("ord").alias("e_ord"), F.col("filepath").alias("pattern"), F.coalesce("identity_key", F.lit("")).alias("key"), rule_alias(F.col("rule_id")).alias("rule"), t.alias_tokens(F.concat_ws(" ", "expectation", "rule_id")).alias("aliases"), F.lower(t.package_spec(F.col("expectation"))).alias("spec"))
+def _expectations(expected: DataFrame) -> DataFrame:
+    """expected with what decides its candidates, and `cls`, which names that: expectations of one class have the same candidates."""
+    e = expected.select("group_id", F.col("ord").alias("e_ord"), F.col("filepath").alias("pattern"), F.coalesce("identity_key", F.lit("")).alias("key"), rule_alias(F.col("rule_id")).alias("rule"), F.array_sort(t.alias_tokens(F.concat_ws(" ", "expectation", "rule_id"))).alias("aliases"), F.lower(t.package_spec(F.col("expectation"))).alias("spec"))
+    return e.withColumn("cls", F.sha2(F.to_json(F.struct("pattern", "key", "rule", "aliases", "spec")), 256))
+
+
+def expectation_classes(expected: DataFrame) -> DataFrame:
+    """(group_id, cls, e_ord)."""
+    return _expectations(expected).select("group_id", "cls", "e_ord")
+
+
+def class_choices(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(group_id, cls, a_id, a_key): for each class of expectations the actual findings that may
+    match: those of its V2 key where it has one, else of the path pattern and an advisory of
+    the same package or the same rule. Every branch joins by equality on the group, a key or
+    rule, and the path where it is no pattern."""
+    e = _expectations(expected).drop("e_ord").dropDuplicates(["group_id", "cls"])
     a = actual.select("group_id", F.col("id").alias("a_id"), F.col("filepath").alias("path"), F.coalesce("identity_key", F.lit("")).alias("key"), F.explode_outer("rules").alias("r"), F.lower(F.concat_ws("@", "package_name", "package_version")).alias("spec")).withColumn("rule", rule_alias(F.col("r")))
-    by_key = _on_path(e.where("key <> ''").drop("rule", "aliases", "spec"), a.drop("rule", "spec"), ["group_id", "key"]).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
+    found = lambda rows: rows.select("group_id", "cls", "a_id", F.col("key").alias("a_key"))
+    by_key = found(_on_path(e.where("key <> ''").drop("rule", "aliases", "spec"), a.drop("rule", "spec"), ["group_id", "key"]))
     loose = e.where("key = ''").drop("key")
-    by_rule = _on_path(loose.drop("spec"), a.where("rule <> ''").drop("spec"), ["group_id", "rule"]).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
-    by_spec = _on_path(loose.drop("rule"), a.where("spec <> ''").drop("rule"), ["group_id", "spec"]).where(F.arrays_overlap("aliases", t.alias_tokens(F.col("r")))).select("group_id", "e_ord", "a_id", F.col("key").alias("a_key"))
+    by_rule = found(_on_path(loose.drop("spec"), a.where("rule <> ''").drop("spec"), ["group_id", "rule"]))
+    by_spec = found(_on_path(loose.drop("rule"), a.where("spec <> ''").drop("rule"), ["group_id", "spec"]).where(F.arrays_overlap("aliases", t.alias_tokens(F.col("r")))))
     return by_key.union(by_rule).union(by_spec).distinct()
 
 
+def candidate_pairs(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(group_id, e_ord, a_id, a_key): class_choices() for each expectation; as many rows as there are pairs."""
+    return class_choices(expected, actual).join(expectation_classes(expected), ["group_id", "cls"]).select("group_id", "e_ord", "a_id", "a_key")
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """(group_id, e_ord, a_id): expectations in order each take their first free partner
-    (by key, then id). A pair whose ends have no other partner stands by itself. For the
-    others what is free depends on those before, so a group's are walked; rows stream
-    sorted and the ids taken are held."""
-    pairs = materialise(pairs, "pairs")
-    ones = pairs.groupBy("group_id", "e_ord").agg(F.count("*").alias("n"), F.min("a_id").alias("a_id")).where("n = 1").drop("n")
-    other = pairs.groupBy("group_id", "a_id").agg(F.count("*").alias("n"), F.min("e_ord").alias("e_ord")).where("n = 1").drop("n")
-    alone = ones.join(other, ["group_id", "e_ord", "a_id"]).select("group_id", "e_ord", "a_id")
-    rest = pairs.join(alone, ["group_id", "e_ord", "a_id"], "left_anti")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, taken, last = None, set(), None
-        for b in batches:
-            out = []
-            for g, e, a in b[["group_id", "e_ord", "a_id"]].itertuples(index=False):
-                if g != group:
-                    group, taken, last = g, set(), None
-                if e != last and a not in taken:
-                    taken.add(a)
-                    last = e
-                    out.append((g, e, a))
-            yield pd.DataFrame(out, columns=["group_id", "e_ord", "a_id"])
-
-    placed = rest.repartition("group_id").sortWithinPartitions("group_id", "e_ord", "a_key", "a_id")
-    return alone.union(placed.mapInPandas(walk, "group_id string, e_ord long, a_id string"))
+    """match_classes() for pairs(group_id, e_ord, a_id, a_key): each expectation is a class of its own."""
+    named = pairs.withColumn("cls", F.col("e_ord").cast("string"))
+    return match_classes(named.select("group_id", "cls", "e_ord").distinct(), named)
+
+
+def match_classes(members: DataFrame, choices: DataFrame) -> DataFrame:
+    """(group_id, e_ord, a_id): in order, each expectation of members(group_id, cls, e_ord)
+    takes the first of its class's choices(group_id, cls, a_id, a_key[, score]) that is still
+    free, by descending score, then a_key and a_id.
+
+    Rounds of joins instead of a walk. In a round the k-th open expectation of a class
+    proposes to the k-th open choice of the class. Up to the first expectation of a block that
+    proposes to what an earlier one proposes to as well, proposals are what the walk gives:
+    the choices before have been taken by the class's own earlier members. These are fixed, the
+    rest goes on without what they took. So a group of like expectations takes one round,
+    whatever its size, and rows are numbered over as many tasks as they fill. A block is a
+    group at first, then what is connected by shared choices."""
+    worth = -F.col("score") if "score" in choices.columns else F.lit(0.0)
+    ranked = choices.groupBy("group_id", "cls", "a_id").agg(F.min(F.struct(worth.alias("worth"), "a_key")).alias("w")).select("group_id", F.col("group_id").alias("block"), "cls", "a_id", "w.worth", "w.a_key")
+    choices = materialise(ranked, "choices")
+    members = materialise(members.join(choices.select("group_id", "cls").distinct(), ["group_id", "cls"], "left_semi").withColumn("block", F.col("group_id")), "expectations")
+    matched, first_round = None, True
+    while True:
+        e = numbered(members, ["block", "cls"], ["e_ord"], "k")
+        a = numbered(choices, ["block", "cls"], ["worth", "a_key", "a_id"], "k").select("block", "cls", "k", "a_id")
+        proposed = materialise(e.join(a, ["block", "cls", "k"], "left").select("group_id", "block", "cls", "e_ord", "a_id"), "proposals")
+        asked = proposed.where("a_id IS NOT NULL")
+        first = asked.groupBy("block", "a_id").agg(F.min("e_ord").alias("first"))
+        rivals = asked.join(first, ["block", "a_id"]).where("e_ord > first").groupBy("block").agg(F.min("e_ord").alias("stop"))
+        decided = materialise(proposed.join(rivals, "block", "left").withColumn("fixed", F.coalesce(F.col("e_ord") < F.col("stop"), F.lit(True))), "proposals")
+        now = decided.where("fixed AND a_id IS NOT NULL").select("group_id", "e_ord", "a_id")
+        matched = now if matched is None else matched.union(now)
+        members = decided.where("NOT fixed").select("group_id", "block", "cls", "e_ord")
+        if members.isEmpty():
+            return matched
+        choices = choices.join(now, ["group_id", "a_id"], "left_anti").join(members.select("block", "cls").distinct(), ["block", "cls"], "left_semi")
+        members, choices = materialise(members, "expectations"), materialise(choices, "choices")
+        if first_round:
+            name = F.concat_ws("\x1f", "group_id", "cls")
+            by_actual = choices.groupBy("group_id", "a_id").agg(F.min(name).alias("b"))
+            links = choices.join(by_actual, ["group_id", "a_id"]).select(name.alias("a"), "b")
+            block = materialise(connected_components(links, "rivals"), "rivals").withColumnRenamed("component", "c")
+            into = lambda rows: materialise(rows.withColumn("node", name).join(block, "node", "left").withColumn("block", F.coalesce("c", "node")).drop("node", "c"), "blocks")
+            members, choices, first_round = into(members), into(choices), False
 
 
 def evaluate(expected: DataFrame, actual: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_id, n_expected, n_actual, n_matched, n_missing, n_unexpected, pass) for groups(group_id, allow_unexpected)."""
-    matched = greedy_match(candidate_pairs(expected, actual)).groupBy("group_id").agg(F.count("*").alias("n_matched"))
+    matched = match_classes(expectation_classes(expected), class_choices(expected, actual)).groupBy("group_id").agg(F.count("*").alias("n_matched"))
     n = lambda df, name: df.groupBy("group_id").agg(F.count("*").alias(name))
     out = groups.join(n(expected, "n_expected"), "group_id", "left").join(n(actual, "n_actual"), "group_id", "left").join(matched, "group_id", "left").fillna(0)
     out = out.withColumns({"n_missing": F.col("n_expected") - F.col("n_matched"), "n_unexpected": F.col("n_actual") - F.col("n_matched")})

@@ -3,10 +3,17 @@ another key) and keeps the interval condition as a residual, so none is a produc
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.shared import materialise
+
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, slack: int = 2) -> Column:
     """Whether two ranges, widened by slack and cut at line 1, touch."""
@@ -67,3 +74,50 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str,
     cut = rows.withColumn(prefix, F.explode(folders))
     best = cut.join(prefixes.select(prefix).distinct(), prefix).groupBy(*row_id).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
     return rows.join(best, row_id, "left")
+
+
+def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+    """(kind, id, inside): for each of ranges(key, id, start, end[, span, module]) its parent and
+    for each of points(key, id, start, end) its innermost range, null without one; ids as texts.
+
+    Ranges of a key come in order of start, then longest first; the innermost is the shortest
+    that holds the whole of the other, of equal ones that of the smaller span, then one that is
+    no module, then the first in order. One sweep a task: it holds the ranges that are open at
+    the place it has come to. Rows are dealt by ranges of key and place, so a key may fill many
+    tasks; a task begins with the open ranges of its first key, which a join with the tasks'
+    first rows (one a task) gives. Crossing ranges are allowed; nested ones hold the open
+    ranges of a task to the depth of the nesting."""
+    name = F.to_json(F.struct(*key))
+    low, high = F.least("start", "end").cast("long"), F.greatest("start", "end").cast("long")
+    extra = [F.col(c).cast("long") if c in ranges.columns else F.lit(0).cast("long") for c in ("span", "module")]
+    outer = ranges.select(name.alias("k"), low.alias("lo"), F.lit(0).alias("kind"), (-high).alias("neg"), extra[0].alias("span"), extra[1].alias("module"), F.col("id").cast("string").alias("id"))
+    inner = points.select(name.alias("k"), low.alias("lo"), F.lit(1).alias("kind"), (-high).alias("neg"), F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("module"), F.col("id").cast("string").alias("id"))
+    order = ["k", "lo", "kind", "neg", "span", "id"]
+    placed = outer.union(inner).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(placed.withColumn("part", F.spark_partition_id()), "ranges")
+    starts = placed.groupBy("part").agg(F.min(F.struct("k", "lo")).alias("at")).select(F.col("part").alias("to"), "at.k", F.col("at.lo").alias("from"))
+    open_ = placed.where("kind = 0").join(F.broadcast(starts), "k").where((F.col("part") < F.col("to")) & (-F.col("neg") >= F.col("from")))  # a row a task
+    rows = placed.withColumn("carried", F.lit(0)).unionByName(open_.withColumn("part", F.col("to")).withColumn("carried", F.lit(-1)).select(*placed.columns, "carried"))
+    n_parts = max(1, starts.count())
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, active, ends, n = None, [], [], 0
+        for b in batches:
+            out = []
+            for part, carried, k, lo, kind, neg, span, module, id_ in b[["part", "carried", "k", "lo", "kind", "neg", "span", "module", "id"]].itertuples(index=False):
+                if (part, k) != now:
+                    now, active, ends = (part, k), [], []
+                hi = -neg
+                while ends and ends[0][0] < lo and not carried:
+                    gone = heappop(ends)[1]
+                    del active[bisect_left(active, gone)]
+                if not carried:
+                    out.append((kind, id_, next((r[-1] for r in active if r[4] >= hi), None)))
+                if kind == 0:
+                    n += 1
+                    row = (hi - lo, span, module, n, hi, id_)
+                    insort(active, row)
+                    heappush(ends, (hi, row))
+            yield pd.DataFrame(out, columns=["kind", "id", "inside"])
+
+    return rows.repartition(n_parts, "part").sortWithinPartitions("part", "carried", *order).mapInPandas(sweep, "kind int, id string, inside string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as t
+from riskloom.functions.identity import type_value
 from riskloom.shared import materialise
 
 Side = Callable[[str], Column]
@@ -20,6 +21,14 @@ TEXTS = ["key", "rule", "cand", "entry", "sym", "anchor_id", "overlap_id", "repo
 LINES = {"lo": "start_line", "hi": "end_line", "chunk": "chunk_index"}
 
 
+def merge_facts(flat: DataFrame) -> DataFrame:
+    """Flattened findings with what decides merges: rule and candidate under their usual names, keys, words."""
+    return flat.withColumns({
+        "key": F.coalesce(F.nullif("stored_key", F.lit("")), F.col("identity_v1")), "rule": type_value(F.col("merge_rule")), "cand": type_value(F.col("candidate")), "entry": t.entry_point_token(F.col("entry_point")),
+        "sym": t.entry_point_token(F.col("symbol")), "kind_token": t.type_token(F.col("kind")), "words": t.summary_tokens(F.col("finding_text")),
+    })
+
+
 def same(a: Side, b: Side, name: str) -> Column:
     return (a(name) != "") & (a(name) == b(name))
 
@@ -89,8 +98,6 @@ def deciding(a: Side, b: Side) -> Column:
 
 def decision_facts(flat: DataFrame) -> DataFrame:
     """What decides merges, one row a finding, no nulls: texts are empty and numbers -1 where unknown."""
-    from riskloom.operators.dedupe import merge_facts
-
     facts = merge_facts(flat)
     return facts.select("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in TEXTS], F.coalesce("words", F.array().cast("array<string>")).alias("words"), *[F.coalesce(v, F.lit(-1)).cast("long").alias(k) for k, v in LINES.items()])
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions import severity
 from riskloom.functions import text as t
+from riskloom.operators import dedupe
+from riskloom.shared import materialise
 
 #: Patterns over a normal title that name a bucket, first wins.
 TITLE_BUCKETS = {
@@ -83,46 +83,64 @@ def static_groups(findings: DataFrame) -> DataFrame:
     return keyed.groupBy("severity", "source", "title_key").agg(F.count("*").alias("n_findings"), F.count_distinct("location").alias("n_locations"), F.count_distinct("title").alias("n_titles"), F.min("ord").alias("first_ord"))
 
 
+#: A title joins a group from this share of common words on: with three words or fewer on one side, and with more.
+SHORT_SHARE, LONG_SHARE = 0.55, 0.68
+
+
+def title_pairs(buckets: DataFrame) -> DataFrame:
+    """(severity, source, bucket, other, score, passes): for each of buckets(severity, source,
+    bucket, words, first) the others that it could join. They meet over their rarest words
+    alone; those without words are all alike and can only join the first of them."""
+    block = ["severity", "source"]
+    named = buckets.withColumn("name", F.to_json(F.struct(*block, "bucket")))
+    some = dedupe.similar_pairs(named.where(F.size("words") > 0), block, "name", "words", SHORT_SHARE)
+    both = some.select("a", "b", "score").unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    blank = named.where(F.size("words") == 0).select(*block, F.col("name").alias("a"), "first")
+    alike = blank.join(blank.groupBy(*block).agg(F.min_by("a", "first").alias("b")), block).where("a <> b")
+    both = both.unionByName(alike.select("a", "b", F.lit(1.0).alias("score")))
+    side = lambda x, *more: named.select(F.col("name").alias(x), *more)
+    rows = both.join(side("a", *block, "bucket", F.size("words").alias("n")), "a").join(side("b", F.col("bucket").alias("other"), F.size("words").alias("m")), "b")
+    return rows.select(*block, "bucket", "other", "score", (F.col("score") >= F.when(F.least("n", "m") <= 3, SHORT_SHARE).otherwise(LONG_SHARE)).alias("passes"))
+
+
 def fuzzy_groups(findings: DataFrame) -> DataFrame:
-    """(ord, group_ord): each finding joins the group of its bucket, else the most similar
-    earlier group of its severity and source (0.55 with three words or fewer, 0.68
-    otherwise), else it opens one. Titles are reduced to distinct buckets first: their
-    number, not that of the findings, is what one walk sees."""
-    rows = findings.select("ord", "severity", "source", title_bucket(F.col("title")).alias("bucket"), title_tokens(F.col("title")).alias("words"))
-    buckets = rows.groupBy("severity", "source", "bucket").agg(F.min("ord").alias("first"), F.min_by("words", "ord").alias("words"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, groups = None, []
-        for b in batches:
-            out = []
-            for level, source, bucket, first, words in b[["severity", "source", "bucket", "first", "words"]].itertuples(index=False):
-                if (level, source) != now:
-                    now, groups = (level, source), []
-                mine, best, score = set(words), None, -1.0
-                for k, (_, theirs) in enumerate(groups):
-                    both, either = len(mine & theirs), len(mine | theirs)
-                    s = both / either if either else 1.0
-                    if s > score:
-                        best, score = k, s
-                small = min(len(mine), len(groups[best][1])) if best is not None else 0
-                if best is not None and score >= (0.55 if small <= 3 else 0.68):
-                    home = groups[best][0]
-                else:
-                    home = first
-                    groups.append((first, mine))
-                out.append((level, source, bucket, home))
-            yield pd.DataFrame(out, columns=["severity", "source", "bucket", "group_ord"])
-
-    homes = buckets.repartition("severity", "source").sortWithinPartitions("severity", "source", "first").mapInPandas(walk, "severity string, source string, bucket string, group_ord long")
-    return rows.join(homes, ["severity", "source", "bucket"]).select("ord", "group_ord")
+    """(ord, group_ord): in order, each finding joins the group that its own bucket opened,
+    else the most similar earlier group of its severity and source (the first of equals) if
+    that is similar enough, else it opens one.
+
+    Only distinct buckets are compared, through an inverted index, once. What is then open is
+    which finding of a bucket opens a group, if any; that depends on earlier groups alone, so
+    guesses are made better in rounds of joins until none changes: the first guess has every
+    bucket open a group with its first finding."""
+    by = ["severity", "source", "bucket"]
+    rows = materialise(findings.select("ord", F.coalesce("severity", F.lit("")).alias("severity"), F.coalesce("source", F.lit("")).alias("source"), title_bucket(F.coalesce("title", F.lit(""))).alias("bucket"), title_tokens(F.coalesce("title", F.lit(""))).alias("words")), "titles")
+    places = rows.select(*by, "ord")
+    pairs = materialise(title_pairs(rows.groupBy(*by).agg(F.first("words").alias("words"), F.min("ord").alias("first"))), "title-pairs")
+    opened = materialise(places.groupBy(*by).agg(F.min("ord").alias("opened")), "groups")
+    first = opened.withColumnRenamed("opened", "first")
+    while True:
+        # a bucket's most similar group as time goes on: the steps at which a better one opens
+        late = pairs.join(opened.select("severity", "source", F.col("bucket").alias("other"), F.col("opened").alias("since")), ["severity", "source", "other"])
+        along = W.partitionBy(*by).orderBy("since")
+        better = F.col("score") > F.coalesce(F.max("score").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1.0))
+        steps = late.withColumn("better", better).where("better").withColumn("until", F.lead("since").over(along))
+        steps = materialise(steps.select(*by, "since", "until", "passes"), "title-steps")
+        after = places.join(steps.where("NOT passes"), by).where((F.col("ord") > F.col("since")) & (F.col("until").isNull() | (F.col("ord") < F.col("until")))).groupBy(*by).agg(F.min("ord").alias("alone"))
+        before = first.join(steps.groupBy(*by).agg(F.min("since").alias("since")), by, "left").where("since IS NULL OR first < since").select(*by, F.col("first").alias("alone"))
+        now = materialise(after.union(before).groupBy(*by).agg(F.min("alone").alias("opened")), "groups")
+        if now.exceptAll(opened).isEmpty() and opened.exceptAll(now).isEmpty():
+            break
+        opened = now
+    own = places.join(opened, by, "left")
+    joined = own.where("opened IS NULL OR ord < opened").select(*by, "ord")
+    home = joined.join(steps.where("passes"), by).where((F.col("ord") > F.col("since")) & (F.col("until").isNull() | (F.col("ord") < F.col("until"))))
+    return own.where("ord >= opened").select("ord", F.col("opened").alias("group_ord")).union(home.select("ord", F.col("since").alias("group_ord")))
 
 
 def theme_summary(groups: DataFrame, title: str = "title") -> DataFrame:
     """(theme, n_groups, worst, position): themes by worst severity, then count, then name."""
     r = F.max(severity.rank(F.col("severity"), lowest=1, unknown=1))
     per = groups.groupBy(theme(F.col(title)).alias("theme")).agg(F.count("*").alias("n_groups"), r.alias("r"))
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.orderBy((F.col("r") * 1000 + F.col("n_groups")).desc(), "theme"))  # as many rows as there are themes
     return per.select("theme", "n_groups", severity.by_rank(F.col("r") - 1).alias("worst"), place.alias("position"))
 

@@ -355,7 +355,7 @@ def detector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule_values() -> str:
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
-    return ",\n".join(f"('{r[0]}', '{r[1]}', {quoted(r[3])}, {quoted(r[4])}, {quoted(r[5])})" for r in rules.rule_rows())
+    return ",\n".join(f"('{r[0]}', '{r[1]}', {quoted(r[3])}, {quoted(r[4])}, {quoted(r[5])})" for r in rules.RULES)
 
 
 SIGNALS_OF_EVENTS = ["public_entrypoint", "api_handler", "raw_sql_sink", "untrusted_input_present", "secrets_access", "webhook_handler", "authn_present", "frontend_dom_write", "exec_sink", "orm_query_sink"]
@@ -437,7 +437,7 @@ def exact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.exact_duplicates(identity.flatten(_findings(spark, sf_dir)).select("ord", "identity_v1"), ["identity_v1"], "ord").select("ord", "n_copies")
 
 
-@query()
+@query(f"""WITH {IDENTITY_SQL} SELECT ord, min(ord) OVER (PARTITION BY path, s, rule, lang) AS cluster FROM f""")
 def greedy_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.greedy_clusters(identity.flatten(_findings(spark, sf_dir)))
 

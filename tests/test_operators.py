@@ -4,7 +4,6 @@ import hashlib
 import json
 import random
 import re
-from collections import namedtuple
 
 import duckdb
 import pytest
@@ -95,7 +94,7 @@ def test_rule_routes(spark):
     got = {}
     for r in rules.select_rules(c, rules.catalogue(spark)).orderBy("chunk_uid", "position").collect():
         got.setdefault(r.chunk_uid, []).append(r)
-    assert len(rules.rule_rows()) == 57
+    assert len(rules.RULES) == 57
     assert got["a"][0].rule_id == "sql_injection" and got["a"][0].strategy == "signals_primary"
     assert [r.rule_id for r in got["b"]] == ["permissive_cors", "public_storage_bucket", "missing_security_headers"] and got["b"][0].strategy == "role_fallback"
     assert [r.rule_id for r in got["c"]] == rules.BASELINE
@@ -168,28 +167,6 @@ def findings(rng, n):
     return rows
 
 
-def test_blocked_clusters_equal_one_walk(spark):
-    """Folding blocks apart gives what folding all rows in order gives."""
-    for seed in range(3):
-        flat = identity.flatten(spark.createDataFrame(findings(random.Random(seed), 120), FINDING))
-        got = {r.ord: r.cluster for r in dedupe.greedy_clusters(flat).collect()}
-        facts = dedupe.merge_facts(flat).withColumns({"lo": F.coalesce("start_line", F.lit(-1)), "hi": F.coalesce("end_line", F.lit(-1)), "chunk": F.coalesce("chunk_index", F.lit(-1))}).orderBy("ord")
-        names = ["ord", "key", "rule", "cand", "entry", "sym", "anchor_id", "overlap_id", "repo_name", "identity_type", "dedupe_category", "canonical_path", "kind_token", "words", "lo", "hi", "chunk"]
-        Row = namedtuple("Row", names)
-        clusters = []
-        for r in facts.select(*names).collect():
-            row = Row(*r)
-            for k, c in enumerate(clusters):
-                if dedupe.mergeable(c, row):
-                    clusters[k] = c._replace(**{f: getattr(row, f) for f in ("anchor_id", "overlap_id", "canonical_path") if not getattr(c, f)})
-                    assert got[row.ord] == c.ord
-                    break
-            else:
-                clusters.append(row)
-                assert got[row.ord] == row.ord
-        assert len(set(got.values())) < 120
-
-
 def test_merged_findings(spark):
     rows = [(0, "idor", "llm", "low", None, "a b", '{"file":"x.ts","line":3}', "{}"), (1, "idor", "llm", "high", None, "a b c", '{"file":"x.ts","line":3}', '{"tool":"t2"}')]
     flat = identity.flatten(spark.createDataFrame(rows, FINDING))

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import walks
 from riskloom.functions import identity, routes
 from riskloom.operators import chunking, dedupe, projections
 
@@ -40,7 +41,7 @@ def test_summaries_that_repeat_a_file_finding_go(spark):
     facts = dedupe.merge_facts(flat)
     got = {(r.a, r.b): r.s for r in facts.alias("a").join(facts.alias("b"), F.col("a.ord") < F.col("b.ord")).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), projections.native_similar("a", "b").alias("s")).collect()}
     local = {r.ord: r for r in facts.collect()}
-    assert got == {(a, b): dedupe.similar(local[a], local[b]) and not dedupe._differ(local[a].repo_name, local[b].repo_name) for a, b in got}
+    assert got == {(a, b): walks.similar(local[a], local[b]) and not walks._differ(local[a].repo_name, local[b].repo_name) for a, b in got}
 
 
 def test_rule_scope(spark):
