@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from riskloom.functions import text as t
 from riskloom.operators.ranking import numbered
 from riskloom.shared import connected_components, materialise
 
+#: (expected, actual) -> members(group_id, cls, e_ord) and choices(group_id, cls, a_id, a_key[, score]).
+Comparator = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 #: Other names of rules in expectations.
 RULE_ALIASES = {
     "rate_limiting": "missing_rate_limiting missing_rate_limit frontend_login_rate_limit throttling login_throttling request_throttling", "audit_logging": "missing_audit_logging missing_audit_log",
@@ -119,9 +123,12 @@ def match_classes(members: DataFrame, choices: DataFrame) -> DataFrame:
             members, choices, first_round = into(members), into(choices), False
 
 
-def evaluate(expected: DataFrame, actual: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group_id, n_expected, n_actual, n_matched, n_missing, n_unexpected, pass) for groups(group_id, allow_unexpected)."""
-    matched = match_classes(expectation_classes(expected), class_choices(expected, actual)).groupBy("group_id").agg(F.count("*").alias("n_matched"))
+def evaluate(expected: DataFrame, actual: DataFrame, groups: DataFrame, choose: Comparator | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(group_id, n_expected, n_actual, n_matched, n_missing, n_unexpected, pass) for groups(group_id, allow_unexpected).
+    `choose` is the comparator: it names the class of each expectation and gives the choices of each class; `keep` filters what counts as found."""
+    actual = keep(actual) if keep else actual
+    members, choices = choose(expected, actual) if choose else (expectation_classes(expected), class_choices(expected, actual))
+    matched = match_classes(members, choices).groupBy("group_id").agg(F.count("*").alias("n_matched"))
     n = lambda df, name: df.groupBy("group_id").agg(F.count("*").alias(name))
     out = groups.join(n(expected, "n_expected"), "group_id", "left").join(n(actual, "n_actual"), "group_id", "left").join(matched, "group_id", "left").fillna(0)
     out = out.withColumns({"n_missing": F.col("n_expected") - F.col("n_matched"), "n_unexpected": F.col("n_actual") - F.col("n_matched")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import identity
 from riskloom.functions import text as t
-from riskloom.operators import dedupe, evals, graph, intervals, merging, report
+from riskloom.operators import dedupe, evals, evidence, graph, intervals, merging, report
 from riskloom.plans.queries import EDGES_SQL, IDENTITY_SQL, QUERIES, _docs, _edges, _findings, query
 from riskloom.session import table
 
@@ -76,6 +76,22 @@ def match_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.match_classes(evals.expectation_classes(expected), evals.class_choices(expected, actual))
 
 
+@query("""WITH n AS (SELECT n_nationkey AS k, 'r' || n_regionkey AS g FROM nation), a AS (SELECT g, k, c_custkey % 4 AS m FROM customer JOIN n ON c_nationkey = k),
+          h AS (SELECT g, count(*) AS n_actual, count(DISTINCT CASE WHEN m = k % 2 THEN k END) AS n_matched FROM a GROUP BY g), e AS (SELECT g, count(*) AS n_expected FROM n GROUP BY g)
+          SELECT g AS group_id, n_expected, n_actual, n_matched, n_expected - n_matched AS n_missing, n_actual - n_matched AS n_unexpected, n_expected = n_matched AS pass FROM e JOIN h USING (g)""")
+def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are tables whose row security is expected to be in one of two states; each customer is a finding that says something of it."""
+    table_of = F.concat(F.lit("public."), F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("group_id"), table_of.alias("object"))
+    names = [r["object"].split(".")[1] for r in n.select("object").collect()]  # a specification's tables
+    wanted = F.when(F.col("n_nationkey") % 2 == 0, "rls_disabled").otherwise("rls_no_policies")
+    expected = n.select("group_id", F.col("n_nationkey").alias("ord"), F.lit("").alias("id"), F.lit("data/*/schema.json").alias("filepath"), F.concat("object", F.lit(": as expected")).alias("expectation"), F.lit("").alias("identity_key"), wanted.alias("rule_id"))
+    said = F.element_at(F.array(*map(F.lit, [": RLS disabled", ": RLS enabled, no policies", ": RLS enabled, 3 policies", " is slow"])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    actual = c.select("group_id", F.col("c_custkey").cast("string").alias("id"), F.lit("data/x/schema.json").alias("filepath"), F.lit("").alias("identity_key"), F.concat("object", said).alias("summary"), F.lit("llm").alias("source"), F.lit(None).cast("string").alias("type"), F.lit("{}").alias("details"))
+    return evals.evaluate(expected, actual, n.select("group_id").distinct().withColumn("allow_unexpected", F.lit(True)), evidence.by_evidence(names))
+
+
 RANGES_SQL = """r AS (SELECT l_suppkey AS k, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS s, CAST(epoch(l_shipdate) AS BIGINT) // 86400 + CAST(l_quantity AS BIGINT) AS e, l_linenumber AS span FROM lineitem),
           o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e DESC, span, id) AS n FROM r)"""
 
