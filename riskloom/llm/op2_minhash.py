@@ -19,7 +19,8 @@ of them gives the pairs across them that can still be links, each in the first r
 that both share. In large regions an exact bound keeps their number down: a pair
 shares no more than the lesser number of common shingles plus the rare ones that both
 have (rare: RARE sets of large regions at most have it). So only rows whose common
-shingles alone could suffice meet each other there, dealt in blocks; all others can
+shingles alone could suffice meet there, the rows outside of the region's largest component all
+others, those within it only these, dealt in blocks; the rest can
 only be linked by a rare shingle, and meet in a bucket of such shingles, RARE rows
 for each, whatever the size of the region. Pairs are verified too. So no link is lost
 to the choice of candidates in round A, and copies are never expanded into all pairs.
@@ -186,21 +187,36 @@ def forest_edges(rows: DataFrame, least: int, share: int) -> DataFrame:
     return pairs.groupBy(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).agg(F.min("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("rep"))
 
 
+MET = ["tree", "key", "x", "y", "sig", "marks", "rep", "n", "common", "rare", "component", "block"]
+
+
+def dealt(able: DataFrame) -> DataFrame:
+    """Rows of the regions that hold several components, in groups (x, y) of two blocks. A
+    region's largest component is within; its rows meet the outsiders alone, and these meet
+    all. So a region of n rows with o outsiders moves n * ceil(o / BLOCK) + o * ceil(n / BLOCK)
+    rows, however large its one component is."""
+    per = able.groupBy("tree", "key", "component").agg(F.count("*").alias("rows"))
+    open_ = per.groupBy("tree", "key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("most")).where("rows > most.rows")
+    out, within = F.ceil((F.col("rows") - F.col("most.rows")) / BLOCK).cast("int"), F.ceil(F.col("most.rows") / BLOCK).cast("int")
+    open_ = open_.select("tree", "key", F.col("most.component").alias("main"), out.alias("out"), within.alias("within"))
+    at = F.xxhash64("rep")
+    inner = F.col("component") == F.col("main")
+    home = F.when(inner, F.col("out") + F.pmod(at, F.col("within"))).otherwise(F.pmod(at, F.col("out"))).cast("int")
+    others = F.when(inner, F.sequence(F.lit(0), F.col("out") - 1)).otherwise(F.sequence(F.lit(0), F.col("out") + F.col("within") - 1))
+    met = able.join(open_, ["tree", "key"]).withColumn("block", home).withColumn("other", F.explode(others))
+    return met.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).withColumn("rare", F.lit(None).cast("array<long>")).select(*MET)
+
+
 def cross_pairs(rows: DataFrame, least: int, share: int) -> DataFrame:
     """Round B: pairs (hub, rep) across components that can be links; rows(tree, key, sig,
     marks, rep, n, common, rare, component, m): marks holds the key in each order, common
     the number of shingles that are not rare, m the region's size. A row of a large region
     that has too few common shingles for any partner can only be linked by rare ones."""
-    schema = ["tree", "key", "x", "y", "sig", "marks", "rep", "n", "common", "rare", "component", "block"]
-    able = rows.where((F.col("m") <= LARGE) | (F.col("common") * 100 >= F.col("n") * share))
-    open_ = able.groupBy("tree", "key").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    able = able.join(open_, ["tree", "key"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    own = able.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    by_common = own.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).withColumn("rare", F.lit(None).cast("array<long>")).select(*schema)
+    by_common = dealt(rows.where((F.col("m") <= LARGE) | (F.col("common") * 100 >= F.col("n") * share)))
     few = materialise(rows.where("size(rare) > 0").drop("tree", "key", "m").dropDuplicates(["rep"]), "minhash-rare")
     buckets = max(1, (few.agg(F.sum(F.size("rare")).alias("n")).first()["n"] or 0) // BLOCK)
     met = few.withColumn("key", F.explode(F.array_distinct(F.transform("rare", lambda t: F.pmod(t, F.lit(buckets))))))
-    by_rare = met.withColumn("tree", F.lit(TOKENS)).withColumn("x", F.lit(buckets)).withColumn("y", F.lit(0)).withColumn("block", F.lit(0)).select(*schema)
+    by_rare = met.withColumn("tree", F.lit(TOKENS)).withColumn("x", F.lit(buckets)).withColumn("y", F.lit(0)).withColumn("block", F.lit(0)).select(*MET)
 
     def close(i: np.ndarray, j: np.ndarray, sig: np.ndarray) -> np.ndarray:
         return np.concatenate([(sig[i[k : k + 65536]] == sig[j[k : k + 65536]]).sum(axis=1) >= least for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
