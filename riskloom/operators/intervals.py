@@ -44,12 +44,18 @@ def smallest_enclosing(inner: DataFrame, outer: DataFrame, key: list[str], inner
     return inner.join(best, inner_id, "left").select(*inner.columns, *[F.col(f"hit__.{c}").alias(c) for c in take])
 
 
-def max_overlap(left: DataFrame, right: DataFrame, key: list[str], left_range: tuple[str, str], right_range: tuple[str, str], order: str, take: list[str], left_id: list[str]) -> DataFrame:
-    """left with the range of the same key that shares most lines with it (the first of equals), else the key's first range."""
+def best_overlap(left: DataFrame, right: DataFrame, key: list[str], left_range: tuple[str, str], right_range: tuple[str, str], order: str, take: list[str], left_id: list[str], unlike: Column | None = None) -> DataFrame:
+    """(left_id, take, shared): for each row of left the range of the same key that shares most lines with it, the first of equals; `unlike` says which ranges count for a row."""
     (a, b), (s, e) = left_range, right_range
     shared = F.greatest(F.lit(0), F.least(F.col(b), F.col(e)) - F.greatest(F.col(a), F.col(s)) + 1)
-    best = left.join(right, key).groupBy(*left_id).agg(F.max_by(F.struct(*take, shared.alias("shared")), F.struct(shared.alias("n"), (-F.col(order)).alias("o"))).alias("hit__"))
-    return left.join(best, left_id, "left").select(*left.columns, *[F.col(f"hit__.{c}").alias(c) for c in [*take, "shared"]])
+    met = left.join(right, key)
+    best = (met if unlike is None else met.where(unlike)).groupBy(*left_id).agg(F.max_by(F.struct(*take, shared.alias("shared")), F.struct(shared.alias("n"), (-F.col(order)).alias("o"))).alias("hit__"))
+    return best.select(*left_id, "hit__.*")
+
+
+def max_overlap(left: DataFrame, right: DataFrame, key: list[str], left_range: tuple[str, str], right_range: tuple[str, str], order: str, take: list[str], left_id: list[str]) -> DataFrame:
+    """left with its best_overlap(), which is the key's first range where none shares a line."""
+    return left.join(best_overlap(left, right, key, left_range, right_range, order, take, left_id), left_id, "left").select(*left.columns, *take, "shared")
 
 
 def merge_intervals(ranges: DataFrame, key: list[str], start: str, end: str, gap: int = 1) -> DataFrame:

@@ -221,9 +221,8 @@ def max_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.floor(F.unix_timestamp("l_shipdate") / 86400)
     ranges = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", s.alias("a"), (s + F.col("l_quantity").cast("long")).alias("b"))
     right = ranges.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("a").alias("s"), F.col("b").alias("e"))
-    shared = F.greatest(F.lit(0), F.least("b", "e") - F.greatest("a", "s") + 1)
-    best = ranges.join(right, "l_orderkey").where("other <> l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max_by(F.struct("other", shared.alias("shared")), F.struct(shared.alias("n"), (-F.col("other")).alias("o"))).alias("h"))
-    return best.select("l_orderkey", "l_linenumber", "h.other", "h.shared")
+    best = intervals.best_overlap(ranges, right, ["l_orderkey"], ("a", "b"), ("s", "e"), "other", ["other"], ["l_orderkey", "l_linenumber"], F.col("other") != F.col("l_linenumber"))
+    return best.select("l_orderkey", "l_linenumber", "other", "shared")
 
 
 @query(f"""WITH {HOURS_SQL}, o AS (SELECT DISTINCT user_id, h AS s, h + 3 AS e FROM x),

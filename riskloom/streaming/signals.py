@@ -55,13 +55,12 @@ def budget_state(requests: DataFrame, capacity: int, refill_ms: int) -> DataFram
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (float(capacity), 0)
         rows = []
-        for b in batches:
-            for ts in b.sort_values("ts")["ts"]:
-                now = int(ts.timestamp() * 1000)
-                tokens = min(float(capacity), tokens + max(0, now - last) / refill_ms) if last else tokens
-                allowed = tokens >= 1
-                tokens, last = tokens - allowed, max(last, now)
-                rows.append((key[0], ts, allowed))
+        for ts in pd.concat([b["ts"] for b in batches]).sort_values():  # a group's times of one batch, however they come
+            now = int(ts.timestamp() * 1000)
+            tokens = min(float(capacity), tokens + max(0, now - last) / refill_ms) if last else tokens
+            allowed = tokens >= 1
+            tokens, last = tokens - allowed, max(last, now)
+            rows.append((key[0], ts, allowed))
         state.update((float(tokens), last))
         yield pd.DataFrame(rows, columns=["provider", "ts", "allowed"])
 
