@@ -90,10 +90,12 @@ def match_classes(members: DataFrame, choices: DataFrame) -> DataFrame:
     Rounds of joins instead of a walk. In a round the k-th open expectation of a class
     proposes to the k-th open choice of the class. Up to the first expectation of a block that
     proposes to what an earlier one proposes to as well, proposals are what the walk gives:
-    the choices before have been taken by the class's own earlier members. These are fixed, the
-    rest goes on without what they took. So a group of like expectations takes one round,
-    whatever its size, and rows are numbered over as many tasks as they fill. A block is a
-    group at first, then what is connected by shared choices."""
+    the choices before have been taken by the class's own earlier members. Behind it, the
+    members of a class up to the first that proposes to what another class, which begins before
+    it, could take are settled as well. These are fixed, the rest goes on without what they
+    took. So a group of like expectations takes one round, whatever its size, and rows are
+    numbered over as many tasks as they fill. A block is a group at first, then what is
+    connected by shared choices."""
     worth = -F.col("score") if "score" in choices.columns else F.lit(0.0)
     ranked = choices.groupBy("group_id", "cls", "a_id").agg(F.min(F.struct(worth.alias("worth"), "a_key")).alias("w")).select("group_id", F.col("group_id").alias("block"), "cls", "a_id", "w.worth", "w.a_key")
     choices = materialise(ranked, "choices")
@@ -105,8 +107,19 @@ def match_classes(members: DataFrame, choices: DataFrame) -> DataFrame:
         proposed = materialise(e.join(a, ["block", "cls", "k"], "left").select("group_id", "block", "cls", "e_ord", "a_id"), "proposals")
         asked = proposed.where("a_id IS NOT NULL")
         first = asked.groupBy("block", "a_id").agg(F.min("e_ord").alias("first"))
-        rivals = asked.join(first, ["block", "a_id"]).where("e_ord > first").groupBy("block").agg(F.min("e_ord").alias("stop"))
-        decided = materialise(proposed.join(rivals, "block", "left").withColumn("fixed", F.coalesce(F.col("e_ord") < F.col("stop"), F.lit(True))), "proposals")
+        rivals = materialise(asked.join(first, ["block", "a_id"]).where("e_ord > first").groupBy("block").agg(F.min("e_ord").alias("stop")), "rivals")
+        if rivals.isEmpty():
+            now = asked.select("group_id", "e_ord", "a_id")
+            return now if matched is None else matched.union(now)
+        begins = members.join(rivals.select("block"), "block", "left_semi").groupBy("block", "cls").agg(F.min("e_ord").alias("begin"))
+        wanted = choices.join(begins, ["block", "cls"]).select("block", "a_id", "cls", "begin")
+        one = wanted.groupBy("block", "a_id").agg(F.min(F.struct("begin", "cls")).alias("one"))
+        other = wanted.join(one, ["block", "a_id"]).where("cls <> one.cls").groupBy("block", "a_id").agg(F.min("begin").alias("other"))
+        seen = asked.join(one, ["block", "a_id"]).join(other, ["block", "a_id"], "left")
+        risky = seen.where(F.col("e_ord") >= F.when(F.col("one.cls") == F.col("cls"), F.col("other")).otherwise(F.col("one.begin")))
+        halts = risky.groupBy("block", "cls").agg(F.min("e_ord").alias("halt"))
+        sure = F.col("stop").isNull() | (F.col("e_ord") < F.col("stop")) | F.col("halt").isNull() | (F.col("e_ord") < F.col("halt"))
+        decided = materialise(proposed.join(rivals, "block", "left").join(halts, ["block", "cls"], "left").withColumn("fixed", sure), "proposals")
         now = decided.where("fixed AND a_id IS NOT NULL").select("group_id", "e_ord", "a_id")
         matched = now if matched is None else matched.union(now)
         members = decided.where("NOT fixed").select("group_id", "block", "cls", "e_ord")
