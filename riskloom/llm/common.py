@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.shared import connected_components, fresh_path, materialise, shared_dir
 
 __all__ = ["WordHash", "connected_components", "forget", "free_name", "fresh_path", "materialise", "mix", "open_fs", "qualified", "shared_dir", "shingle_hashes", "space_words"]
-_MEMO_WORDS = 1_500_000
+_MEMO_WORDS = 300_000
 
 
 def forget(df: DataFrame) -> None:

@@ -53,7 +53,7 @@ _memo = _Hash()
 def ngram_buckets(text: str | None) -> np.ndarray:
     """Buckets of all words and word pairs of a text; a word after itself is one pair, whatever the word."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass")) if text else []
-    if len(_memo) > 1_000_000:
+    if len(_memo) > 300_000:
         _memo.clear()
     h = np.array([_memo[w] for w in words], np.uint64)
     pairs = np.where(h[:-1] == h[1:], np.uint64(1), mix(h[:-1] * np.uint64(3) + h[1:]))

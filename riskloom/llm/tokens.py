@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 END_ID = 2
-_MEMO_WORDS = 900_000
+_MEMO_WORDS = 300_000
 #: what str.split() cuts at, without U+001C to U+001F, which the tokenizer encodes
 _WORDS = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 _ODD = "\x1c\x1d\x1e\x1f"
