@@ -112,6 +112,11 @@ def category_value(c: Column) -> Column:
     return F.when(F.coalesce(token, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(F.element_at(t.map_of(aliases), token), inferred))
 
 
+def of_schema_tool(tool: Column) -> Column:
+    """Whether a finding's tool may name the category of the schema scan."""
+    return F.coalesce(F.lower(tool).isin("supabase", "static_supabase"), F.lit(False))
+
+
 def flatten(findings: DataFrame, fallback_repo: str = "") -> DataFrame:
     """Adds the attributes of findings(ord, type, source, severity, category, summary, location, details)."""
     d, loc = "details", "location"
@@ -130,7 +135,7 @@ def flatten(findings: DataFrame, fallback_repo: str = "") -> DataFrame:
     })
     seen = F.concat_ws(" ", *[t.present(c) for c in (F.when(category_mentions(F.col("raw_category")) <= 1, F.col("raw_category")), F.col("summary"), F.col("merge_rule"), F.col("kind"), F.col("file_path"), F.col("repo_path"), _json(d, "rationale"), _json(d, "recommendation"), _json(d, "description"))])
     named = category_value(F.col("raw_category"))
-    allowed = F.lower("tool").isin("supabase", "static_supabase")
+    allowed = of_schema_tool(F.col("tool"))
     kind_token = t.type_token(F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("merge_rule")))
     words = F.lower(F.concat_ws(" ", F.coalesce("summary", F.lit("")), "merge_rule", "kind"))
     return out.withColumns({

@@ -148,6 +148,21 @@ def evaluate(expected: DataFrame, actual: DataFrame, groups: DataFrame, choose:
     return out.withColumn("pass", (F.col("n_missing") == 0) & (F.col("allow_unexpected") | (F.col("n_unexpected") == 0))).drop("allow_unexpected")
 
 
+def chosen(specs: DataFrame, spec: str | None = None, group: str | None = None) -> DataFrame:
+    """specs(spec_id, repo_name, group_id, ...) that a run asks for: by id or repository name, and by group; blank and `all` ask for every one."""
+    wanted, part = (spec or "").strip(), (group or "").strip()
+    by_spec = F.lit(True) if wanted in ("", "all") else (F.col("spec_id") == wanted) | (F.col("repo_name") == wanted)
+    return specs.where(by_spec & (F.lit(True) if part in ("", "all") else F.col("group_id") == part))
+
+
+def finding_ids(flat: DataFrame) -> DataFrame:
+    """Flattened findings with an id for evaluations: the key that their details carry, else the
+    one built from them, else one made of summary, place and order."""
+    details = F.from_json("details", "map<string,string>")
+    made = F.concat_ws(":", F.lit("auto"), t.hash32(F.concat_ws("|", F.coalesce("summary", F.lit("")), F.coalesce("location", F.lit("{}")))), F.col("ord").cast("string"))
+    return flat.withColumn("id", F.coalesce(F.nullif(F.coalesce(details["identityKey"], details["identity_key"]), F.lit("")), F.nullif("identity_v1", F.lit("")), made))
+
+
 def spec_status(groups: DataFrame, spec: str) -> DataFrame:
     """(spec, status, counts): fail if a group fails, skipped without groups that expect anything."""
     status = F.when(F.sum("n_expected") == 0, "skipped").when(F.bool_and("pass"), "pass").otherwise("fail")

@@ -78,6 +78,21 @@ def with_keys(flat: DataFrame) -> DataFrame:
     return flat.withColumn("identity_key", F.coalesce(F.nullif("stored_key", F.lit("")), "identity_v1")).withColumn("identity_key_v2", F.col("identity_v2"))
 
 
+def debug_rows(flat: DataFrame) -> DataFrame:
+    """(ord, summary, severity, ..., place): what merging sees of each flattened finding; empty texts are null."""
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    path = F.coalesce(said("canonical_path"), said("file_path"))
+    place = F.struct(path.alias("filepath"), "start_line", "end_line", "chunk_index", said("repo_path").alias("repo_path"))
+    named = {"source": "tool", "type": "identity_type", "category": "category_name", "rule_id": "rule_id", "candidate_type": "candidate", "dedupe_key": "identity_key", "entry_point": "entry_point", "anchor_id": "anchor_id", "overlap_id": "overlap_id", "repo_name": "repo_name"}
+    return with_keys(flat).select("ord", "summary", "severity", *[said(c).alias(name) for name, c in named.items()], place.alias("place"))
+
+
+def sampling_chunks(stored: DataFrame) -> DataFrame:
+    """Stored chunks as the samplers take them."""
+    columns = {"filepath": "path", "chunk_index": "chunk_index", "start_line": "start_line", "end_line": "end_line", "content": "content", "chunk_format": "chunk_format", "overlap_group_id": "overlap_group_id"}
+    return stored.select(*[(F.col(c) if c in stored.columns else F.lit(None).cast("string")).alias(name) for c, name in columns.items()])
+
+
 def worst_known(flat: DataFrame, most: int, whole_details: bool = False) -> DataFrame:
     """The `most` worst of the findings already known, for a prompt: the first of each identity key,
     by falling severity and then order, with path and lines only and, unless whole_details, tool and

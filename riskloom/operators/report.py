@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import severity
 from riskloom.functions import text as t
 from riskloom.operators import dedupe
+from riskloom.operators.ranking import numbered
 from riskloom.shared import materialise
 
 #: Patterns over a normal title that name a bucket, first wins.
@@ -145,6 +146,42 @@ def theme_summary(groups: DataFrame, title: str = "title") -> DataFrame:
     return per.select("theme", "n_groups", severity.by_rank(F.col("r") - 1).alias("worst"), place.alias("position"))
 
 
+def source_rank(source: Column) -> Column:
+    """Findings of tools come before those of models."""
+    return F.when(source == "static", 0).otherwise(1)
+
+
+def group_heads(findings: DataFrame, group: list[str], titles: int = 3) -> DataFrame:
+    """(group, severity, source, title, n_findings, n_titles, shown_titles) of findings(ord, severity,
+    source, title): the worst finding stands for its group, of equals one of a tool, then the
+    first; the first `titles` other spellings by name are shown where there are several."""
+    worth = F.struct((-severity.rank(F.col("severity"), lowest=1, unknown=1)).alias("s"), source_rank(F.col("source")).alias("o"), F.col("ord").alias("n"))
+    heads = findings.groupBy(*group).agg(F.min_by(F.struct("severity", "source", "title"), worth).alias("h"), F.count("*").alias("n_findings"))
+    spelled = findings.select(*group, t.trim(F.col("title")).alias("title")).where("title <> ''").distinct()
+    counted = spelled.groupBy(*group).agg(F.count("*").alias("n_titles"))
+    shown = spelled.withColumn("rn__", F.row_number().over(W.partitionBy(*group).orderBy("title"))).where(F.col("rn__") <= titles)
+    some = shown.groupBy(*group).agg(F.array_sort(F.collect_list("title")).alias("shown_titles"))
+    out = heads.join(counted, group, "left").join(some, group, "left").withColumn("n_titles", F.coalesce("n_titles", F.lit(0)))
+    return out.select(*group, "h.*", "n_findings", "n_titles", F.when(F.col("n_titles") > 1, F.col("shown_titles")).otherwise(F.array().cast("array<string>")).alias("shown_titles"))
+
+
+def group_places(findings: DataFrame, group: list[str]) -> DataFrame:
+    """(group, filepath, line, place): a group's distinct places in the order of a report, numbered
+    from 1. One row a place, so a group may hold most findings; nulls count as empty and 0."""
+    places = findings.select(*group, F.coalesce("filepath", F.lit("")).alias("filepath"), F.coalesce("line", F.lit(0)).alias("line")).distinct()
+    return numbered(places, group, ["filepath", "line"], "place")
+
+
+def anchor_report(runs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """runs(repo, enabled, skipped, ran, reason, error, duration_ms) with the anchors(repo, path, ...)
+    of those that ran, and why the others did not: a reason of their own, else `disabled` or `skipped`."""
+    counts = anchors.groupBy("repo").agg(F.count("*").alias("anchor_count"), F.count_distinct("path").alias("file_count"))
+    why = F.coalesce(F.nullif("reason", F.lit("")), F.when(~F.col("enabled"), "disabled").when(F.col("skipped"), "skipped"))
+    ran = F.coalesce("ran", F.lit(False))
+    held = lambda c: F.when(ran, F.coalesce(c, F.lit(0)))
+    return runs.join(counts, "repo", "left").select("repo", "enabled", "skipped", ran.alias("ran"), held("anchor_count").alias("anchor_count"), held("file_count").alias("file_count"), why.alias("reason"), F.nullif("error", F.lit("")).alias("error"), "duration_ms")
+
+
 def severity_pivot(groups: DataFrame, by: str = "source") -> DataFrame:
     return groups.groupBy(by).pivot("severity", severity.LEVELS).count().fillna(0)
 

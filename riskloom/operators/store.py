@@ -20,6 +20,16 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     return stored.join(incoming.select(*key), key, "left_anti").unionByName(incoming)
 
 
+def with_meta(stored: DataFrame, key: str, value: str) -> DataFrame:
+    """stored(key, value) with one entry set, such as a schema's version."""
+    return upsert(stored, stored.sparkSession.createDataFrame([(key, value)], "key string, value string"), ["key"])
+
+
+def optional_json(c: Column, is_text: bool = False) -> Column:
+    """A column for a text field of a store: text is trimmed, anything else becomes JSON; null if nothing is left."""
+    return F.nullif(F.trim(c), F.lit("")) if is_text else F.to_json(c)
+
+
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame, key: list[str], order: str) -> DataFrame:
     """stored and, of each new key, the first incoming row."""
     fresh = incoming.withColumn("rn__", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("rn__ = 1").drop("rn__")
