@@ -4,8 +4,9 @@ expression that follows an identifier tag.
 
 A text's words are its runs of digits, letters a-z (A-Z lower-cased) and characters
 beyond ASCII. Base phrases count wherever their words stand consecutively. An
-expression may name the identifiers and exceptions below, in any case, an identifier
-with a plus sign, and references of the form LicenseRef-name. What follows a complete
+expression may name the identifiers and exceptions of the lists, in any case, an identifier
+with a plus sign, and references of the form LicenseRef-name. The lists are a parameter:
+those below, or whole public ones that read_lists() adds to them. What follows a complete
 expression is prose, and so is a lower-case operator before anything else; any other
 name makes the expression invalid. The score is 1 if a tag has a valid expression, else
 1 - 2^-k for k places of any phrase.
@@ -20,11 +21,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Base phrase -> label.
@@ -75,6 +77,19 @@ EXCEPTIONS = set("""autoconf-exception-2.0 autoconf-exception-3.0 bison-exceptio
     universal-foss-exception-1.0 wxwindows-exception-3.1""".split())
 DUTIES = {name: duty for duty, names in IDENTIFIERS.items() for name in names.split()}
 RANK = ["permissive", "weak-copyleft", "copyleft", "restricted"]
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Duties by identifier, and exceptions; all names are lower case. They go to every task."""
+
+    duties: dict[str, str]
+    exceptions: frozenset[str]
+
+
+OWN = Lists(DUTIES, frozenset(EXCEPTIONS))
+#: Names that read_lists() takes at most; the public lists have less than a thousand each.
+MOST_NAMES = 20_000
 TAG = "spdx license identifier"
 _TAG = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _PART = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+|\S")
@@ -97,14 +112,30 @@ def automaton():
     return a
 
 
-def duty_of(name: str) -> str | None:
+def read_lists(spark: SparkSession, licenses: str, exceptions: str) -> Lists:
+    """The lists above with all names of the public ones, as JSON files with records `licenses`
+    (licenseId) and `exceptions` (licenseExceptionId). Which duties a name brings is not in them:
+    names that are not listed above count as restricted, for they may hold any terms. More than
+    MOST_NAMES names are an error, for they go to the driver and to every task."""
+
+    def names(path: str, list_name: str, field: str) -> list[str]:
+        rows = spark.read.json(path, schema=f"{list_name} array<struct<{field}: string>>", multiLine=True)
+        found = rows.select(F.explode(list_name).alias("x")).select(F.lower(f"x.{field}").alias("name")).where("name <> ''").distinct().limit(MOST_NAMES + 1).collect()
+        if len(found) > MOST_NAMES:
+            raise ValueError(f"{path} has more than {MOST_NAMES} names")
+        return [r["name"] for r in found]
+
+    return Lists(dict.fromkeys(names(licenses, "licenses", "licenseId"), "restricted") | DUTIES, frozenset(EXCEPTIONS) | frozenset(names(exceptions, "exceptions", "licenseExceptionId")))
+
+
+def duty_of(name: str, lists: Lists = OWN) -> str | None:
     """The duties of a lower-case identifier, None if it is unknown; a reference may hold any terms."""
     if re.fullmatch(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", name):
         return "restricted"
-    return DUTIES.get(name.removesuffix("+"))
+    return lists.duties.get(name) or lists.duties.get(name.removesuffix("+"))
 
 
-def evaluate(expression: str) -> tuple[list[str], str | None]:
+def evaluate(expression: str, lists: Lists = OWN) -> tuple[list[str], str | None]:
     """Known identifiers of an expression and its duties: the strictest of an and, the
     mildest of an or; an exception after with softens copyleft. None if it is invalid."""
     parts, binds = _PART.findall(expression), {"or": 1, "and": 2, "with": 3}
@@ -115,7 +146,7 @@ def evaluate(expression: str) -> tuple[list[str], str | None]:
             after_with = bool(ops) and ops[-1] == "with"
             if part == "(" and not after_with:
                 ops.append(part)
-            elif (low in EXCEPTIONS) if after_with else duty_of(low):
+            elif (low in lists.exceptions) if after_with else duty_of(low, lists):
                 output.append((low,))
                 names += [] if after_with else [low]
                 operand = False
@@ -124,7 +155,7 @@ def evaluate(expression: str) -> tuple[list[str], str | None]:
                 break
         elif low in binds:
             follows = parts[k + 1].lower() if k + 1 < len(parts) else ""
-            if part == low and follows and follows != "(" and not duty_of(follows) and follows not in EXCEPTIONS:
+            if part == low and follows and follows != "(" and not duty_of(follows, lists) and follows not in lists.exceptions:
                 break  # prose
             while ops and ops[-1] != "(" and binds[ops[-1]] >= binds[low]:
                 output.append(ops.pop())
@@ -140,20 +171,20 @@ def evaluate(expression: str) -> tuple[list[str], str | None]:
             output.append("(")  # a closed group, which no exception can follow
         else:
             break  # prose
-    known = sorted({*names, *(p.lower() for p in parts[k:] if not valid and duty_of(p.lower()))}) if parts else []
+    known = sorted({*names, *(p.lower() for p in parts[k:] if not valid and duty_of(p.lower(), lists))}) if parts else []
     if not valid or operand or "(" in ops:
         return known, None
     stack: list[int] = []
     for x in [*output, *reversed(ops)]:
         if isinstance(x, tuple):
-            stack.append(RANK.index(duty_of(x[0]) or "permissive"))  # an exception's own place is not used
+            stack.append(RANK.index(duty_of(x[0], lists) or "permissive"))  # an exception's own place is not used
         elif x != "(":
             b, a = stack.pop(), stack.pop()
             stack.append(max(a, b) if x == "and" else min(a, b) if x == "or" else 1 if a == 2 else a)
     return known, RANK[stack[0]]
 
 
-def scan_text(text: str | None) -> tuple:
+def scan_text(text: str | None, lists: Lists = OWN) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, duties)."""
     words = words_of(text)
     joined = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
@@ -167,7 +198,7 @@ def scan_text(text: str | None) -> tuple:
     places, duties = sum(p != TAG for _, p in hits), []
     if any(p == TAG for _, p in hits):
         for m in _TAG.finditer(text):
-            names, duty = evaluate(m[1])
+            names, duty = evaluate(m[1], lists)
             labels |= {n.replace(",", "") for n in names}
             duties += [duty] if duty else []
     score = 1.0 if duties else 1.0 - 0.5**places
@@ -177,7 +208,7 @@ def scan_text(text: str | None) -> tuple:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, duties string"
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, lists: Lists = OWN) -> DataFrame:
     """A row for each document, computed where it lies: see SCHEMA."""
     types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.string()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -186,7 +217,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                found = zip(*(scan_text(t) for t in part.column(1).to_pylist()))
+                found = zip(*(scan_text(t, lists) for t in part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(found, types))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, SCHEMA)
