@@ -82,7 +82,11 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str,
     return rows.join(best, row_id, "left")
 
 
-def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+#: Rows that a task of nested_ranges() sorts and sweeps, whatever the size of the input.
+SWEPT = 200_000
+
+
+def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str], kinds: tuple[int, ...] = (0, 1), rows_a_task: int = SWEPT) -> DataFrame:
     """(kind, id, inside): for each of ranges(key, id, start, end[, span, module]) its parent and
     for each of points(key, id, start, end) its innermost range, null without one; ids as texts.
 
@@ -90,7 +94,8 @@ def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str]) -> DataF
     that holds the whole of the other, of equal ones that of the smaller span, then one that is
     no module, then the first in order. One sweep a task: it holds the ranges that are open at
     the place it has come to. Rows are dealt by ranges of key and place, so a key may fill many
-    tasks; a task begins with the open ranges of its first key, which a join with the tasks'
+    tasks of about rows_a_task rows each, so more rows mean more tasks and no larger ones; a
+    task begins with the open ranges of its first key, which a join with the tasks'
     first rows (one a task) gives. Crossing ranges are allowed; nested ones hold the open
     ranges of a task to the depth of the nesting."""
     name = F.to_json(F.struct(*key))
@@ -99,12 +104,12 @@ def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str]) -> DataF
     outer = ranges.select(name.alias("k"), low.alias("lo"), F.lit(0).alias("kind"), (-high).alias("neg"), extra[0].alias("span"), extra[1].alias("module"), F.col("id").cast("string").alias("id"))
     inner = points.select(name.alias("k"), low.alias("lo"), F.lit(1).alias("kind"), (-high).alias("neg"), F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("module"), F.col("id").cast("string").alias("id"))
     order = ["k", "lo", "kind", "neg", "span", "id"]
-    placed = outer.union(inner).repartitionByRange(*order).sortWithinPartitions(*order)
+    n_parts = max(1, -(-(ranges.count() + points.count()) // rows_a_task))
+    placed = outer.union(inner).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     placed = materialise(placed.withColumn("part", F.spark_partition_id()), "ranges")
     starts = placed.groupBy("part").agg(F.min(F.struct("k", "lo")).alias("at")).select(F.col("part").alias("to"), "at.k", F.col("at.lo").alias("from"))
     open_ = placed.where("kind = 0").join(F.broadcast(starts), "k").where((F.col("part") < F.col("to")) & (-F.col("neg") >= F.col("from")))  # a row a task
     rows = placed.withColumn("carried", F.lit(0)).unionByName(open_.withColumn("part", F.col("to")).withColumn("carried", F.lit(-1)).select(*placed.columns, "carried"))
-    n_parts = max(1, starts.count())
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, active, ends, n = None, [], [], 0
@@ -117,7 +122,7 @@ def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str]) -> DataF
                 while ends and ends[0][0] < lo and not carried:
                     gone = heappop(ends)[1]
                     del active[bisect_left(active, gone)]
-                if not carried:
+                if not carried and kind in kinds:
                     out.append((kind, id_, next((r[-1] for r in active if r[4] >= hi), None)))
                 if kind == 0:
                     n += 1
@@ -126,4 +131,4 @@ def nested_ranges(ranges: DataFrame, points: DataFrame, key: list[str]) -> DataF
                     heappush(ends, (hi, row))
             yield pd.DataFrame(out, columns=["kind", "id", "inside"])
 
-    return rows.repartition(n_parts, "part").sortWithinPartitions("part", "carried", *order).mapInPandas(sweep, "kind int, id string, inside string")
+    return rows.repartitionById(n_parts, "part").sortWithinPartitions("part", "carried", *order).mapInPandas(sweep, "kind int, id string, inside string")

@@ -101,7 +101,7 @@ RANGES_SQL = """r AS (SELECT l_suppkey AS k, concat_ws('-', l_orderkey, l_linenu
 def nested_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost of a supplier's lines that holds another for its whole time."""
     ranges = _shipping(spark, sf_dir)
-    return intervals.nested_ranges(ranges, ranges.limit(0), ["k"]).where("kind = 0").select("id", "inside")
+    return intervals.nested_ranges(ranges, ranges.limit(0), ["k"], kinds=(0,)).select("id", "inside")
 
 
 @query(f"""WITH {RANGES_SQL}, p AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id, l_suppkey AS k, CAST(epoch(l_shipdate) AS BIGINT) // 86400 + 7 AS a FROM lineitem),

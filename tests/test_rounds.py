@@ -196,6 +196,17 @@ def test_nested_and_crossing_ranges(spark, files):
     assert all((r.id is None) == (expect[1, r.pid] is None) and (r.id is None or lengths[r.id] == lengths[int(expect[1, r.pid])]) for r in plain.collect())
 
 
+def test_nested_ranges_in_tasks_of_bounded_size(spark):
+    """More rows are more tasks, not larger ones, and each part is a task of its own."""
+    rng = random.Random(7)
+    rows = [("f", k, s, s + rng.randint(0, 30)) for k, s in ((k, rng.randint(1, 900)) for k in range(1000))]
+    df = spark.createDataFrame(rows, "file string, id long, start long, end long")
+    whole, parts = intervals.nested_ranges(df, df.limit(0), ["file"]), intervals.nested_ranges(df, df.limit(0), ["file"], rows_a_task=100)
+    sizes = [len(x) for x in parts.rdd.glom().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+    assert {(r.id, r.inside) for r in parts.collect()} == {(r.id, r.inside) for r in whole.collect()}
+
+
 def test_first_of_equal_rows(spark):
     df = spark.createDataFrame([(3, "a", 1), (1, "a", 2), (2, "b", 3), (5, None, 4), (4, None, 5)], "ord long, key string, n_copies_ int")
     assert {tuple(r) for r in dedupe.exact_duplicates(df, ["key"], "ord").collect()} == {(1, "a", 2, 2), (2, "b", 3, 1), (4, None, 5, 2)}
