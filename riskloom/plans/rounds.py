@@ -111,7 +111,7 @@ def innermost_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost of a supplier's lines that holds the days a week after a shipment."""
     day = F.floor(F.unix_timestamp("l_shipdate") / 86400) + 7
     points = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("id"), day.alias("start"), (day + 3).alias("end"))
-    return intervals.nested_ranges(_shipping(spark, sf_dir), points, ["k"]).where("kind = 1").select("id", "inside")
+    return intervals.nested_ranges(_shipping(spark, sf_dir), points, ["k"], kinds=(1,)).select("id", "inside")
 
 
 def _shipping(spark: SparkSession, sf_dir: str) -> DataFrame:

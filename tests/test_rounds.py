@@ -205,6 +205,8 @@ def test_nested_ranges_in_tasks_of_bounded_size(spark):
     sizes = [len(x) for x in parts.rdd.glom().collect()]
     assert len(sizes) == 10 and max(sizes) < 200
     assert {(r.id, r.inside) for r in parts.collect()} == {(r.id, r.inside) for r in whole.collect()}
+    points = intervals.nested_ranges(df, df, ["file"], kinds=(1,))  # only what is asked for leaves a task
+    assert {r.kind for r in points.collect()} == {1} and points.count() == 1000
 
 
 def test_first_of_equal_rows(spark):
