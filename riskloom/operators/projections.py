@@ -102,7 +102,9 @@ def worst_known(flat: DataFrame, most: int, whole_details: bool = False) -> Data
     path = F.nullif(t.sampling_path(F.coalesce(*[loc[k] for k in ("filepath", "filePath", "path", "file")])), F.lit(""))
     place = F.struct(path.alias("filepath"), line("startLine", "start_line", "line").alias("startLine"), line("endLine", "end_line", "lineEnd", "end").alias("endLine"))
     tool = F.struct(*[F.nullif(det[k], F.lit("")).alias(k) for k in ("tool", "ruleId")])
-    first = with_keys(flat).where("identity_key <> ''").groupBy("identity_key").agg(F.min_by(F.struct("ord", "type", "source", "severity", "summary", "location", "details"), "ord").alias("f"))
+    # findings without a key go after the aggregate: a filter before it would be pushed below flatten() and repeat what the key is made of
+    shown_of = F.min_by(F.struct("ord", "type", "source", "severity", "summary", "location", "details"), "ord")
+    first = with_keys(flat).groupBy("identity_key").agg(shown_of.alias("f"), F.max("identity_key").alias("key__")).where("key__ <> ''")
     top = first.select("f.*").orderBy(severity.rank(F.col("severity")).desc(), "ord").limit(most)
     shown = lambda s: F.nullif(F.to_json(s), F.lit("{}"))
     return top.select("ord", "type", "source", "severity", "summary", shown(place).alias("location"), (F.col("details") if whole_details else shown(tool)).alias("details"))
