@@ -106,11 +106,11 @@ def configured_project(folders: DataFrame, roots: DataFrame) -> DataFrame:
     at_root = folders.where("folder = '' AND config > 0").select("repo", F.lit(True).alias("at_root"))
     x = best.join(at_root, "repo", "left").join(roots, "repo").withColumn("at_root", F.coalesce("at_root", F.lit(False)))
     by = lambda mono_root, mono, root, plain: F.when(c("monorepo"), F.when(c("at_root"), mono_root).otherwise(mono)).otherwise(F.when(c("at_root"), root).otherwise(plain))
-    lead = c("b").isNull() | (c("a.score") >= c("b.score") * by(1.25, 1.15, 1.4, 1.2))
+    lead = c("b").isNull() | (100 * c("a.score") >= c("b.score") * by(125, 115, 140, 120))
     share = F.when(c("all_code") > 0, c("a.code") / F.greatest("all_code", F.lit(1))).otherwise(c("a.total") / c("n_files"))
-    ahead = lambda f, k: (F.coalesce(c(f"b.{f}"), F.lit(0)) == 0) | (c(f"a.{f}") >= k * c(f"b.{f}"))
+    ahead = lambda f, k: (F.coalesce(c(f"b.{f}"), F.lit(0)) == 0) | (10 * c(f"a.{f}") >= k * c(f"b.{f}"))  # noqa: E731  in whole numbers, for 1.1 * 70 is more than 77
     strong = (c("a.config") >= 1) & (c("a.hints") >= 2) & (c("a.code") >= 8) & (c("a.total") >= 12)
-    clear = (lead & (share >= by(0.55, 0.5, 0.7, 0.55)) & (c("a.code") >= 5)) | (lead & (c("a.config") >= 2) & (c("a.code") >= 10)) | (c("monorepo") & strong & (ahead("score", 1.1) | ahead("code", 1.3)))
+    clear = (lead & (share >= by(0.55, 0.5, 0.7, 0.55)) & (c("a.code") >= 5)) | (lead & (c("a.config") >= 2) & (c("a.code") >= 10)) | (c("monorepo") & strong & (ahead("score", 11) | ahead("code", 13)))
     return x.where(((c("n") == 1) & ~c("at_root")) | clear).select("repo", "a.prefix")
 
 
@@ -122,7 +122,7 @@ def dominant_project(folders: DataFrame, roots: DataFrame) -> DataFrame:
     x = _two_best(tops, [c("code").desc(), c("total").desc(), c("prefix")], ["total", "code"]).join(roots, "repo")
     by = lambda mono, plain: F.when(c("monorepo"), mono).otherwise(plain)
     share, next_code = c("a.code") / F.greatest("all_code", F.lit(1)), F.coalesce(c("b.code"), F.lit(0))
-    ahead = (next_code == 0) | (c("a.code") >= by(1.3, 1.5) * next_code)
+    ahead = (next_code == 0) | (10 * c("a.code") >= by(13, 15) * next_code)
     leads = (c("a.code") > 0) & (((share >= by(0.55, 0.7)) & ahead) | (share >= by(0.65, 0.8)))
     return x.where((c("n") == 1) | leads).select("repo", "a.prefix")
 

@@ -94,6 +94,18 @@ def test_project_folders(spark):
     assert repositories.project_folders(_paths(spark, trees).limit(0)).count() == 0
 
 
+def test_factors_hold_exactly(spark):
+    """A project that leads by just 1.1 in a monorepo: 77 to 70, where 1.1 * 70 is more than 77 in doubles."""
+    code = lambda at, n: [f"{at}/f{k}.ts" for k in range(n)]
+    texts = lambda at, n: [f"{at}/t{k}.md" for k in range(n)]
+    a = ["apps/a/package.json", *code("apps/a/src", 8), *texts("apps/a", 11)]  # 25 + 2 * 8 + 20 + 2 * 8 = 77
+    b = ["apps/b/package.json", *code("apps/b", 10), *texts("apps/b", 14)]  # 25 + 2 * 10 + 25 = 70
+    files = _paths(spark, {"r": ["nx.json", *a, *b]})
+    top = {r.prefix: r.score for r in repositories.project_candidates(repositories.folder_facts(files)).collect()}
+    assert top == {"apps/a": 77, "apps/b": 70}
+    assert [(r.prefix, r.found_by) for r in repositories.project_folders(files).collect()] == [("apps/a", "configured")]
+
+
 def test_scripts_and_snapshots(spark):
     deep = "/".join("abcdefgh")
     trees = {"config": ["jsconfig.json"], "nested": ["x/jsconfig.json"], "deep": [f"{deep}/x.MJS"], "deeper": [f"{deep}/i/x.mjs"], "built": ["x/out/a.js"], "hidden": [".js"], "none": [None]}
