@@ -59,18 +59,16 @@ def reachability(edges: DataFrame, starts: DataFrame, max_depth: int = 8, max_la
     edges(src, dst). A node keeps its `max_labels` nearest labels, of equally near ones the
     first by ord, and passes on these alone: a label that a node does not keep comes behind
     the kept ones at every node reached through it as well. So each node is expanded for
-    max_labels labels at most, however many starts there are. Nodes that are full take no
-    further rows; lineage is cut by a written table at each depth."""
+    max_labels labels at most, however many starts there are. A depth costs one join with the
+    edges, one aggregate and one ranking; lineage is cut by a written table at each depth."""
     edges = materialise(edges.select("src", "dst").distinct(), "edges")
-    first = lambda rows: rows.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("ord", "label"))).where(F.col("rn") <= max_labels)
-    seen = frontier = materialise(first(starts.groupBy("node", "label").agg(F.min("ord").alias("ord"))).select("node", "label", "ord", F.lit(0).alias("depth")), "reach")
+    nearest = lambda rows: rows.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy("depth", "ord", "label"))).where(F.col("rn") <= max_labels).drop("rn")
+    seen = frontier = materialise(nearest(starts.groupBy("node", "label").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0))).select("node", "label", "ord", "depth"), "reach")
     for depth in range(1, max_depth + 1):
-        held = seen.groupBy("node").agg(F.count("*").alias("held"))
-        step = frontier.select(F.col("node").alias("src"), "label", "ord").join(edges, "src").select(F.col("dst").alias("node"), "label", "ord")
-        open_ = step.join(held.where(F.col("held") >= max_labels), "node", "left_anti").groupBy("node", "label").agg(F.min("ord").alias("ord"))
-        fresh = first(open_.join(seen.select("node", "label"), ["node", "label"], "left_anti"))
-        room = fresh.join(held, "node", "left").where(F.col("rn") + F.coalesce("held", F.lit(0)) <= max_labels)
-        frontier = materialise(room.select("node", "label", "ord", F.lit(depth).alias("depth")), "reach")
+        step = frontier.select(F.col("node").alias("src"), "label", "ord").join(edges, "src").select(F.col("dst").alias("node"), "label", "ord", F.lit(depth).alias("depth"))
+        # what a node holds has smaller depths and so keeps its places; only what is left goes to new labels
+        each = seen.unionByName(step).groupBy("node", "label").agg(F.min("ord").alias("ord"), F.min("depth").alias("depth"))
+        frontier = materialise(nearest(each).where(F.col("depth") == depth).select("node", "label", "ord", "depth"), "reach")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
