@@ -115,8 +115,8 @@ def basic_title(c: Column) -> Column:
 
 def summary_tokens(c: Column) -> Column:
     """Distinct words without stop words, sorted."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))))
+    words = F.split(F.lower(c), "[^a-z0-9]+")
+    return F.sort_array(F.array_except(words, F.array(*map(F.lit, ["", *STOP_WORDS]))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -195,6 +195,31 @@ def test_similar_pairs_of_large_classes(spark, monkeypatch):
     assert len(got) == 60 * 59 // 2 and compared == [4]
 
 
+def test_similar_sets_meet_over_equal_parts(spark, monkeypatch):
+    """Near sets of all sizes are found, in parts of a few rows too, and those that only share a rare word never meet."""
+    monkeypatch.setattr(dedupe, "DEALT", 5)
+    written, plain = {}, dedupe.materialise
+    monkeypatch.setattr(dedupe, "materialise", lambda df, name: written.setdefault(name, plain(df, name)))
+    rng, sets = random.Random(6), {}
+    for n in [1, 7, 8, 9, 10, 15, 22, 25, 30, 60, 113, 114, 250] * 3:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for changed in (0, 0, 1, 2, n // 20, n // 9, n // 8, n // 7):
+            less = rng.sample(base, n - rng.randint(0, min(changed, n - 1)))
+            sets[len(sets)] = (len(sets) % 2, frozenset(less + [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(0, changed))]))
+    near = lambda share: {(a, b): len(x & y) / len(x | y) for a, (g, x) in sets.items() for b, (h, y) in sets.items() if a < b and g == h and x != y and len(x & y) / len(x | y) >= share}
+    for share in (0.8, 0.88, 0.95):
+        classes = {}
+        for k, s in sets.items():
+            classes.setdefault(s, k)
+        rows = [(k, g, sorted(x)) for (g, x), k in classes.items()]
+        got = dedupe._unlike_pairs(spark.createDataFrame(rows, "id__ long, g long, words__ array<string>"), ["g"], share).collect()
+        assert len(got) > 20 and {(r.a, r.b): r.score for r in got} == {p: v for p, v in near(share).items() if {*p} <= {*classes.values()}} and len({(r.a, r.b) for r in got}) == len(got)
+        written.clear()
+    rows = [(k, "g", [f"rare{k // 40}", *(f"u{k}x{j}" for j in range(20))]) for k in range(200)]
+    assert dedupe.similar_classes(spark.createDataFrame(rows, "id long, g string, w array<string>"), ["g"], "id", "w").count() == 0
+    assert written["part-members"].count() <= 20 and written["part-partners"].isEmpty()
+
+
 def _whole_word_sets(rows):
     sets = {}
     for k, source, text in rows:
